@@ -45,3 +45,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_bytes(column: str):
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def sized_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, written out and marked for broadcast if it has at most ``most_rows`` rows.
+
+    Beyond that Spark chooses, which for large sides means a shuffled join whose skewed partitions are split.
+    """
+    df = materialize(df, "sized")
+    return F.broadcast(df) if df.count() <= most_rows else df

@@ -58,6 +58,15 @@ def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
+    found = quality(read_table(spark, sf_dir, "documents"), trusted)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio")
+    return found.select(F.col("id").alias("doc_id"), *names)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
