@@ -37,6 +37,15 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find, fit, listed
+
+    found = find(read_table(spark, sf_dir, "documents"), fit(spark))
+    found = found.withColumn("base", F.concat(*KINDS)).withColumn("every", F.concat("base", "added"))
+    counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
