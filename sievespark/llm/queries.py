@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .secrets import dictionary, find, train
+
+    words = dictionary(public_tokenizers.path("word_bpe_49k.json"))
+    return find(read_table(spark, sf_dir, "documents"), words, train(spark, words)).withColumnRenamed("id", "doc_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import matches
 
