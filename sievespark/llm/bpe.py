@@ -3,19 +3,22 @@
 The encoding of a string is the one token sequence whose neighbours are all stable, that is, whose
 concatenation is encoded as just these two tokens. So the last token of a prefix is the suffix token that
 is stable after the last token of what stands before it, and one state per trie node (its last token and
-the node in front of that token) holds the encoding of every prefix. Distinct words go into the trie in
-sorted order, a depth-first walk, so states of shared prefixes are computed once per worker.
+where that token starts) holds the encoding of every prefix. Distinct words are visited in sorted order, which is
+a depth-first walk of their trie: the states of the path to a word stay until the walk leaves them, so shared
+prefixes are encoded once and only one path is held.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +40,9 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 _PIECE_YOUNG = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--{_YOUNG}]+|[\p{{N}}--{_YOUNG}]|(?:[^\p{{L}}\p{{N}}]|{_YOUNG})+")
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
-#: Words beyond this length bypass the trie; pieces per generation of the memo and trie nodes before it starts afresh.
-LONGEST_IN_TRIE, MOST_PIECES, MOST_NODES = 48, 250_000, 800_000
-DOCS_AT_ONCE = 128
+#: Known pieces in a generation of the memo, pairs of tokens whose stability is remembered, characters read at once.
+MOST_PIECES, MOST_PAIRS, CHARS_AT_ONCE = 150_000, 600_000, 3_000_000
+_TAIL = 4
 
 
 def byte_alphabet() -> list[str]:
@@ -50,7 +53,7 @@ def byte_alphabet() -> list[str]:
 
 
 class TrieCoder:
-    """Encoder of one vocabulary; words with an end mark, lower-cased, white space dropped."""
+    """Encoder of one vocabulary whose words carry an end mark; text is lower-cased, white space dropped."""
 
     def __init__(self, spec: str):
         model = json.loads(spec)
@@ -61,19 +64,27 @@ class TrieCoder:
         self.made = {a + b: ((a, b), i) for (a, b), i in self.rank.items()}
         self.edges: tuple[dict[str, list[tuple[str, int]]], ...] = ({}, {})
         self.names = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
-        self.longest = max(len(t) - len(END) * t.endswith(END) for t in self.vocab)
+        #: Tokens by their symbols, inside a word and at its end, and the longest of those with a given tail.
+        self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(END)}
+        self.final = {t[: -len(END)]: i for t, i in self.vocab.items() if t.endswith(END)}
+        self.inner_tails, self.final_tails = self._tails(self.inner), self._tails(self.final)
         self.alphabet = byte_alphabet()
+        self.bytes_as = {i: c for i, c in enumerate(self.alphabet)}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[int, tuple[int, ...], str]] = {}
-        self._plant()
-
-    def _plant(self) -> None:
-        """An empty trie: edges by node and symbol in one number, and each node's last token and the node before it."""
-        self.edge: dict[int, int] = {}
-        self.token, self.before = [-1], [0]
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
+        self.older: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        self.states = 0
+
+    @staticmethod
+    def _tails(tokens: dict[str, int]) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for t in tokens:
+            if len(t) >= _TAIL:
+                out[t[-_TAIL:]] = max(len(t), out.get(t[-_TAIL:], 0))
+        return out
 
     def _symbols(self, token: str) -> list[str]:
         return [*token[: -len(END) - 1], token[-len(END) - 1 :]] if token.endswith(END) and len(token) > len(END) else list(token)
@@ -107,7 +118,7 @@ class TrieCoder:
                 b = self.names[right]
                 known = self.whole[right] = self._merged(self._symbols(b)) == [b]
             return known
-        if (known := self.stable.get((left, right))) is None:
+        if (known := self.stable.get(left << 20 | right)) is None:
             x, y = self._edge_of(self.names[left], 1), self._edge_of(self.names[right], 0)
             i, j, known, rank, never = 0, 0, self._fits(-1, right), self.rank.get, 1 << 30
             while known:
@@ -122,57 +133,47 @@ class TrieCoder:
                     i += 1
                 else:
                     j += 1
-            self.stable[left, right] = known
+            if len(self.stable) >= MOST_PAIRS:
+                self.stable.clear()
+            self.stable[left << 20 | right] = known
         return known
 
-    def _state(self, text: str, end: int, mark: str, path: list[int]) -> tuple[int, int]:
-        """Last token of text[:end] + mark, given the nodes of all shorter prefixes, and the node before it."""
-        get, token = self.vocab.get, self.token
-        for at in range(max(0, end - self.longest), end):
-            if (t := get(text[at:end] + mark)) is not None and self._fits(token[path[at]] if at else -1, t):
-                return t, path[at]
-        raise ValueError("a symbol is missing in the vocabulary")
-
-    def _trace(self, token: int, node: int) -> tuple[int, ...]:
-        out = [token]
-        while node:
-            out.append(self.token[node])
-            node = self.before[node]
-        return tuple(reversed(out))
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """Token ids of one pre-token, already in the byte alphabet (code points below 512)."""
-        if len(word) > LONGEST_IN_TRIE:
-            return self._encode_long(word)
-        path, node, edge, last = [0], 0, self.edge, len(word) - 1
-        for i, symbol in enumerate(word):
-            key = node << 10 | ord(symbol) | (512 if i == last else 0)
-            node = edge.get(key)
-            if node is None:
-                t, b = self._state(word, i + 1, END if i == last else "", path)
-                node = edge[key] = len(self.token)
-                self.token.append(t)
-                self.before.append(b)
-            path.append(node)
-        return self._trace(self.token[node], self.before[node])
-
-    def _encode_long(self, word: str) -> tuple[int, ...]:
-        """The same states over one word's prefixes, not kept: linear in its length."""
-        get, last, back, n = self.vocab.get, [-1], [0], len(word)
-        for end in range(1, n + 1):
-            mark = END if end == n else ""
-            for at in range(max(0, end - self.longest), end):
-                if (t := get(word[at:end] + mark)) is not None and self._fits(last[at], t):
-                    last.append(t)
-                    back.append(at)
-                    break
+    def encode_words(self, words: list[str]) -> Iterator[list[int]]:
+        """Token ids of each pre-token in the byte alphabet; sorted words share the states of their common prefixes."""
+        stable, fits = self.stable.get, self._fits
+        inner, final, inner_tails, final_tails = self.inner.get, self.final.get, self.inner_tails.get, self.final_tails.get
+        token, start, before = [-1], [0], ""
+        for word in words:
+            n = len(word)
+            at, same = 0, min(n, len(before)) - 1
+            while at < same and word[at] == before[at]:
+                at += 1
+            del token[at + 1 :], start[at + 1 :]
+            for end in range(at + 1, n):
+                for a in range(max(0, end - inner_tails(word[end - _TAIL : end], _TAIL - 1)) if end >= _TAIL else 0, end):
+                    if (t := inner(word[a:end])) is not None:
+                        known = stable(token[a] << 20 | t) if a else None
+                        if fits(token[a], t) if known is None else known:
+                            break
+                else:
+                    raise ValueError("a symbol is missing in the vocabulary")
+                token.append(t)
+                start.append(a)
+            for a in range(max(0, n - final_tails(word[n - _TAIL :], _TAIL - 1)) if n >= _TAIL else 0, n):
+                if (t := final(word[a:])) is not None:
+                    known = stable(token[a] << 20 | t) if a else None
+                    if fits(token[a], t) if known is None else known:
+                        break
             else:
                 raise ValueError("a symbol is missing in the vocabulary")
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return tuple(reversed(out))
+            self.states += n - at
+            before = word
+            out = [t]
+            while a:
+                out.append(token[a])
+                a = start[a]
+            out.reverse()
+            yield out
 
     def _normal(self, text: str) -> str:
         """NFC, then each character's own lower case, so a final capital sigma is lowered like any other."""
@@ -180,38 +181,50 @@ class TrieCoder:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """Token ids of text without white space; special tokens' strings stand for themselves."""
-        if piece.isascii() and piece.isalpha():
-            return self.encode_word(piece.lower())
-        out: list[int] = []
-        for part in self.split.split(piece) if self.split else [piece]:
+    def words_of(self, piece: str) -> list[str | int]:
+        """Pre-tokens of text without white space in the byte alphabet; special tokens' strings are ids at once."""
+        if piece.isascii():
+            if piece.isalpha():
+                return [piece.lower()]
+            if piece[-1] in ",.;:!?" and piece[:-1].isalpha():
+                return [piece[:-1].lower(), piece[-1]]
+        out: list[str | int] = []
+        for part in self.split.split(piece) if self.split and "<" in piece else [piece]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 text = self._normal(part)
                 for word in (_PIECE_YOUNG if not text.isascii() and _HAS_YOUNG.search(text) else _PIECE).findall(text):
-                    out += self.encode_word(word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()]))
-        return tuple(out)
+                    out.append(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes_as))
+        return out
 
     def decode(self, ids) -> str:
         """Names of the tokens joined by one space, end marks and stand-ins kept, as for a file without a decoder."""
         return " ".join([self.names[i] for i in ids])
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[int, tuple[int, ...], str]]]:
-        """For each text its pieces as (count, ids, decoded)."""
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """Pieces of each text; afterwards ``ids`` and ``texts`` hold all of them.
+
+        Pieces not met before are cut into words, the distinct words encoded in one walk and the pieces put
+        together from them.
+        """
         cut = [[p for p in _SPACE.split(t) if p] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.pieces) > MOST_PIECES:
-            self.older, self.pieces = self.pieces, {}
-        if len(self.token) > MOST_NODES:
-            self._plant()
-        known, older = self.pieces, self.older
-        for piece in sorted({*chain.from_iterable(cut)}.difference(known)):
-            if (found := older.get(piece)) is None:
-                ids = self.encode_piece(piece)
-                found = len(ids), ids, self.decode(ids)
-            known[piece] = found
-        return [[known[p] for p in pieces] for pieces in cut]
+        if len(self.ids) > MOST_PIECES:
+            self.older, self.ids, self.texts = (self.ids, self.texts), {}, {}
+        ids, decoded, (old_ids, old_texts) = self.ids, self.texts, self.older
+        new: dict[str, list[str | int]] = {}
+        for piece in {*chain.from_iterable(cut)}.difference(ids):
+            if piece in old_ids:
+                ids[piece], decoded[piece] = old_ids[piece], old_texts[piece]
+            else:
+                new[piece] = self.words_of(piece)
+        words = sorted({w for ws in new.values() for w in ws if type(w) is str and not (w in ids and w.isascii() and w.isalpha())})
+        names = self.names
+        found = {word: (array("i", out).tobytes(), " ".join([names[i] for i in out])) for word, out in zip(words, self.encode_words(words))}
+        for piece, ws in new.items():
+            parts = [found.get(w) or ((ids[w], decoded[w]) if type(w) is str else (array("i", [w]).tobytes(), names[w])) for w in ws]
+            ids[piece], decoded[piece] = parts[0] if len(parts) == 1 else (b"".join([a for a, _ in parts]), " ".join([b for _, b in parts]))
+        return cut
 
 
 _CODERS: dict[int, TrieCoder] = {}
@@ -238,14 +251,19 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
-                batch = whole.slice(at, DOCS_AT_ONCE)
-                found = coder.encode_batch(batch.column(1).to_pylist())
-                counts = [sum([p[0] for p in x]) for x in found]
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(p[1] for x in found for p in x), np.int32, int(ends[-1]))
-                decoded = [" ".join([p[2] for p in x]) for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy())
+            at = 0
+            while at < whole.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS_AT_ONCE, "right")))
+                batch = whole.slice(at, upto - at)
+                at = upto
+                cut = coder.learn(batch.column(1).to_pylist())
+                get_ids, get_text = coder.ids.__getitem__, coder.texts.__getitem__
+                raw = [b"".join(map(get_ids, pieces)) for pieces in cut]
+                bounds = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(raw), np.int32)
+                decoded = pa.array([" ".join(map(get_text, pieces)) for pieces in cut], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, flat), decoded], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")

@@ -42,7 +42,7 @@ def test_decode_column_and_empty_table(spark):
 
 def test_prefixes_are_encoded_once():
     coder = bpe.TrieCoder(open(PATH, encoding="utf-8").read())
-    coder.encode_word("interning")
-    nodes = len(coder.token)
-    coder.encode_word("internist")
-    assert len(coder.token) - nodes == len("st")
+    alone = [list(coder.encode_words([w]))[0] for w in ("internist", "interning")]
+    coder.states = 0
+    assert list(coder.encode_words(["interning", "internist"])) == alone[::-1]
+    assert coder.states == len("interning") + len("st")
