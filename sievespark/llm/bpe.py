@@ -41,7 +41,7 @@ _PIECE_YOUNG = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--{_YOUNG}]
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Known pieces in a generation of the memo, pairs of tokens whose stability is remembered, characters read at once.
-MOST_PIECES, MOST_PAIRS, CHARS_AT_ONCE = 150_000, 600_000, 3_000_000
+MOST_PIECES, MOST_PAIRS, CHARS_AT_ONCE = 100_000, 300_000, 2_000_000
 _TAIL = 4
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 150_000
 
 
 @dataclass(frozen=True)
