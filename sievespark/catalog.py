@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract, identity, markup, scoring
-from .operators import coverage, cursors, detect, outbox, reads, route, state, suppress
+from .operators import coverage, cursors, detect, outbox, reads, route, schedule, state, suppress
 from .plans import mapping as m
 from .plans import rules as packs
 from .sources import fake, units
@@ -690,6 +690,109 @@ def src_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("space").agg(F.count(F.lit(1)).cast("int").alias("pages"))
 
 
+# Roles, differences, silence, schedules
+
+
+@query(f"with {F_} select id, null as correlation_id, null as notes, source_id, state from finding")
+def flt_for_viewer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.for_role(m.findings(spark, sf_dir), "viewer").select("id", "correlation_id", "notes", "source_id", "state")
+
+
+@query(
+    f"""with {T_}, now as (select scan_id, sum(discovered) as d, sum(scanned) as s, sum(skipped) as k from task where reported group by scan_id),
+    old as (select scan_id, sum(discovered) as d, sum(scanned) as s, sum(skipped) as k from task where reported and id <= 2 group by scan_id)
+    select scan_id, cast(now.d - coalesce(old.d, 0) as bigint) as discovered, cast(now.s - coalesce(old.s, 0) as bigint) as scanned, cast(now.k - coalesce(old.k, 0) as bigint) as skipped from now left join old using (scan_id)"""
+)
+def agg_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = m.tasks(spark, sf_dir).where("reported")
+    return coverage.delta(coverage.merged(rows), coverage.merged(rows.where("id <= 2"))).select("scan_id", "discovered", "scanned", "skipped")
+
+
+_GAP = "select 's' || cast(o_custkey % 20 as {t}) as scan_id, 'gap' || cast(o_orderkey as {t}) as reference from orders"
+
+
+@query(f"with g as ({_GAP.format(t='varchar')}) select scan_id, reference from (select *, row_number() over (partition by scan_id order by reference) as n from g) where n <= 300")
+def agg_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = m.table(spark, sf_dir, "orders").selectExpr("'s' || cast(o_custkey % 20 as string) as scan_id", "'gap' || cast(o_orderkey as string) as reference")
+    return coverage.merged_gaps(gaps, most=300)[0]
+
+
+@query(f"with g as ({_GAP.format(t='varchar')}) select scan_id, greatest(count(*) - 300, 0) as gaps_omitted from g group by scan_id")
+def agg_gaps_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = m.table(spark, sf_dir, "orders").selectExpr("'s' || cast(o_custkey % 20 as string) as scan_id", "'gap' || cast(o_orderkey as string) as reference")
+    return coverage.merged_gaps(gaps, most=300)[1]
+
+
+@query("select l_orderkey, l_linenumber from lineitem where cast(l_quantity as int) <> cast(l_quantity as int) - 1 + case when l_suppkey % 7 = 0 then 1 else 0 end + l_linenumber % 2")
+def agg_unlawful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports whose counts don't add up."""
+    q = F.col("l_quantity").cast("int")
+    rows = m.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", q.alias("discovered"), (q - 1).alias("scanned"), F.expr("if(l_suppkey % 7 = 0, 1, 0)").alias("skipped"), F.expr("l_linenumber % 2").alias("failed"))
+    return coverage.lawful(rows).select("l_orderkey", "l_linenumber")
+
+
+@query("select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 'failed' when l_suppkey % 5 = 0 or l_linenumber % 4 = 3 then 'failed' else 'completed' end as outcome from lineitem")
+def agg_task_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = m.table(spark, sf_dir, "lineitem")
+    said = F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed")
+    return rows.select("l_orderkey", "l_linenumber", coverage.task_outcome(said, F.expr("if(l_suppkey % 5 = 0, 1, 0)"), F.lit(None).cast("int"), F.expr("if(l_linenumber % 4 = 3, 2, 0)")).alias("outcome"))
+
+
+@query(f"select o_orderkey from orders where o_orderstatus = 'O' and epoch({AT}) - epoch(case when o_orderkey % 3 = 0 then o_orderdate + to_days(100) else o_orderdate end) > 72 * 3600")
+def out_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = m.table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", F.expr("if(o_orderstatus = 'O', 'delivered', 'pending')").alias("status"), F.col("o_orderdate").cast("timestamp").alias("delivered_at"), F.when(F.expr("o_orderkey % 3 = 0"), F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 100 * 86_400)).alias("last_callback_at"))
+    return outbox.silent(rows, m.as_of()).select("o_orderkey")
+
+
+@query(
+    """with n as (select *, row_number() over (partition by user_id order by ts, event_type) as i from events)
+    select user_id as finding_id, string_agg(event_type, ',' order by ts, event_type) as kinds from n where i <= 10 group by user_id"""
+)
+def out_first_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = m.table(spark, sf_dir, "events").select(F.col("user_id").alias("finding_id"), F.col("ts").alias("occurred_at"), F.col("event_type").alias("kind"))
+    return outbox.first_actions(e).select("finding_id", F.array_join(F.transform("actions", lambda a: a["kind"]), ",").alias("kinds"))
+
+
+@query(f"with {F_} select id from finding where state = 'open' and due_at <= {AT} order by due_at, id limit 50")
+def out_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = m.findings(spark, sf_dir).select("id", F.when(F.col("state") == "open", "pending").otherwise("delivered").alias("status"), F.col("due_at").alias("next_attempt_at"))
+    return outbox.due(rows, m.as_of()).select("id")
+
+
+@query("select 'scope' || cast(c_custkey as varchar) as scope, case when c_custkey % 31 = 0 then 'source_rejected_cursor' when c_custkey % 400 < 10 then 'operator_requested' end as reason from customer")
+def cur_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cursors(spark, sf_dir)
+    found = cursors.invalidate(rows, F.expr("cast(substring(source_id, 2) as int) < 10"), "operator_requested", m.as_of())
+    return found.select("scope", F.col("invalidation_reason").alias("reason"))
+
+
+@query("select c_custkey from customer where c_acctbal > 0 and (c_custkey % 7 = 0 or c_custkey % 5 < 3)")
+def lif_due_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = F.when(F.expr("c_custkey % 7 <> 0"), F.timestamp_seconds(F.unix_timestamp(m.as_of()) + F.expr("(c_custkey % 5 - 2) * 60")))
+    rows = m.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("enabled"), when.alias("next_run_at"))
+    return schedule.due(rows, m.as_of()).select("c_custkey")
+
+
+@query("select event_id, strftime(date_trunc('hour', ts) + case when extract(minute from ts) < 30 then to_minutes(30) else to_minutes(90) end, '%Y-%m-%d %H:%M:%S') as next_at from events")
+def lif_next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = m.table(spark, sf_dir, "events")
+    return e.select("event_id", F.date_format(schedule.next_run(F.lit("30 * * * *"), F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("next_at"))
+
+
+@query(f"select o_orderkey, case when o_orderstatus in ('O', 'P') and o_orderkey % 3 <> 0 and epoch({AT}) - epoch(o_orderdate) > 900 then 'offline' when o_orderstatus = 'O' then 'active' when o_orderstatus = 'P' then 'draining' else 'offline' end as status from orders")
+def lif_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = m.table(spark, sf_dir, "orders").select("o_orderkey", F.expr("case o_orderstatus when 'O' then 'active' when 'P' then 'draining' else 'offline' end").alias("status"), F.when(F.expr("o_orderkey % 3 <> 0"), F.col("o_orderdate").cast("timestamp")).alias("last_heartbeat_at"))
+    return schedule.fleet(rows, m.as_of()).select("o_orderkey", "status")
+
+
+@query("select doc_id from documents where not (source < 'src5' and doc_id % 2 = 0) or lang <> 'en'")
+def src_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a resumed read still has to fetch: those not seen at the checkpoint."""
+    d = m.table(spark, sf_dir, "documents")
+    return d.join(d.where("source < 'src5' and doc_id % 2 = 0 and lang = 'en'").select("doc_id", "lang"), ["doc_id", "lang"], "left_anti").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
