@@ -2,7 +2,9 @@
 
 An item of m characters may differ from a passage by an edit distance of up to e = floor(m * error_rate). Cut
 into e + 1 pieces, at least one piece is then in the passage unchanged. All pieces of a block of items are
-sought in one pass over a text; around each hit the item is aligned by Myers' bit-parallel distance.
+sought in one pass over a text; around each hit the item is aligned by Myers' bit-parallel distance. An edit
+changes at most q of an item's strings of q characters, so a window that lacks more of them than that is passed
+over before the alignment; no match is lost by it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Share of an item's characters that may be inserted, deleted or replaced.
-ERROR_RATE = 0.08
+ERROR_RATE = 0.1
+#: Length of the strings that the count before the distance looks at.
+GRAM = 5
 #: Characters of items that are broadcast at once; a larger benchmark is sought in several passes.
 BLOCK_CHARS = 4_000_000
 #: Items shorter than this, normalised, are too common to be evidence.
@@ -76,6 +80,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         self.items = [(key, text, budget, peq(text)) for key, text in items for budget in [int(len(text) * error_rate)]]
+        self.grams = [[text[i : i + GRAM] for i in range(len(text) - GRAM + 1)] for _, text in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for at, (_, text, _, _) in enumerate(self.items):
             for offset, piece in pieces(text, error_rate)[1]:
@@ -97,9 +102,15 @@ class Matcher:
         found = []
         for at, starts in hits.items():
             key, item, budget, masks = self.items[at]
-            best = None
+            grams, best = self.grams[at], None
+            fewest = len(grams) - GRAM * budget
             for low, high in _merged(sorted(starts), len(item), budget):
-                near = myers(masks, len(item), text[max(0, low) : high], budget)
+                window = text[max(0, low) : high]
+                if fewest > 0:
+                    there = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
+                    if sum(map(there.__contains__, grams)) < fewest:
+                        continue
+                near = myers(masks, len(item), window, budget)
                 if near and (best is None or near[0] < best[0]):
                     best = near[0], max(0, low) + near[1]
                     if not best[0]:
