@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import materialize, sized_broadcast
 
 #: Hash buckets, a bound on what the counts send to the driver; added to each count; least mean log ratio to be kept.
-BUCKETS, SMOOTHING, THRESHOLD = 16384, 0.5, -0.05
+BUCKETS, SMOOTHING, THRESHOLD = 16384, 0.5, -0.042
 #: Fewest words; most words in repeated windows, in percent; words a window.
 FEWEST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
 _SPACE = r"[\x20\x09-\x0D]+"

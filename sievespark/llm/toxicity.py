@@ -37,12 +37,12 @@ class Settings:
     skips: tuple[int, ...] = (1, 2)
     max_labelled: int = 16_000
     epochs: int = 4
-    alpha: float = 3.0
+    alpha: float = 5.0
     beta: float = 1.0
     l1: float = 20.0
     l2: float = 0.2
     context: float = 0.25
-    positive_weight: float = 2.0
+    positive_weight: float = 3.0
 
 
 @dataclass(frozen=True)
@@ -162,13 +162,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = Settings.max_labelled) -> DataFrame:
     """``(id, text, label)`` of at most ``max_labelled`` documents outside the held-out part, smallest hashed ids first.
 
-    A document with several labels counts as toxic if one of them says so. The ids are few by that bound, so
-    they are broadcast to the texts and no text is shuffled. ``docs`` may repeat an id; each row is then kept.
+    A document with several labels counts as toxic if one of them says so; of rows that repeat an id the first
+    text in order counts. The ids are few by that bound, so they are broadcast to the texts, and only the texts
+    chosen are shuffled.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(~held_out(id_col))
     marked = marked.groupBy(id_col).agg(F.max(label_col).alias(label_col))
     few = marked.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(max_labelled)
-    return docs.select(id_col, text_col).join(F.broadcast(few), id_col)
+    found = docs.select(id_col, text_col).join(F.broadcast(few), id_col)
+    return found.groupBy(id_col).agg(F.min(text_col).alias(text_col), F.max(label_col).alias(label_col))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
