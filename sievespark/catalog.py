@@ -793,6 +793,75 @@ def src_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(d.where("source < 'src5' and doc_id % 2 = 0 and lang = 'en'").select("doc_id", "lang"), ["doc_id", "lang"], "left_anti").select("doc_id")
 
 
+# Hand-overs, guidance, audits
+
+
+def _handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = m.findings(spark, sf_dir)
+    return f.select(
+        "source_id", "fingerprint", "state", F.expr("case start % 4 when 0 then 'failed' when 1 then 'pending' else 'delivered' end").alias("status"), (F.col("start") % 6).alias("attempts"), F.col("created_at").alias("delivered_at"),
+        F.lit(None).cast("timestamp").alias("last_callback_at"), F.expr(_EXTERNAL.replace("case o %", "case start %")).alias("external_state"), F.expr("if(start % 3 = 0, 'resolved', null)").alias("conflict_dismissed_state"), F.lit(None).cast("timestamp").alias("next_attempt_at"),
+    )
+
+
+@query(f"with {F_} select 't1' as target_id, source_id, fingerprint, 'handoff-t1-' || source_id || '-' || fingerprint as idempotency_key from finding where start_at % 5 <> 0 and {m.RANK_SQL} >= 2")
+def out_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = m.findings(spark, sf_dir).withColumn("target_id", F.lit("t1"))
+    from .functions.severity import at_least
+
+    return outbox.request(f.unionByName(f), f.where("start % 5 = 0"), at_least(F.col("severity"), F.lit("high")))[0]
+
+
+@query(f"with {F_} select source_id, fingerprint, case when start_at % 4 = 0 and source_id = 's1' then 'pending' when start_at % 4 = 0 then 'failed' when start_at % 4 = 1 then 'pending' else 'delivered' end as status, case when start_at % 4 = 0 and source_id = 's1' then 0 else start_at % 6 end as attempts from finding")
+def out_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outbox.replay(_handoffs(spark, sf_dir), F.col("source_id") == "s1", m.as_of()).select("source_id", "fingerprint", "status", "attempts")
+
+
+@query(
+    f"""with {F_}, h as (select state, start_at as o, created_at from finding), x as (select *, {_EXTERNAL} as ext, case when o % 3 = 0 then 'resolved' end as gone from h)
+    select count_if((ext in ('resolved', 'rejected', 'cancelled') and state = 'open' or ext in ('open', 'in_progress') and state <> 'open') and not coalesce(ext = gone, false)) as conflicts,
+    count_if(o % 4 >= 2 and epoch({AT}) - epoch(created_at) > 72 * 3600) as silent from x"""
+)
+def agg_handoff_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outbox.health(_handoffs(spark, sf_dir), m.as_of())
+
+
+@query(
+    f"""with {_BATCH_SQL}, kept as (select * from acted where action <> 'below_threshold')
+    select count_if(action = 'create') as new_findings, count(*) as seen_findings, 0 as resolved_findings, count_if(action = 'reopen') as reopened_findings from kept"""
+)
+def agg_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = m.findings(spark, sf_dir)
+    plan = state.plan_ingest(before, _batch(spark, sf_dir))
+    found = reads.reconciliation(before, state.upsert(before, plan, "scan9", m.as_of()), "scan9")
+    return found
+
+
+@query(f"with {F_} select id, case when rule_id in ('rule-1', 'rule-2') then 'rotate ' || rule_id else 'ask' end as guidance from finding")
+def jon_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = m.rows(spark, "rule_id string, guidance string", ("rule-1", "rotate rule-1"), ("rule-2", "rotate rule-2"), ("default", "ask"))
+    return reads.guidance(m.findings(spark, sf_dir), texts).select("id", "guidance")
+
+
+@query(f"with {F_} select id from finding where rule_id not in ('rule-1', 'rule-3')")
+def jon_unauthorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = m.findings(spark, sf_dir).withColumns({"provider": F.lit("p"), "contract_version": F.lit(1)})
+    policies = m.rows(spark, "rule_id string, provider string, contract_version int, enabled boolean", ("rule-1", "p", 1, True), ("rule-2", "p", 1, False), ("rule-3", "p", 1, True), ("rule-4", "q", 1, True))
+    return reads.unauthorised(f, policies).select("id")
+
+
+@query("select event_id from events where event_type = 'view' and user_id = 7 order by ts, event_id")
+def ord_audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = m.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("target_type"), F.col("user_id").cast("string").alias("target_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"))
+    return reads.audit_trail(e, "view", "7").select("event_id")
+
+
+@query("select lang as connector_type, count(*) as units, count_if(doc_id % 5 > 1) as scanned, count_if(doc_id % 5 = 0) as skipped, count_if(doc_id % 5 = 1) as failed from documents group by lang")
+def agg_fetch_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = m.table(spark, sf_dir, "documents").select(F.col("lang").alias("connector_type"), F.expr("case doc_id % 5 when 0 then 'skipped' when 1 then 'failed' else 'scanned' end").alias("outcome"))
+    return reads.fetch_tallies(d)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

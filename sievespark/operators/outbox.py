@@ -99,3 +99,30 @@ def first_actions(actions: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
     """Per finding its first actions by time as one array, at most ``most``."""
     ordered = F.slice(F.array_sort(F.collect_list(F.struct("occurred_at", "kind"))), 1, most)
     return actions.groupBy("finding_id").agg(ordered.alias("actions"))
+
+
+def request(wanted: DataFrame, existing: DataFrame, allowed: Column) -> tuple[DataFrame, DataFrame]:
+    """New hand-overs ``(target_id, source_id, fingerprint, idempotency_key)`` and the requests refused.
+
+    A pair that exists is neither: asking again changes nothing. ``allowed`` is the target's filter.
+    """
+    keys = ["target_id", "source_id", "fingerprint"]
+    fresh = wanted.join(existing.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    key = F.concat_ws("-", F.lit("handoff"), "target_id", "source_id", "fingerprint")
+    ok = F.coalesce(allowed, F.lit(False))
+    return fresh.where(ok).select(*keys, key.alias("idempotency_key")), fresh.where(~ok).select(*keys)
+
+
+def replay(handoffs: DataFrame, which: Column, at: Column) -> DataFrame:
+    """Failed hand-overs that ``which`` holds for are pending again, from no attempts, under the same key."""
+    hit = (F.col("status") == "failed") & F.coalesce(which, F.lit(False))
+    put = {"status": F.when(hit, "pending").otherwise(F.col("status")), "attempts": F.when(hit, 0).otherwise(F.col("attempts")), "next_attempt_at": F.when(hit, at).otherwise(F.col("next_attempt_at"))}
+    return handoffs.select(*[put[c].alias(c) if c in put else F.col(c) for c in handoffs.columns])
+
+
+def health(handoffs: DataFrame, as_of: Column) -> DataFrame:
+    """One row: conflicts and silent hand-overs. ``handoffs`` has the finding's state beside its own columns."""
+    found = conflict(F.col("external_state"), F.col("state"), F.col("conflict_dismissed_state"))
+    since = F.coalesce("last_callback_at", "delivered_at")
+    quiet = (F.col("status") == "delivered") & (F.unix_timestamp(as_of) - F.unix_timestamp(since) > SILENCE_HOURS * 3600)
+    return handoffs.agg(F.count(found).alias("conflicts"), F.count_if(F.coalesce(quiet, F.lit(False))).alias("silent"))

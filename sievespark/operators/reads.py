@@ -139,3 +139,40 @@ def for_role(findings: DataFrame, role: str) -> DataFrame:
     if role in ("analyst", "admin"):
         return shown
     return shown.withColumns({c: F.lit(None).cast(shown.schema[c].dataType) for c in ("correlation_id", "notes") if c in shown.columns})
+
+
+def reconciliation(before: DataFrame, after: DataFrame, scan_id: str) -> DataFrame:
+    """One row on what a scan did: findings new, seen, resolved by absence and opened again, told by their ids."""
+    a = before.select("id", F.col("state").alias("_was"))
+    b = after.select("id", "state", "resolution", "first_seen_scan_id", "last_seen_scan_id")
+    rows = b.join(a, "id", "left")
+    return rows.agg(
+        F.count_if(F.col("first_seen_scan_id") == scan_id).alias("new_findings"),
+        F.count_if(F.col("last_seen_scan_id") == scan_id).alias("seen_findings"),
+        F.count_if((F.col("_was") == "open") & (F.col("state") == "resolved") & (F.col("resolution") == "auto")).alias("resolved_findings"),
+        F.count_if((F.col("_was") == "resolved") & (F.col("state") == "open")).alias("reopened_findings"),
+    )
+
+
+def audit_trail(events: DataFrame, target_type: str, target_id: str) -> DataFrame:
+    """What was done to one object, in order."""
+    return events.where((F.col("target_type") == target_type) & (F.col("target_id") == target_id)).orderBy("created_at", "id")
+
+
+def guidance(findings: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each finding with its rule's guidance, or the one kept under ``default``."""
+    default = texts.where("rule_id = 'default'").select(F.col("guidance").alias("_default")).limit(1).collect()
+    own = texts.where("rule_id <> 'default'").select("rule_id", "guidance")
+    return findings.join(own, "rule_id", "left").withColumn("guidance", F.coalesce("guidance", F.lit(default[0]["_default"] if default else None)))
+
+
+def unauthorised(validations: DataFrame, policies: DataFrame) -> DataFrame:
+    """Validation results that no enabled policy for their rule, provider and contract allowed."""
+    keys = ["rule_id", "provider", "contract_version"]
+    return validations.join(policies.where("enabled").select(*keys), keys, "left_anti")
+
+
+def fetch_tallies(units: DataFrame) -> DataFrame:
+    """A row per source of units: how many were scanned, skipped and failed."""
+    count = lambda what: F.count_if(F.col("outcome") == what).alias(what)
+    return units.groupBy("connector_type").agg(F.count(F.lit(1)).alias("units"), count("scanned"), count("skipped"), count("failed"))

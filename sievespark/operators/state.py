@@ -45,7 +45,8 @@ def upsert(state: DataFrame, plan: DataFrame, scan_id: str, at: Column) -> DataF
     """The state after a planned batch: one full outer join on the stored identity.
 
     A sighting renews content and ``last_seen_scan_id``, fills a missing correlation only, and opens what was
-    resolved; whatever people have decided otherwise stays.
+    resolved; whatever people have decided otherwise stays. A new finding's ``id`` is a hash of its identity, and
+    a finding keeps its id when its fingerprint moves.
     """
     seen = plan.where("action <> 'below_threshold'")
     new = seen.select("source_id", F.coalesce("stored_fingerprint", "fingerprint").alias("_key"), F.struct(*[F.col(c) for c in ("fingerprint", "secret_hash", "correlation_id", "action", *_CONTENT)]).alias("_n"))
@@ -57,6 +58,7 @@ def upsert(state: DataFrame, plan: DataFrame, scan_id: str, at: Column) -> DataF
     columns = {c: F.col(f"_o.{c}").alias(c) for c in state.columns} | {c: take(c) for c in ("fingerprint", "secret_hash", *_CONTENT)}
     columns |= {
         "source_id": F.col("source_id"),
+        "id": F.coalesce("_o.id", F.sha2(F.concat_ws("|", "source_id", "_key"), 256)).alias("id"),
         "correlation_id": F.coalesce("_o.correlation_id", "_n.correlation_id").alias("correlation_id"),
         "state": F.when(made | F.coalesce(opened, F.lit(False)), "open").otherwise(F.col("_o.state")).alias("state"),
         "resolution": F.when(~made & ~F.coalesce(opened, F.lit(False)), F.col("_o.resolution")).alias("resolution"),

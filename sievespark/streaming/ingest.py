@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect, state
 from ..plans.rules import RulePack
@@ -61,3 +65,26 @@ def once(events: DataFrame, keys: list[str], at: str = "ts", watermark: str = "1
 def timed_out(rows: DataFrame, beat: str, as_of, seconds: int) -> DataFrame:
     """Rows whose last sign of life is older than ``seconds``; those that never gave one are left alone."""
     return rows.where(F.unix_timestamp(as_of) - F.unix_timestamp(beat) > seconds)
+
+
+def newest_on_stream(events: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """A stream's newest value per key by the event's own time: rows ``key, value, at`` whenever one is renewed.
+
+    A late event that is older than what is known changes nothing. The state is a value and a time per key.
+    """
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, value)}
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        best = held.get if held.exists else None
+        renewed = False
+        for frame in frames:
+            row = frame.sort_values(["_us", value]).iloc[-1]
+            if best is None or row["_us"] > best[1]:
+                best, renewed = (row[value], int(row["_us"])), True
+        if renewed:
+            held.update(best)
+            yield pd.DataFrame({key: [k[0]], value: [best[0]], "_us": [best[1]]})
+
+    slim = events.select(key, value, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    found = slim.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{value}` {kinds[value]}, _us bigint", f"`{value}` {kinds[value]}, _us bigint", "update", GroupStateTimeout.NoTimeout)
+    return found.select(key, value, F.timestamp_micros("_us").alias(at))

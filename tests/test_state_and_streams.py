@@ -106,3 +106,20 @@ def test_windows_on_a_stream_equal_the_batch(spark, sf_dir, tmp_path):
     q = ingest.rate_windows(stream, "user_id").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.sql("select * from rates").collect())) == sorted(map(tuple, ingest.rate_windows(events, "user_id").collect()))
+
+
+def test_late_events_on_a_stream(spark, tmp_path):
+    t = lambda m: datetime.datetime(2026, 1, 1, 0, m)
+    put = lambda *rows: spark.createDataFrame(list(rows), "k string, v string, at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = []
+
+    def run():
+        stream = spark.readStream.schema("k string, v string, at timestamp").parquet(f"{tmp_path}/in")
+        q = ingest.newest_on_stream(stream, "k", "v", "at").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+        q.foreachBatch(lambda b, n: out.append(sorted((r.k, r.v) for r in b.collect()))).start().awaitTermination()
+
+    put(("a", "open", t(5)), ("a", "early", t(1)), ("b", "x", t(2)))
+    run()
+    put(("a", "late", t(3)), ("b", "y", t(9)))
+    run()
+    assert [b for b in out if b] == [[("a", "open"), ("b", "x")], [("b", "y")]]
