@@ -47,9 +47,17 @@ def rate_windows(events: DataFrame, key: str, at: str = "ts", seconds: int = 60,
 
 
 def sliding_count(events: DataFrame, key: str, order: str, at: str = "ts", seconds: int = 60) -> DataFrame:
-    """Each event with the number of its key's events in the last ``seconds``, itself included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-(seconds * 1_000_000) + 1, 0)
-    return events.select(key, order, at, F.count(F.lit(1)).over(w).alias("n"))
+    """Each event with the number of its key's events in the last ``seconds``, itself included.
+
+    Time is cut into stretches of that length; an event also stands in the next stretch, as what came before.
+    So a window never looks beyond one key and stretch, and a key with most of the events is still spread.
+    """
+    micros, step = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
+    stretch = F.floor(F.col("_us") / step)
+    twice = F.explode(F.array(F.struct(stretch.alias("at"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("at"), F.lit(False).alias("own"))))
+    rows = events.select(key, order, at, micros.alias("_us")).select("*", twice.alias("_s"))
+    w = Window.partitionBy(key, "_s.at").orderBy("_us").rangeBetween(-step + 1, 0)
+    return rows.withColumn("n", F.count(F.lit(1)).over(w)).where("_s.own").select(key, order, at, "n")
 
 
 def latest_by_time(events: DataFrame, key: str, value: str, at: str, arrived: str) -> DataFrame:
