@@ -59,11 +59,22 @@ class Detector:
     def __init__(self, pack: RulePack, threshold: float = THRESHOLD, most: int = MOST_MATCHES):
         self.pack, self.threshold, self.most = pack, threshold, most
         self.rules = [(r, p, "secret" if "secret" in p.groupindex else 0) for r in pack.rules for p in [r.pattern()]]
+        self.hints = [tuple(h.lower() for h in r.hint) for r in pack.rules]
         self.words = {k: re.compile(rf"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])") for r in pack.rules for k in r.keywords}
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """``(rule's place, start, end)`` of every match's secret in pack order, before any gate."""
-        return [(i, *s) for i, (_, p, group) in enumerate(self.rules) for m in p.finditer(text) if (s := m.span(group))[0] < s[1] and s[0] >= 0]
+        """``(rule's place, start, end)`` of every match's secret in pack order, before any gate.
+
+        A rule whose hints are all missing can't match and isn't tried. The two letters that fold to plain s and
+        k are not lowered to them, so a text with one is tried with every rule.
+        """
+        low = text.lower()
+        every = "\u017f" in text or "\u212a" in text
+        out = []
+        for i, (rule, pattern, group) in enumerate(self.rules):
+            if every or not rule.hint or any(h in low for h in self.hints[i]):
+                out += [(i, *s) for m in pattern.finditer(text) if (s := m.span(group))[0] < s[1] and s[0] >= 0]
+        return out
 
     def near(self, text: str, start: int, end: int, rule: Rule) -> str | None:
         """The rule's first keyword with a foot in the window; its neighbours are seen beyond the window's edge."""
