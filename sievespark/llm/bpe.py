@@ -58,15 +58,15 @@ class TrieCoder:
     def __init__(self, spec: str):
         model = json.loads(spec)
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.vocab: dict[str, int] = model["model"]["vocab"]
+        vocab: dict[str, int] = model["model"]["vocab"]
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.made = {a + b: ((a, b), i) for (a, b), i in self.rank.items()}
         self.edges: tuple[dict[str, list[tuple[str, int]]], ...] = ({}, {})
-        self.names = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
+        self.names = {i: t for t, i in chain(vocab.items(), self.special.items())}
         #: Tokens by their symbols, inside a word and at its end, and the longest of those with a given tail.
-        self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(END)}
-        self.final = {t[: -len(END)]: i for t, i in self.vocab.items() if t.endswith(END)}
+        self.inner = {t: i for t, i in vocab.items() if not t.endswith(END)}
+        self.final = {t[: -len(END)]: i for t, i in vocab.items() if t.endswith(END)}
         self.inner_tails, self.final_tails = self._tails(self.inner), self._tails(self.final)
         self.alphabet = byte_alphabet()
         self.bytes_as = {i: c for i, c in enumerate(self.alphabet)}
@@ -184,8 +184,6 @@ class TrieCoder:
     def words_of(self, piece: str) -> list[str | int]:
         """Pre-tokens of text without white space in the byte alphabet; special tokens' strings are ids at once."""
         if piece.isascii():
-            if piece.isalpha():
-                return [piece.lower()]
             if piece[-1] in ",.;:!?" and piece[:-1].isalpha():
                 return [piece[:-1].lower(), piece[-1]]
         out: list[str | int] = []
@@ -212,18 +210,28 @@ class TrieCoder:
         if len(self.ids) > MOST_PIECES:
             self.older, self.ids, self.texts = (self.ids, self.texts), {}, {}
         ids, decoded, (old_ids, old_texts) = self.ids, self.texts, self.older
-        new: dict[str, list[str | int]] = {}
+        plain: dict[str, str] = {}
+        mixed: dict[str, list[str | int]] = {}
         for piece in {*chain.from_iterable(cut)}.difference(ids):
             if piece in old_ids:
                 ids[piece], decoded[piece] = old_ids[piece], old_texts[piece]
+            elif piece.isascii() and piece.isalpha():
+                plain[piece] = piece.lower()
             else:
-                new[piece] = self.words_of(piece)
-        words = sorted({w for ws in new.values() for w in ws if type(w) is str and not (w in ids and w.isascii() and w.isalpha())})
-        names = self.names
-        found = {word: (array("i", out).tobytes(), " ".join([names[i] for i in out])) for word, out in zip(words, self.encode_words(words))}
-        for piece, ws in new.items():
-            parts = [found.get(w) or ((ids[w], decoded[w]) if type(w) is str else (array("i", [w]).tobytes(), names[w])) for w in ws]
-            ids[piece], decoded[piece] = parts[0] if len(parts) == 1 else (b"".join([a for a, _ in parts]), " ".join([b for _, b in parts]))
+                mixed[piece] = self.words_of(piece)
+        needed = {*plain.values()}
+        needed.update([w for ws in mixed.values() for w in ws if type(w) is str])
+        # A plain word's own entry is its encoding; a word in the byte alphabet may look like another piece.
+        words = sorted([w for w in needed if not (w in ids and w.isascii() and w.isalpha())])
+        names, found, found_texts = self.names, {}, {}
+        for word, out in zip(words, self.encode_words(words)):
+            found[word] = array("i", out).tobytes()
+            found_texts[word] = " ".join([names[i] for i in out]) if len(out) > 1 else names[out[0]]
+        for piece, word in plain.items():
+            ids[piece], decoded[piece] = (found[word], found_texts[word]) if word in found else (ids[word], decoded[word])
+        for piece, ws in mixed.items():
+            parts = [(found[w], found_texts[w]) if w in found else (ids[w], decoded[w]) if type(w) is str else (array("i", [w]).tobytes(), names[w]) for w in ws]
+            ids[piece], decoded[piece] = b"".join([a for a, _ in parts]), " ".join([b for _, b in parts])
         return cut
 
 
@@ -264,6 +272,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 flat = np.frombuffer(b"".join(raw), np.int32)
                 decoded = pa.array([" ".join(map(get_text, pieces)) for pieces in cut], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, flat), decoded], names=["id", "ids", "decoded"])
+        coder.older = ({}, {})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
