@@ -18,23 +18,24 @@ from .common import materialize, sized_broadcast
 BUCKETS, SMOOTHING, THRESHOLD = 16384, 0.5, -0.042
 #: Fewest words; most words in repeated windows, in percent; words a window.
 FEWEST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
-_SPACE = r"[\x20\x09-\x0D]+"
+_SPACE, _SYMBOL = r"[\x20\x09-\x0D]+", "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
     """Runs of anything but space, tab, LF, VT, FF and CR, in order; a null text has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPACE))
 
 
-def bucket_of(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+def bucket_of(*gram: Column) -> Column:
+    return F.pmod(F.xxhash64(*gram), F.lit(BUCKETS)).cast("int")
 
 
 def grams_of(words: Column) -> Column:
     """Buckets of all words and of all pairs of neighbours."""
     n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: bucket_of(F.concat_ws(" ", a, b)))
-    return F.concat(F.transform(words, bucket_of), pairs)
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: bucket_of(a, b))
+    return F.concat(F.transform(words, lambda w: bucket_of(w)), pairs)
 
 
 def with_value(value: Column, body) -> Column:
@@ -78,11 +79,12 @@ def mean_log_ratio(words: Column, ratios: list[float]) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of three words found twice or more in the text, the first one included.
 
-    The windows are sorted by their text, so equal ones stand together; the places of those are sorted again
-    and the words that they cover counted. Texts whose windows all differ skip that.
+    Windows are told apart by 64-bit hashes. If all differ, none repeats; else hashes with their places are
+    sorted, so that equal ones stand together, the places of those are sorted again and the words that they
+    cover counted.
     """
     span = F.size(words) - (WINDOW - 1)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(span, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(words, i), F.try_element_at(words, i + 1), F.try_element_at(words, i + 2)))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(span - 1, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(places: Column) -> Column:
         gap = lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(places, i + 1) - p, F.lit(WINDOW)))
@@ -100,6 +102,11 @@ def repeated_words(words: Column) -> Column:
     return F.when(span < 2, F.lit(0)).otherwise(with_value(windows, count)).cast("bigint")
 
 
+def symbols(text: Column) -> Column:
+    """Characters of ``#*$%&|<>``; most texts have none and are only searched."""
+    return F.when(text.rlike(_SYMBOL), F.length(text) - F.length(F.regexp_replace(text, f"{_SYMBOL}+", ""))).otherwise(F.lit(0)).cast("bigint")
+
+
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that are equal to an earlier line."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -120,8 +127,8 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     found = found.select(
         "id",
         F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("_text", _SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
+        F.aggregate("_words", F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)).alias("word_chars"),
+        symbols(F.col("_text")).alias("n_symbols"),
         duplicate_lines(F.col("_text")).alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
         with_value(F.col("_words"), lambda w: mean_log_ratio(w, ratios)).alias("log_ratio"),

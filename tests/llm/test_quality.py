@@ -53,8 +53,8 @@ def test_ratio_is_the_mean_over_all_grams(spark):
     counts = {x.bucket: (x.n_raw, x.n_trusted) for x in quality.bucket_counts(table, table.where("doc_id = 1")).collect()}
     assert sum(n for n, _ in counts.values()) == 5 + 3 and sum(n for _, n in counts.values()) == 5
     ratios = quality.log_ratios(quality.bucket_counts(table, table.where("doc_id = 1")))
-    bucket = lambda w: spark.range(1).select(quality.bucket_of(quality.F.lit(w)).alias("b")).first().b
-    want = sum(ratios[bucket(g)] for g in ("a", "b", "a", "a b", "b a")) / 5
+    bucket = lambda *w: spark.range(1).select(quality.bucket_of(*map(quality.F.lit, w)).alias("b")).first().b
+    want = sum(ratios[bucket(*g)] for g in ("a", "b", "a", "ab", "ba")) / 5
     got = {x.id: x.log_ratio for x in quality.quality(table, table.where("doc_id = 1")).collect()}
     assert abs(got[1] - want) < 1e-9
 
