@@ -40,7 +40,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
     "cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription share sharing social comment comments disqus replies reply related recommended pagination pager "
-    "toolbar widget skip copyright".split()
+    "toolbar topbar sidenav offcanvas dropdown submenu widget skip copyright adsbygoogle adslot adbox outbrain taboola respond signup".split()
 )
 #: The same that hold only outside the article, where a header belongs to the page.
 OUTSIDE = frozenset(["header"])
@@ -115,7 +115,8 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
 
     An element's hash covers the styles and texts of all that is in it, so a frame around changing content
     changes with it. Tolerant and linear: unclosed elements end with the one around them, stray end tags are
-    ignored, raw elements run to their end tag, and a page cut off anywhere gives what it holds.
+    ignored, raw elements run to their end tag, and a page cut off anywhere gives what it holds. An inline
+    element that is never main text is left out of its block's text, at most up to the end of the block.
     """
     digest = xxhash.xxh64_intdigest
     stack = [_Node("", _ROOT, False, False, False, [])]
@@ -123,9 +124,11 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
     shown: dict[int, list[int]] = {}
     blocks: list[Block] = []
     parts: list[str] = []
+    muted: list[str] = []
     at, size = 0, len(page)
 
     def flush() -> None:
+        muted.clear()
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
@@ -143,9 +146,9 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
     while at < size:
         found = _TOKEN.search(page, at)
         if not found:
-            parts.append(page[at:])
+            parts.append("" if muted else page[at:])
             break
-        if found.start() > at:
+        if found.start() > at and not muted:
             parts.append(page[at : found.start()])
         at = found.end()
         tag = found[2]
@@ -155,6 +158,10 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
+            elif found[1] and muted[-1:] == [tag]:
+                muted.pop()
+            elif not found[1] and tag not in VOID and (muted[-1:] == [tag] or not muted and _never(tag, _attributes(found[3]), True)):
+                muted.append(tag)
             continue
         if found[1]:
             if open_tags.get(tag):
@@ -206,7 +213,7 @@ def _signed(x: int) -> int:
 
 
 def host_of(url_col: str):
-    """Host of a URL in lower case; a null or odd URL is a host of its own."""
+    """Host of a URL in lower case; empty for a null or odd URL, whose pages are never merged into a tree."""
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
@@ -246,7 +253,7 @@ def importance(counts: DataFrame) -> DataFrame:
 
 def low_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", fewest: int = FEWEST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """``(host, low)``: for each host the nodes that go, one row a host, only hosts that have such nodes."""
-    found = importance(style_counts(pages, url_col, html_col)).where((F.col("pages") >= fewest) & (F.col("importance") < least))
+    found = importance(style_counts(pages, url_col, html_col)).where((F.col("pages") >= fewest) & (F.col("importance") < least) & (F.col("host") != ""))
     return materialize(found.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "low-nodes")
 
 

@@ -14,6 +14,11 @@ def test_parts_that_are_never_main_text():
     assert h.main_text(page) == "Title & more\nOne two three\na\nb\nend A\n1\n2"
 
 
+def test_inline_parts_are_left_out():
+    page = '<article><p>one <span class="share-bar">Tweet <span>this</span></span> two <b hidden>x</b>three<a class="ad">never closed<p>four <i>five</i></article>'
+    assert h.main_text(page) == "one two three\nfour five"
+
+
 def test_malformed_pages():
     assert h.main_text("") == ""
     assert h.main_text("plain &lt; text & more\n\n x") == "plain < text & more x"
@@ -30,6 +35,7 @@ def test_style_tree_drops_what_all_pages_of_a_host_show(spark):
     pages = [(i, f"http://Big.example:80/{i}", page(i), "clash", "clash", "clash") for i in range(12)]
     pages += [(100 + i, f"https://u@few.example/{i}", page(i), "", "", "") for i in range(2)]
     pages += [(200 + i, f"http://one.example/{i}", "<body><article><p>the same article</p></article></body>", "", "", "") for i in range(12)]
+    pages += [(400 + i, None, page(0), "", "", "") for i in range(9)]
     pages += [(300, None, page(7), None, None, None), (301, "no url", None, "", "", ""), (302, "http://Big.example/x", "", "", "", ""), pages[0]]
     got = [(x.page_id, x.text) for x in h.extract(spark.createDataFrame(pages, PAGES)).collect()]
     assert len(got) == len(pages)
@@ -38,6 +44,7 @@ def test_style_tree_drops_what_all_pages_of_a_host_show(spark):
     assert by[100] == "Welcome to our place\nstory 0 of many\nAll rights are ours"
     assert all(by[200 + i] == "the same article" for i in range(12))
     assert by[301] == by[302] == ""
+    assert all(by[400 + i] == by[100] for i in range(9))
 
 
 def test_importance_is_normalised_entropy(spark):

@@ -54,3 +54,23 @@ def test_stages_follow_from_one_another(spark, sf_dir, stages):
 def test_run_gives_the_last_stage(spark, sf_dir, stages):
     got = sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in entry.queries()["pipeline"](spark, sf_dir).collect())
     assert got == sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in stages[-1])
+
+
+def test_every_stage_takes_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, label int, fp string, _trusted int"
+    rows = [(1, None, None, None, None, None, None, None, None), (2, "", "", "", 0, "", 0, "", 0), (None, "some text here", "en", "s", 14, "x", 1, "f", 1), (3, "w " * 60_000, "en", "s", 120_000, "x", 1, "f", 1)]
+    rows += [(4, "the very same words", "en", "s", 19, "x", 1, "f", 1)] * 2
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, docs, sf_dir)
+            if name == "bpe":
+                assert found.count() == docs.count()
+                continue
+            assert found.columns == docs.columns, name
+            docs = found
+            assert docs.count() <= n
+        if n:
+            assert {r.doc_id for r in docs.collect()} == {1, None, 3, 4}
