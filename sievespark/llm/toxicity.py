@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN_WORDS = 100_000
+#: Log-odds of every text where there is nothing to learn from.
+UNLABELLED = -1.0
 
 
 @dataclass(frozen=True)
@@ -97,7 +99,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> Model:
     """One weight vector from labelled slot lists, visited in the given order ``epochs`` times.
 
     A slot in so few documents that its gradients can't add up to ``l1`` keeps weight zero whatever happens, and
-    is left out from the start.
+    is left out from the start. The intercept is free of ``l1``, so that few labels still tell how rare label 1 is.
     """
     size = (2 << s.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
@@ -107,9 +109,9 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> Model:
     scale[last] = 1.0
 
     def weight(i: np.ndarray) -> np.ndarray:
-        zi = z[i]
-        w = (np.sign(zi) * s.l1 - zi) / ((s.beta + np.sqrt(n[i])) / s.alpha + s.l2)
-        return np.where(np.abs(zi) <= s.l1, 0.0, w)
+        zi, least = z[i], np.where(i == last, 0.0, s.l1)
+        w = (np.sign(zi) * least - zi) / ((s.beta + np.sqrt(n[i])) / s.alpha + s.l2)
+        return np.where(np.abs(zi) <= least, 0.0, w)
 
     seen = np.zeros(size - 1, np.int32)
     for slots, _ in rows:
@@ -131,7 +133,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> Model:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
-    """Model from labelled rows; rows with a null id or label are left out, an empty table gives a zero model.
+    """Model from labelled rows; rows with a null id or label are left out, an empty table gives a model without
+    weights that takes nothing for toxic.
 
     Features are made where the texts lie; at most ``max_labelled`` slot lists, a bound that doesn't grow with
     the corpus, meet in the one task that visits them in order of their hashed ids. Only the model comes back.
@@ -159,7 +162,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     ready = rows.mapInArrow(slots, "at bigint, label int, slots array<int>")
     first = ready.repartition(1).sortWithinPartitions("at", "label").mapInArrow(train, "bias double, slots array<int>, weights array<float>").first()
     if first is None:
-        return Model(s.bits, s.skips, s.context, 0.0, np.zeros(0, np.int32), np.zeros(0, np.float32))
+        return Model(s.bits, s.skips, s.context, UNLABELLED, np.zeros(0, np.int32), np.zeros(0, np.float32))
     return Model(s.bits, s.skips, s.context, first.bias, np.array(first.slots, np.int32), np.array(first.weights, np.float32))
 
 
@@ -201,7 +204,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``(id, held_out, score, predicted)`` per row of ``docs``; fitted on the rows of ``labels`` outside the held-out part.
 
     Ids, languages and sources are never features. A null id counts as not held out. Without labels all
-    scores are 0.5. Repeated rows each keep a row.
+    scores are the same and below 0.5. Repeated rows each keep a row.
     """
     model = fit(labelled_sample(docs, labels, id_col, text_col, label_col, settings.max_labelled), id_col, text_col, label_col, settings)
     found = score(docs, model, id_col, text_col)
