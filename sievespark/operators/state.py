@@ -177,3 +177,25 @@ def latest(spark: SparkSession, folder: str) -> int | None:
 
 def load(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     return spark.read.parquet(f"{folder}/v={latest(spark, folder) if version is None else version}")
+
+
+def verify(actions: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
+    """Remediation rows after verifications ``(id, actor_id)``: set once, and never on a row taken back."""
+    return _once(actions, requests, at, {"verified_at": at, "verified_by": F.col("actor_id")}, "verified_at")
+
+
+def retract(actions: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
+    """Remediation rows after being taken back by ``(id, actor_id, reason)``; the first time counts, nothing is deleted."""
+    return _once(actions, requests, at, {"retracted_at": at, "retracted_by": F.col("actor_id"), "retracted_reason": F.col("reason")}, "retracted_at")
+
+
+def _once(actions: DataFrame, requests: DataFrame, at: Column, values: dict[str, Column], mark: str) -> DataFrame:
+    asked = requests.dropDuplicates(["id"]).withColumn("_asked", F.lit(True))
+    rows = actions.join(asked, "id", "left")
+    hit = F.col("_asked").isNotNull() & F.col(mark).isNull() & F.col("retracted_at").isNull()
+    return rows.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in actions.columns])
+
+
+def audit(actor_id: str | None, action: str, changed: DataFrame, target_type: str, at: Column, id_col: str = "id") -> DataFrame:
+    """Rows to append to the audit log: one per changed row with ``from_value`` and ``to_value``."""
+    return changed.select(F.lit(actor_id).cast("string").alias("actor_id"), F.lit(action).alias("action"), F.lit(target_type).alias("target_type"), F.col(id_col).cast("string").alias("target_id"), "from_value", "to_value", at.alias("created_at"))

@@ -123,3 +123,16 @@ def test_late_events_on_a_stream(spark, tmp_path):
     put(("a", "late", t(3)), ("b", "y", t(9)))
     run()
     assert [b for b in out if b] == [[("a", "open"), ("b", "x")], [("b", "y")]]
+
+
+def test_remediation_is_set_once(spark):
+    schema = "id string, finding_id string, verified_at timestamp, verified_by string, retracted_at timestamp, retracted_by string, retracted_reason string"
+    actions = spark.createDataFrame([("1", "f", None, None, None, None, None), ("2", "f", None, None, None, None, None)], schema)
+    ask = lambda *rows: spark.createDataFrame(list(rows), "id string, actor_id string, reason string")
+    one = state.verify(actions, ask(("1", "u1", None)), at())
+    two = state.retract(state.verify(one, ask(("1", "u2", None), ("2", "u2", None)), at()), ask(("2", "u3", "wrong")), at())
+    three = {r.id: r for r in state.retract(state.verify(two, ask(("2", "u9", None)), at()), ask(("2", "u9", "again")), at()).collect()}
+    assert (three["1"].verified_by, three["1"].retracted_by) == ("u1", None)
+    assert (three["2"].verified_by, three["2"].retracted_by, three["2"].retracted_reason) == ("u2", "u3", "wrong")
+    log = state.audit("u3", "retract", two.select("id", F.lit(None).cast("string").alias("from_value"), F.lit("x").alias("to_value")), "action", at())
+    assert log.count() == 2

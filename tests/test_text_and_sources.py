@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievespark.functions import extract, globs, identity, markup
-from sievespark.sources import fake, files, sinks, units
+from sievespark.sources import conformance, fake, files, sinks, units
 
 
 def test_storage_text():
@@ -137,3 +137,15 @@ def test_locator_and_gap(spark):
     row = spark.createDataFrame([({"title": "t", "resource_id": "wrong"}, "7")], "d map<string,string>, r string")
     out = row.select(identity.locator(F.col("d"), F.lit("wiki"), F.col("r"), F.lit(None).cast("string"), F.lit(5)).alias("l"), identity.gap_reference(F.lit("page"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")), b"p" * 16).alias("g"), identity.gap_reference(F.lit("page"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), b"p" * 16).alias("h")).first()
     assert out.l == {"title": "t", "connector_type": "wiki", "resource_id": "7", "offset": "5"} and out.g == out.h
+
+
+def test_conformance(spark):
+    fake.register(spark)
+    spaces = json.dumps({"a": [{"id": 1, "text": "one", "revision": 3}, {"id": 2, "text": "two", "revision": 9}], "b": [{"id": 4, "text": "x"}]})
+    read = lambda **o: spark.read.format("sieve_fake").option("spaces", spaces).options(**o).load()
+    whole, part = read(), read(since=3)
+    assert conformance.undetermined(read).isEmpty() and conformance.beyond(part, whole).isEmpty() and conformance.repeated(whole).isEmpty()
+    assert conformance.beyond(whole, part).count() == 1
+    assert conformance.lost(whole.where("resource_id = '1'"), part, whole).isEmpty() and conformance.lost(part, part, whole).count() == 1
+    assert conformance.repeated(whole.union(whole)).count() == 3
+    assert conformance.leaking(whole, ["resource_id", "space"], "two").isEmpty() and conformance.leaking(whole, ["text"], "two").count() == 1
