@@ -167,9 +167,18 @@ class Keys:
 
 
 def pruned(units: DataFrame, pack: RulePack, text_col: str = "text") -> DataFrame:
-    """Units that could hold something to report, by one pattern in the JVM."""
-    hint = pack.prune()
-    return units.where(F.col(text_col).isNotNull()) if hint is None else units.where(F.col(text_col).rlike(hint))
+    """Units that could hold something to report, by plain searches in the JVM."""
+    hints, text = pack.prune(), F.col(text_col)
+    if hints is None:
+        return units.where(text.isNotNull())
+
+    def holds(low: Column) -> Column:
+        found = text.contains("\u017f") | text.contains("\u212a")
+        for h in hints:
+            found = found | low.contains(h)
+        return found
+
+    return units.where(F.transform(F.array(F.lower(text)), holds)[0])
 
 
 def _units(units: DataFrame) -> list[Column]:

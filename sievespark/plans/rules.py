@@ -56,13 +56,13 @@ class RulePack:
     version: str
     rules: tuple[Rule, ...]
 
-    def prune(self) -> str | None:
-        """Java pattern that every text with a reportable match contains; None if some rule gives no hint."""
+    def prune(self) -> tuple[str, ...] | None:
+        """Lower-case words of which a text holds one if it has a reportable match; None if some rule gives no hint."""
         hints = [r.hints() for r in self.rules]
         if not hints or not all(hints):
             return None
-        words = sorted({h.lower() for hs in hints for h in hs})
-        return "(?iu)" + "|".join(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", w) for w in words)
+        words = {h.lower() for hs in hints for h in hs}
+        return tuple(sorted(w for w in words if not any(v != w and v in w for v in words)))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """The rules as a table."""
