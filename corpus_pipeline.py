@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm import bpe, decontaminate, secrets, simhash, toxicity
+from sievespark.llm import bpe, decontaminate, near_copies, secrets, toxicity
 from sievespark.llm.common import materialize, read_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class."""
-    return simhash.representatives(docs)
+    """The document with the smallest id of each class of texts whose 5-word shingles are 80 % the same or more."""
+    return near_copies.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

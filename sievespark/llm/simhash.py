@@ -120,6 +120,17 @@ def fingerprint_links(distinct: DataFrame, k: int = 2, segments: int = 5, bucket
     return pairs.union(stars).distinct()
 
 
+def classes_of(prints: DataFrame, links: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
+    """``(id, fp, component)`` per row of ``prints``, component being the smallest id that ``links`` between fp reach."""
+    distinct = distinct or materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    roots = connected_components(links, "a", "b")
+    linked = materialize(distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first"), "linked")
+    lowest = materialize(linked.groupBy("root").agg(F.min("first").alias("lowest")), "lowest")
+    classes = materialize(linked.join(lowest, "root").select("fp", "lowest"), "classes")
+    every = materialize(distinct.join(classes, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component")), "components")
+    return prints.join(every, "fp", "left").select("id", "fp", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 2, segments: int = 5, bucket: int = 32) -> DataFrame:
     """``(id, fp, component)`` per row of ``docs``; component is the smallest id reachable over links.
 
@@ -128,12 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    roots = connected_components(fingerprint_links(distinct, k, segments, bucket), "a", "b")
-    linked = materialize(distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first"), "linked")
-    lowest = materialize(linked.groupBy("root").agg(F.min("first").alias("lowest")), "lowest")
-    classes = materialize(linked.join(lowest, "root").select("fp", "lowest"), "classes")
-    every = materialize(distinct.join(classes, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component")), "components")
-    return prints.join(every, "fp", "left").select("id", "fp", "component")
+    return classes_of(prints, fingerprint_links(distinct, k, segments, bucket), distinct)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
