@@ -88,14 +88,26 @@ def issue_units(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return read, rows.where(~whole).select(F.lit("issue").alias("kind"), F.col("issue_id").cast("string").alias("id"), F.lit("invalid_response").alias("reason"))
 
 
-def field_history(changes: DataFrame, most: int = 1_000) -> DataFrame:
+def field_history(changes: DataFrame, most: int | None = None) -> DataFrame:
     """Texts of an issue's past: every value a field was given, and the one each field had first.
 
-    ``changes``: ``issue_id, entry, field, from_text, to_text``; at most the first ``most`` entries of an issue.
+    ``changes``: ``issue_id, entry, field, from_text, to_text``. All entries are read; a caller that asks for the
+    first ``most`` of an issue only has to report ``history_gaps`` as well.
     """
+    if most is not None:
+        changes = _numbered(changes).where(F.col("_n") <= most).drop("_n")
+    first = changes.groupBy("issue_id", "field").agg(F.min_by("from_text", "entry").alias("text"), F.min("entry").alias("entry"))
+    every = changes.select("issue_id", "field", F.col("to_text").alias("text"), "entry")
+    return every.union(first.select("issue_id", "field", "text", "entry")).where("text is not null and text <> ''")
+
+
+def history_gaps(changes: DataFrame, most: int) -> DataFrame:
+    """Issues ``(kind, id, reason)`` with entries past the first ``most``: gaps of the scan's scope."""
+    beyond = changes.groupBy("issue_id").agg(F.count_distinct("entry").alias("_n")).where(F.col("_n") > most)
+    return beyond.select(F.lit("scope_gap").alias("kind"), F.col("issue_id").cast("string").alias("id"), F.lit("unreported").alias("reason"))
+
+
+def _numbered(changes: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    capped = changes.withColumn("_n", F.dense_rank().over(Window.partitionBy("issue_id").orderBy("entry"))).where(F.col("_n") <= most)
-    first = capped.groupBy("issue_id", "field").agg(F.min_by("from_text", "entry").alias("text"), F.min("entry").alias("entry"))
-    every = capped.select("issue_id", "field", F.col("to_text").alias("text"), "entry")
-    return every.union(first.select("issue_id", "field", "text", "entry")).where("text is not null and text <> ''")
+    return changes.withColumn("_n", F.dense_rank().over(Window.partitionBy("issue_id").orderBy("entry")))
