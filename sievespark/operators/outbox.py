@@ -9,6 +9,8 @@ from ..functions.severity import at_least
 from .route import overdue
 
 BACKOFF_SECONDS, MOST_ATTEMPTS, SILENCE_HOURS, SNIPPET, MOST_ACTIONS = 60, 5, 72, 500, 10
+#: Shares of a finding's actions that are ranked apart before the rest is.
+SHARES = 64
 #: States at the other end.
 CLOSED_THERE, LIVE_THERE = ("resolved", "rejected", "cancelled"), ("open", "in_progress")
 #: Channels are set up by people; more than this many are refused, as every row holds those that want it.
@@ -96,9 +98,19 @@ def callbacks(handoffs: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def first_actions(actions: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
-    """Per finding its first actions by time as one array, at most ``most``."""
+    """Per finding its first actions by time as one array, at most ``most``.
+
+    Rows are ranked first, in a task's share of a finding and then among what the shares leave, so that no task
+    takes all actions of a busy one and no array holds more than ``most``.
+    """
+    from pyspark.sql import Window
+
+    order = (F.col("occurred_at").asc_nulls_first(), F.col("kind").asc_nulls_first())
+    rows = actions.select("finding_id", "occurred_at", "kind").withColumn("_share", F.pmod(F.xxhash64("occurred_at", "kind"), F.lit(SHARES)))
+    for key in (("finding_id", "_share"), ("finding_id",)):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
     ordered = F.slice(F.array_sort(F.collect_list(F.struct("occurred_at", "kind"))), 1, most)
-    return actions.groupBy("finding_id").agg(ordered.alias("actions"))
+    return rows.groupBy("finding_id").agg(ordered.alias("actions"))
 
 
 def request(wanted: DataFrame, existing: DataFrame, allowed: Column) -> tuple[DataFrame, DataFrame]:
