@@ -263,9 +263,15 @@ def find(docs: DataFrame, chooser: Chooser, id_col: str = "doc_id", text_col: st
     rows = rows.select("id", "text", *[slim(base_spans(F.col("text"), k)).alias(k) for k in KINDS], proposals(F.col("text")).alias("_loose"))
     rows = rows.withColumn("_base", F.concat(*KINDS)).withColumn("_loose", slim(F.filter("_loose", chooser.selects)))
     rows = rows.withColumn("_loose", F.filter("_loose", lambda c: _clear_of(c, F.col("_base"))))
-    rank = lambda c: F.struct(c["start"], -c["end"], c["kind"])
-    before = lambda o, c: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) < rank(c))
-    first = F.filter("_loose", lambda c: ~F.exists(F.col("_loose"), lambda o: before(o, c)))
+    ordered = F.array_sort(F.transform("_loose", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
+    kept = "array<struct<kind:int,start:int,end:int>>"
+
+    def keep(acc: Column, c: Column) -> Column:
+        one = F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["back"]).alias("end"))).cast(kept)
+        clear = c["start"] >= acc["at"]
+        return F.struct(F.when(clear, -c["back"]).otherwise(acc["at"]).alias("at"), F.when(clear, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    first = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("out")), keep, lambda acc: acc["out"])
     return rows.select("id", "text", *KINDS, first.alias("added"))
 
 
