@@ -33,6 +33,13 @@ A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A
 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-33479
 3D000-3FC3F
 """
+#: Capitals younger than Python's tables, which the files' library does lower, as ranges with their first small letter.
+CAPITALS = """
+1C89-1C89:1C8A A7CB-A7CB:0264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:019B
+10D50-10D65:10D70 16EA0-16EB8:16EBB
+"""
+_LOWER = {int(a, 16) + i: int(to, 16) + i for span, to in (x.split(":") for x in CAPITALS.split()) for a, b in [span.split("-")] for i in range(int(b, 16) - int(a, 16) + 1)}
+_HAS_CAPITAL = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
 _YOUNG = "[" + "".join("-".join(rf"\U{int(x, 16):08x}" for x in pair.split("-")) for pair in YOUNGER.split()) + "]"
 _HAS_YOUNG = regex.compile(_YOUNG)
 #: The pre-tokeniser's pattern inside text without white space, and Unicode's White_Space.
@@ -179,7 +186,8 @@ class TrieCoder:
         """NFC, then each character's own lower case, so a final capital sigma is lowered like any other."""
         if text.isascii():
             return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return (text.translate(_LOWER) if _HAS_CAPITAL.search(text) else text).lower()
 
     def words_of(self, piece: str) -> list[str | int]:
         """Pre-tokens of text without white space in the byte alphabet; special tokens' strings are ids at once."""
@@ -235,15 +243,15 @@ class TrieCoder:
         return cut
 
 
-_CODERS: dict[int, TrieCoder] = {}
+_CODERS: dict[str, TrieCoder] = {}
 
 
 def _coder(spec: str) -> TrieCoder:
     """One coder per worker process and vocabulary, so that later tasks find its trie."""
-    if (key := hash(spec)) not in _CODERS:
+    if spec not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = TrieCoder(spec)
-    return _CODERS[key]
+        _CODERS[spec] = TrieCoder(spec)
+    return _CODERS[spec]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,3 +46,16 @@ def test_prefixes_are_encoded_once():
     coder.states = 0
     assert list(coder.encode_words(["interning", "internist"])) == alone[::-1]
     assert coder.states == len("interning") + len("st")
+
+
+def test_every_code_point():
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation()
+    library.no_padding()
+    coder = bpe.TrieCoder(open(PATH, encoding="utf-8").read())
+    points = [x for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    for at in range(0, len(points), 20_000):
+        some = [f"x{chr(x)}1" for x in points[at : at + 20_000]]
+        cut = coder.learn(some)
+        got = [memoryview(b"".join(coder.ids[p] for p in pieces)).cast("i").tolist() for pieces in cut]
+        assert got == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
