@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from .common import materialize, new_path, text_bytes
 SHORTEST_SHARED = 1000
 #: A file is closed once it is this large; ranges up to this gap apart are read at once, up to this many bytes.
 FILE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
+#: Bytes of records that one task reads back.
+TASK_BYTES = 128 << 20
 _EOL = b"\r\n"
 INDEX = "file string, offset bigint, length bigint, url string, digest string"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -162,10 +165,17 @@ def coalesced(ranges: Iterator[tuple[str, int, int]], gap: int = GAP_BYTES, most
         yield file, low, high, parts
 
 
-def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+def read_tasks(index: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks for the records of an index: by their summed lengths, at least one a core, at most one a record."""
+    count, total = index.agg(F.count(F.lit(1)), F.sum("length")).first()
+    return max(1, min(count, max(index.sparkSession.sparkContext.defaultParallelism, math.ceil((total or 0) / task_bytes))))
+
+
+def read_records(index: DataFrame, folder: str, with_payload: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
     """The records (``RECORD``) of the given index rows, in any order; rows of an empty index give none.
 
-    The rows are range-partitioned by file and offset, so each task reads stretches of few files in order.
+    The rows are range-partitioned by file and offset, so each task reads stretches of few files in order. The
+    number of tasks follows the bytes of the records, as the index itself is too small to tell.
     """
     schema = RECORD if with_payload else RECORD.removesuffix(", payload binary")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -190,7 +200,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
         if source is not None:
             source.close()
 
-    spans = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    spans = index.select("file", "offset", "length").repartitionByRange(read_tasks(index, task_bytes), "file", "offset").sortWithinPartitions("file", "offset")
     return spans.mapInArrow(run, schema)
 
 

@@ -33,6 +33,19 @@ def test_selected_records_with_payloads(spark, tmp_path):
     assert warc.select(index, digests=spark.createDataFrame([(digest,)], "digest string")).count() == 2
 
 
+def test_reading_tasks_follow_the_bytes(spark, tmp_path):
+    folder = f"file://{tmp_path}/many"
+    rows = [(i, f"http://a/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 40, "", "") for i in range(400)] + [(1000, "http://long/", "é long text " * 300_000, "", "")]
+    index = warc.write_archives(spark.createDataFrame(rows, PAGES), folder)
+    total = sum(r["length"] for r in index.collect())
+    assert warc.read_tasks(index) == spark.sparkContext.defaultParallelism
+    assert warc.read_tasks(index, 4000) == -(-total // 4000)
+    assert warc.read_tasks(index.limit(2), 10) == 2 and warc.read_tasks(index.limit(0)) == 1
+    back = warc.read_records(index, folder, task_bytes=4000)
+    assert back.rdd.getNumPartitions() == -(-total // 4000)
+    assert sorted((r.page_id, len(r.payload)) for r in back.collect()) == sorted((i, len(t.encode())) for i, _, t, *_ in rows)
+
+
 def test_reads_are_coalesced():
     ranges = [("a", 0, 10), ("a", 10, 10), ("a", 25, 5), ("a", 1000, 5), ("b", 0, 5), ("b", 0, 5)]
     assert list(warc.coalesced(iter(ranges), gap=8, most=100)) == [("a", 0, 30, [(0, 10), (10, 10), (25, 5)]), ("a", 1000, 1005, [(1000, 5)]), ("b", 0, 5, [(0, 5), (0, 5)])]
