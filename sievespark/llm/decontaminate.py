@@ -9,7 +9,9 @@ over before the alignment; no match is lost by it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
@@ -17,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Share of an item's characters that may be inserted, deleted or replaced.
 ERROR_RATE = 0.1
 #: Length of the strings that the count before the distance looks at.
 GRAM = 5
-#: Characters of items that are broadcast at once; a larger benchmark is sought in several passes.
-BLOCK_CHARS = 4_000_000
-#: Items shorter than this, normalised, are too common to be evidence.
-SHORTEST_ITEM = 20
+#: Characters of items in one automaton, and automata that a task holds at once; beyond that texts are read again.
+BLOCK_CHARS, BLOCKS_AT_ONCE = 4_000_000, 4
+#: Normalised items below this many characters must stand there unchanged and as whole words.
+WHOLE_BELOW = 20
 
 
 def normalise(text: str) -> str:
@@ -32,9 +36,14 @@ def normalise(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def budget_of(item: str, error_rate: float = ERROR_RATE) -> int:
+    """Edits allowed for a normalised item; none for a short one."""
+    return int(len(item) * error_rate) if len(item) >= WHOLE_BELOW else 0
+
+
 def pieces(item: str, error_rate: float = ERROR_RATE) -> tuple[int, list[tuple[int, str]]]:
     """Error budget and the budget + 1 pieces with their offsets, of lengths that differ by one at most."""
-    budget = int(len(item) * error_rate)
+    budget = budget_of(item, error_rate)
     cuts = [i * len(item) // (budget + 1) for i in range(budget + 2)]
     return budget, [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -79,7 +88,7 @@ class Matcher:
     """The pieces of a block of items in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [(key, text, budget, peq(text)) for key, text in items for budget in [int(len(text) * error_rate)]]
+        self.items = [(key, text, budget, peq(text)) for key, text in items for budget in [budget_of(text, error_rate)]]
         self.grams = [[text[i : i + GRAM] for i in range(len(text) - GRAM + 1)] for _, text in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for at, (_, text, _, _) in enumerate(self.items):
@@ -98,7 +107,8 @@ class Matcher:
         hits: dict[int, list[int]] = {}
         for end, places in self.automaton.iter(text):
             for at, used in places:
-                hits.setdefault(at, []).append(end + 1 - used)
+                if len(self.items[at][1]) >= WHOLE_BELOW or _whole_words(text, end + 1 - used, end + 1):
+                    hits.setdefault(at, []).append(end + 1 - used)
         found = []
         for at, starts in hits.items():
             key, item, budget, masks = self.items[at]
@@ -120,6 +130,10 @@ class Matcher:
         return found
 
 
+def _whole_words(text: str, low: int, high: int) -> bool:
+    return not (low and text[low - 1].isalnum() and text[low].isalnum() or high < len(text) and text[high].isalnum() and text[high - 1].isalnum())
+
+
 def _merged(starts: list[int], length: int, budget: int) -> Iterator[tuple[int, int]]:
     """Windows that hold every passage aligned at one of the starts; overlapping ones become one."""
     low = high = None
@@ -135,12 +149,12 @@ def _merged(starts: list[int], length: int, budget: int) -> Iterator[tuple[int,
         yield low, high
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The stated query set in blocks of bounded size; rows with a null id or text are no items."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int, shortest_item: int = 0) -> Iterator[list[tuple[int, str]]]:
+    """The stated query set in blocks of bounded size; rows with a null id or no text are no items."""
     block, size = [], 0
     for row in benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).toLocalIterator():
         text = normalise(row[1])
-        if len(text) >= SHORTEST_ITEM:
+        if text and len(text) >= shortest_item:
             block.append((row[0], text))
             size += len(text)
             if size >= block_chars:
@@ -150,12 +164,19 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _passes(spark, found: Iterator[list[tuple[int, str]]]) -> Iterator[list]:
+    """Broadcasts of up to ``BLOCKS_AT_ONCE`` blocks, which one pass over the texts looks for."""
+    while part := list(islice(found, BLOCKS_AT_ONCE)):
+        yield [spark.sparkContext.broadcast((uuid.uuid4().hex, block)) for block in part]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, shortest_item: int = 0) -> DataFrame:
     """``(doc_id, item_id, distance, end)``: a row for each document and item that it holds within the budget.
 
-    ``end`` is the place in the normalised text where the best passage ends. Null texts match nothing; items
-    below ``SHORTEST_ITEM`` characters are skipped; repeated rows and items each give their rows. Documents
-    stay where they are, the items go to them in blocks, and nothing is shuffled.
+    ``end`` is the place in the normalised text where the best passage ends. Null texts match nothing. Items
+    below ``WHOLE_BELOW`` characters count where they stand unchanged and as whole words; ``shortest_item`` can
+    leave short ones out. Repeated rows and items each give their rows. Documents stay where they are, the items
+    go to them in blocks, several a pass, and nothing is shuffled.
     """
     spark = docs.sparkSession
     kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, id_col), (benchmark, item_id_col)))
@@ -163,13 +184,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     arrow_item = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = None
-    for block in blocks(benchmark, item_id_col, item_text_col, block_chars):
-        shared = spark.sparkContext.broadcast(block)
+    for shared in _passes(spark, blocks(benchmark, item_id_col, item_text_col, block_chars, shortest_item)):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matchers = _matchers(shared, error_rate)
             for batch in batches:
-                rows = [(at, *m) for at, x in enumerate(batch.column(1)) for m in matcher.search(normalise(x.as_py()))]
+                rows = [(at, *m) for at, x in enumerate(batch.column(1)) for text in [normalise(x.as_py())] for matcher in matchers for m in matcher.search(text)]
                 if rows:
                     at, item, distance, end = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(item, arrow_item), pa.array(distance, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "distance", "end"])
@@ -179,30 +199,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose own text holds no benchmark item; null texts stay."""
-    kept = docs
-    for block in blocks(benchmark, item_id_col, item_text_col, block_chars):
-        kept = kept.where(_without(docs.sparkSession.sparkContext.broadcast(block), error_rate)(F.col(text_col)))
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, shortest_item: int = 0) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose own text holds no benchmark item; null texts stay.
+
+    With more blocks than a task holds the rows left are written between the passes, so that no task ever
+    holds more.
+    """
+    kept, first = docs, True
+    for shared in _passes(docs.sparkSession, blocks(benchmark, item_id_col, item_text_col, block_chars, shortest_item)):
+        kept = (kept if first else materialize(kept, "not-yet-found")).where(_without(shared, error_rate)(F.col(text_col)))
+        first = False
     return kept
 
 
-def _without(shared, error_rate: float):
+def _without(shared: list, error_rate: float):
     @F.pandas_udf("boolean")
     def fine(texts: pd.Series) -> pd.Series:
-        matcher = _matcher(shared.value, error_rate)
-        return texts.map(lambda x: x is None or not matcher.search(normalise(x))).astype(bool)
+        matchers = _matchers(shared, error_rate)
+        return texts.map(lambda x: x is None or not any(m.search(text) for text in [normalise(x)] for m in matchers)).astype(bool)
 
     return fine
 
 
-_MATCHERS: dict[tuple[int, float], Matcher] = {}
+_MATCHERS: dict[tuple[str, float], Matcher] = {}
 
 
-def _matcher(block: list[tuple[int, str]], error_rate: float) -> Matcher:
-    """One automaton per worker process and block, so that it isn't built anew for each batch."""
-    key = hash(tuple(block)), error_rate
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(block, error_rate)
-    return _MATCHERS[key]
+def _matchers(shared: list, error_rate: float) -> list[Matcher]:
+    """One automaton per worker process and block of the pass; those of other passes go."""
+    wanted = {(b.value[0], error_rate): b.value[1] for b in shared}
+    for key in _MATCHERS.keys() - wanted.keys():
+        del _MATCHERS[key]
+    for key in wanted.keys() - _MATCHERS.keys():
+        _MATCHERS[key] = Matcher(wanted[key], error_rate)
+    return [_MATCHERS[key] for key in wanted]

@@ -36,7 +36,7 @@ def test_pieces_cover_the_item():
 def test_search_equals_brute_force(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("aeinrst") for _ in range(r.randint(2, 6)))
-    items = [(i, " ".join(word() for _ in range(12))) for i in range(6)] + [(6, "too short"), (7, None), (None, "an item without any id at all")]
+    items = [(i, " ".join(word() for _ in range(12))) for i in range(6)] + [(6, "Yes  no"), (7, None), (8, "  "), (None, "an item without any id at all")]
     docs = []
     for n in range(60):
         text = " ".join(word() for _ in range(r.randint(0, 40)))
@@ -47,11 +47,12 @@ def test_search_equals_brute_force(spark):
                 item[at : at + 1] = r.choice([[], ["z"], [item[at], "q"]])
             text = f"{text}\n {''.join(item).upper()} {text}"
         docs.append((n, text, "x", 1))
-    docs += [(100, None, None, None), (101, "", "", 0), docs[1]]
+    docs += [(100, None, None, None), (101, "", "", 0), docs[1], (102, "x, YES\nno!", "", 0), (103, "eyes no", "", 0), (104, "yes nono", "", 0), (105, "w" * 200_000 + " yes no", "", 0)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     table = spark.createDataFrame(docs, DOCS)
-    want = sorted((i, k, least) for i, t, _, _ in docs if t for k, item in items[:6] for least in [distance_to_any_part(d.normalise(item), d.normalise(t))] if least <= int(len(item) * d.ERROR_RATE))
-    for block_chars in (d.BLOCK_CHARS, 80):
+    want = sorted((i, k, least) for i, t, _, _ in docs if t and i != 105 for k, item in items[:6] for least in [distance_to_any_part(d.normalise(item), d.normalise(t))] if least <= int(len(item) * d.ERROR_RATE)) + [(102, 6, 0), (105, 6, 0)]
+    want.sort()
+    for block_chars in (d.BLOCK_CHARS, 80, 20):
         got = sorted((x.doc_id, x.item_id, x.distance) for x in d.matches(table, bench, block_chars=block_chars).collect())
         assert got == want and len(want) > 15
     kept = d.clean_rows(table, bench)
@@ -64,3 +65,29 @@ def test_empty_sides(spark):
     assert d.matches(docs, bench).count() == 0 and d.clean_rows(docs, bench).count() == 1
     items = spark.createDataFrame([(1, "an item that is long enough to count")], "item_id bigint, text string")
     assert d.matches(docs.limit(0), items).count() == 0
+
+
+def test_an_automaton_is_built_once_a_process_and_block(spark, monkeypatch):
+    built = []
+
+    class Counted(d.Matcher):
+        def __init__(self, items, error_rate):
+            built.append(items)
+            super().__init__(items, error_rate)
+
+    class Shared:
+        def __init__(self, *value):
+            self.value = value
+
+    monkeypatch.setattr(d, "Matcher", Counted)
+    four = [Shared(str(i), [(i, f"item number {i} of the benchmark")]) for i in range(4)]
+    fine = [d._matchers(four, 0.1) for _ in range(50)]
+    assert len(built) == 4 and all(len(x) == 4 for x in fine)
+    d._matchers([Shared("9", [(9, "another")])], 0.1)
+    assert len(built) == 5 and len(d._MATCHERS) == 1
+
+
+def test_short_items_can_be_left_out(spark):
+    docs, bench = spark.createDataFrame([(1, "well, yes", "", 0)], DOCS), spark.createDataFrame([(1, "yes")], "item_id bigint, text string")
+    assert d.matches(docs, bench).count() == 1 and d.clean_rows(docs, bench).count() == 0
+    assert d.matches(docs, bench, shortest_item=4).count() == 0 and d.clean_rows(docs, bench, shortest_item=4).count() == 1
