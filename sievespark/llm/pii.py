@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import random
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
@@ -29,11 +30,16 @@ BASE = {
 }
 #: What a text must hold for the pattern to be tried.
 _GUARD = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: Generators: for each kind patterns whose matches may overlap one another's; the trees choose among them.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[({](?:at|AT)[\])}] ?| (?:at|AT) )[A-Za-z0-9-]{1,63}+(?:(?: ?[\[({](?:dot|DOT)[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]{1,63}+){1,6}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}+:?(?:[0-9A-Fa-f]{1,4}:){0,6}+[0-9A-Fa-f]{0,4}",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){13,18}+(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{0,2}[0-9]{2,5}(?:[\x20./-]{0,2}[0-9]{2,5}){1,4}+(?![0-9])",
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[({](?:at|AT)[\])}] ?| (?:at|AT) )[A-Za-z0-9-]{1,63}+(?:(?: ?[\[({](?:dot|DOT)[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]{1,63}+){1,6}",),
+    "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}+:?(?:[0-9A-Fa-f]{1,4}:){0,6}+[0-9A-Fa-f]{0,4}",),
+    "card": (
+        r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){13,18}(?![0-9])",
+        r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){3}(?![0-9])",
+        r"(?<![0-9])[0-9]{4}[\x20._/-]{1,2}[0-9]{6}[\x20._/-]{1,2}[0-9]{4,5}(?![0-9])",
+    ),
+    "phone": (r"(?<![0-9+])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{0,2}[0-9]{2,5}(?:[\x20./-]{0,2}[0-9]{2,5}){1,4}+(?![0-9])",),
 }
 _IP_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]|)"
 _NEAR = {
@@ -51,10 +57,15 @@ def with_value(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sum(numbers: Column) -> Column:
-    """Sums of an array's leading parts by doubling steps: n log n work."""
+def running(numbers: Column, combine, ahead: bool = False) -> Column:
+    """An array's leading parts combined, or with ``ahead`` its trailing ones, by doubling steps: n log n work."""
     steps = F.filter(F.array(*[F.lit(1 << i) for i in range(28)]), lambda s: s < F.size(numbers))
-    return F.aggregate(steps, numbers, lambda acc, s: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - s), F.lit(0))))
+    near = lambda acc, i, s: F.get(acc, i + s if ahead else i - s)
+    return F.aggregate(steps, numbers, lambda acc, s: F.transform(acc, lambda x, i: F.coalesce(combine(x, near(acc, i, s)), x)))
+
+
+def running_sum(numbers: Column) -> Column:
+    return running(numbers, lambda x, y: x + y)
 
 
 SPAN = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
@@ -106,7 +117,7 @@ def proposals(text: Column) -> Column:
     """Spans of the generous patterns, of all kinds; they may overlap each other and base spans."""
     number = text.rlike("[0-9]{2}")
     guards = {"email": text.rlike(r"(?i)[\[({ ]at[\])} ]"), "ip": text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"), "card": number, "phone": number}
-    return F.concat(*[spans(text, LOOSE[k], k, guards[k]) for k in KINDS])
+    return F.concat(*[spans(text, pattern, k, guards[k]) for k in KINDS for pattern in LOOSE[k]])
 
 
 def features(c: Column) -> Column:
@@ -163,10 +174,11 @@ class Chooser:
         return with_value(features(c), lambda f: self.score(f) >= cut)
 
 
-def labelled_examples(per_kind: int = 150, seed: int = 7) -> list[dict]:
+def labelled_examples(per_kind: int = 250, seed: int = 7) -> list[dict]:
     """Labelled snippets ``{text, label}`` whose value stands between ``left`` and ``right``; a bounded, seeded set.
 
     Half are personal data in loose formats, half look alike: dates, versions, order numbers, times, sums, prose.
+    A third of either half stands behind the same plain words, so that form must tell where context does not.
     """
     r = random.Random(seed)
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -184,7 +196,7 @@ def labelled_examples(per_kind: int = 150, seed: int = 7) -> list[dict]:
         if kind == "ip":
             return r.choice(["ip ", "host ", "server ", "client addr ", f"{word()} "]), ":".join(f"{r.randrange(65536):x}" for _ in range(8))
         if kind == "card":
-            d, s = luhn(), r.choice([".", "/", "  ", "_", " - "])[:2]
+            d, s = luhn(), r.choice([".", "/", "  ", "_", "- "])
             return r.choice(["card ", "visa ", "credit card: ", "payment by ", f"{word()} "]), s.join(d[i : i + 4] for i in (0, 4, 8, 12))
         s = r.choice(["-", " ", ".", "/"])
         return r.choice(["phone ", "tel. ", "call ", "mobile: ", "fax "]), r.choice([f"({num(3)}) {num(3)}{s}{num(4)}", f"0{num(3)}{s}{num(3)}{s}{num(4)}", f"{num(3)}{s}{num(3)}{s}{num(4)}", f"00{num(2)}{s}{num(3)}{s}{num(4)}{s}{num(2)}"])
@@ -204,22 +216,26 @@ def labelled_examples(per_kind: int = 150, seed: int = 7) -> list[dict]:
         for i in range(per_kind):
             for make, label in ((good, 1), (bad, 0)):
                 left, value = make(kind)
-                out.append({"left": f"{word()} {word()} {left}", "value": value, "right": r.choice(["", f" {word()} {word()}.", ", " + word(), "."]), "label": label})
+                left = r.choice([f"{word()} ", "see ", "is ", "my ", f"{word()}: "]) if r.random() < 0.34 else left
+                out.append({"left": f"{word()} {word()} {left}", "value": value, "right": r.choice(["", f" {word()} {word()}.", ", " + word(), ".", f" {num(2)}/{num(2)}", f" or {word()}"]), "label": label})
     return out
 
 
-def fit(spark: SparkSession, examples: list[dict] | None = None, trees: int = 12, depth: int = 4, precision: float = 0.98, seed: int = 7) -> Chooser:
-    """Trees grown on two thirds of the labelled examples; thresholds set on the last third.
+def fit(spark: SparkSession, examples: list[dict] | None = None, trees: int = 16, depth: int = 4, precision: float = 0.95, seed: int = 7) -> Chooser:
+    """Trees grown on two thirds of the labelled examples; scores calibrated per kind on the last third.
 
-    A kind's threshold is the lowest score at which the examples kept apart reach ``precision``; one that never
-    does is never added. The examples are a bounded set and don't grow with the corpus.
+    A proposal is right if it is the labelled value itself, not a part of it or more. Isotonic regression turns the
+    scores of the examples kept apart into shares of right ones; a kind's threshold separates scores whose share is
+    ``precision`` from those below; a kind that never reaches it is never added. The examples are a bounded set and don't grow
+    with the corpus.
     """
     rows = json.dumps(examples if examples is not None else labelled_examples(seed=seed))
     table = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<`left`:string,value:string,`right`:string,label:int>>")))
     table = table.select(F.concat("left", "value", "right").alias("text"), F.length("left").alias("from"), (F.length("left") + F.length("value")).alias("to"), "label")
     found = table.select("from", "to", "label", "text", F.explode(proposals(F.col("text"))).alias("c"))
     hit = (F.col("c.start") < F.col("to")) & (F.col("c.end") > F.col("from"))
-    found = found.where(hit).select(features(F.col("c")).alias("f"), F.col("label").cast("double"), F.col("c.kind").alias("kind"), (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("apart"))
+    right = (F.col("label") == 1) & (F.col("c.start") == F.col("from")) & (F.col("c.end") == F.col("to"))
+    found = found.where(hit).select(features(F.col("c")).alias("f"), right.cast("double").alias("label"), F.col("c.kind").alias("kind"), (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("apart"))
     grown = found.where("not apart").select(array_to_vector("f").alias("features"), "label")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=16, checkpointInterval=-1).fit(grown)
     shape = tuple(_nested(t._java_obj.rootNode()) for t in model.trees)
@@ -235,19 +251,66 @@ def _nested(node):
     return split.featureIndex(), float(split.threshold()), _nested(node.leftChild()), _nested(node.rightChild())
 
 
+def calibrated(scored: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Steps ``(lowest score, share of right ones)`` of the isotonic regression of labels on scores."""
+    steps: list[list[float]] = []
+    for score, same in groupby(sorted(scored), key=lambda x: x[0]):
+        labels = [y for _, y in same]
+        steps.append([score, sum(labels), len(labels)])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+            _, good, n = steps.pop()
+            steps[-1][1] += good
+            steps[-1][2] += n
+    return [(score, good / n) for score, good, n in steps]
+
+
 def _threshold(scored: list[tuple[float, float]], precision: float) -> float:
-    best, good = 2.0, 0.0
-    ranked = sorted(scored, reverse=True)
-    for n, (score, label) in enumerate(ranked, 1):
-        good += label
-        last_of_its_score = n == len(ranked) or ranked[n][0] < score
-        if last_of_its_score and good >= precision * n:
-            best = score
-    return max(best, 0.5)
+    """Halfway between the lowest score whose calibrated share is ``precision`` and the score before it."""
+    lowest = next((score for score, share in calibrated(scored) if share >= precision), 2.0)
+    return lowest if lowest > 1 else (lowest + max((s for s, _ in scored if s < lowest), default=0.0)) / 2
+
+
+_PLACE = "struct<kind:int,start:int,end:int>"
+
+
+def _clear(loose: Column, base: Column) -> Column:
+    """The spans of ``loose`` that overlap none of ``base``: those before have ended and the next one starts behind."""
+    entry = lambda over: lambda c: F.struct(c["start"].alias("start"), F.lit(over).alias("loose"), c["end"].alias("end"), c["kind"].alias("kind"))
+
+    def of(every: Column) -> Column:
+        ended = running(F.transform(every, lambda c: F.when(c["loose"] == 0, c["end"]).otherwise(F.lit(0))), F.greatest)
+        coming = running(F.transform(every, lambda c: F.when(c["loose"] == 0, c["start"]).otherwise(F.lit((1 << 31) - 1))), F.least, ahead=True)
+        keep = lambda e: lambda c, i: (c["loose"] == 1) & (F.get(e["ended"], i) <= c["start"]) & (F.get(e["coming"], i) >= c["end"])
+        return with_value(F.struct(ended.alias("ended"), coming.alias("coming")), lambda e: F.filter(every, keep(e)))
+
+    both = F.array_sort(F.concat(F.transform(base, entry(0)), F.transform(loose, entry(1))))
+    found = F.transform(with_value(both, of), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return F.when((F.size(base) > 0) & (F.size(loose) > 0), found.cast(f"array<{_PLACE}>")).otherwise(loose)
+
+
+def _first_come(loose: Column) -> Column:
+    """Of spans that overlap each other the one that starts first stays, the longer and then the earlier kind of ties.
 
+    A fold over the sorted spans that keeps the end of the last one kept, in runs of about root n spans, as an
+    array is copied whenever something is put to it.
+    """
+
+    def keep(acc: Column, c: Column) -> Column:
+        one = F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["back"]).alias("end")).cast(_PLACE))
+        clear = c["start"] >= acc["at"]
+        return F.struct(F.when(clear, -c["back"]).otherwise(acc["at"]).alias("at"), F.when(clear, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def one_run(acc: Column, run: Column) -> Column:
+        found = F.aggregate(run, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{_PLACE}>").alias("out")), keep)
+        return with_value(found, lambda v: F.struct(v["at"].alias("at"), F.concat(acc["out"], F.array(v["out"])).alias("out")))
+
+    def of(ordered: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(ordered))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / size).cast("int")), lambda i: F.slice(ordered, i * size + 1, size))
+        return F.flatten(F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_PLACE}>>").alias("out")), one_run, lambda acc: acc["out"]))
 
-def _clear_of(c: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]))
+    ordered = F.array_sort(F.transform(loose, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
+    return F.when(F.size(loose) > 1, with_value(ordered, of)).otherwise(loose)
 
 
 def find(docs: DataFrame, chooser: Chooser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,17 +325,8 @@ def find(docs: DataFrame, chooser: Chooser, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.select("id", "text", *[slim(base_spans(F.col("text"), k)).alias(k) for k in KINDS], proposals(F.col("text")).alias("_loose"))
     rows = rows.withColumn("_base", F.concat(*KINDS)).withColumn("_loose", slim(F.filter("_loose", chooser.selects)))
-    rows = rows.withColumn("_loose", F.filter("_loose", lambda c: _clear_of(c, F.col("_base"))))
-    ordered = F.array_sort(F.transform("_loose", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
-    kept = "array<struct<kind:int,start:int,end:int>>"
-
-    def keep(acc: Column, c: Column) -> Column:
-        one = F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["back"]).alias("end"))).cast(kept)
-        clear = c["start"] >= acc["at"]
-        return F.struct(F.when(clear, -c["back"]).otherwise(acc["at"]).alias("at"), F.when(clear, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    first = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("out")), keep, lambda acc: acc["out"])
-    return rows.select("id", "text", *KINDS, first.alias("added"))
+    rows = rows.withColumn("_loose", _clear(F.col("_loose"), F.col("_base")))
+    return rows.select("id", "text", *KINDS, _first_come(F.col("_loose")).alias("added"))
 
 
 def listed(found: Column) -> Column:
@@ -287,12 +341,17 @@ def redact(found: DataFrame) -> DataFrame:
     every = F.array_sort(F.transform(F.concat(*KINDS, "added"), lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
     names = F.array(*map(F.lit, KINDS))
 
-    def put(acc: Column, c: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(c["start"] - acc["at"], F.lit(0)))
-        seen = -c["back"] <= acc["at"]
-        mark = F.when(c["start"] >= acc["at"], F.concat(gap, F.lit("["), F.get(names, c["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.when(seen, acc["at"]).otherwise(-c["back"]).alias("at"), F.when(seen, acc["out"]).otherwise(F.concat(acc["out"], mark)).alias("out"))
+    def put(e: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(e["ended"], i - 1), F.lit(0))
+            gap = F.array_join(F.slice(e["chars"], before + 1, F.greatest(c["start"] - before, F.lit(0))), "")
+            return F.when(c["start"] >= before, F.concat(gap, F.lit("["), F.get(names, c["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+        rest = F.array_join(F.slice(e["chars"], F.element_at(e["ended"], -1) + 1, F.size(e["chars"])), "")
+        return F.concat(F.array_join(F.transform(e["spans"], one), ""), rest)
+
+    def of(spans: Column) -> Column:
+        ended = running(F.transform(spans, lambda c: -c["back"]), F.greatest)
+        return with_value(F.struct(spans.alias("spans"), ended.alias("ended"), F.regexp_extract_all("text", F.lit("(?s)."), 0).alias("chars")), put)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(every, start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select("id", F.when(F.size(every) > 0, done).otherwise(F.col("text")).alias("text"))
+    return found.select("id", F.when(F.size(every) > 0, with_value(every, of)).otherwise(F.col("text")).alias("text"))
