@@ -1,9 +1,10 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree of styles, whose nodes are the paths of tags and classes. A node
-that shows the same things on all pages of its host (the styles and texts under it) has low entropy and so low
-importance; one that shows something else on each page is content. Every page then drops its branches of low
-importance, besides the parts that are never main text (menus, scripts, forms, ...).
+The pages of a host are merged into one tree of styles, whose nodes are the paths of tags and classes and whose
+leaves are the texts of blocks. A node that shows the same things on all pages of its host (the styles and texts
+under it) has low entropy and so low importance, as has a text that stands on nearly all pages; what differs from
+page to page is content. Every page then drops its branches and blocks of low importance, inside the article as
+well as outside, besides the parts that say themselves that they are never main text (menus, scripts, forms, ...).
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Pages a host needs before its statistics count; a branch whose importance is below this goes.
-FEWEST_PAGES, LEAST_IMPORTANCE = 8, 0.15
+#: A branch whose importance is below the first goes; a single block only below the second, where practically all
+#: pages of the host show it, since a line that many articles quote is still theirs.
+LEAST_IMPORTANCE, LEAST_OF_BLOCK = 0.15, 0.02
+#: Made-up pages that each show something else, added to every host: what few pages share proves little.
+PRIOR_PAGES = 1
 #: Bytes of low-importance nodes up to which they are broadcast to the pages.
 BROADCAST_BYTES = 32 << 20
 #: Fixed values of HTML: elements without end tags, with raw text, and inside a line of text.
@@ -46,7 +50,7 @@ WORDS = frozenset(
 OUTSIDE = frozenset(["header"])
 MAIN = frozenset(["article", "main"])
 
-#: Elements inside the article that stay whatever their importance.
+#: Elements inside the article that are judged block by block, as the path alone doesn't tell one from the next.
 KEPT = frozenset("p h1 h2 h3 h4 h5 h6".split()) | MAIN
 #: Class words that make even an article a reader's comment, and beginnings of names that only tell a layout.
 COMMENTS = frozenset("comment comments reply replies".split())
@@ -110,10 +114,10 @@ def _digest(numbers: list[int]) -> int:
     return xxhash.xxh64_intdigest(b"".join([x.to_bytes(8, "little") for x in numbers]))
 
 
-def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list[Block], dict[int, list[int]]]:
-    """Blocks of a page in order, and for each style node the hashes of what its elements hold.
+def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list[Block], dict[int, list[int]], set[int]]:
+    """Blocks of a page in order, for each style node the hashes of what its elements hold, and the leaves.
 
-    An element's hash covers the styles and texts of all that is in it, so a frame around changing content
+    A leaf is a block's text under its node, as one hash. An element's hash covers the styles and texts of all that is in it, so a frame around changing content
     changes with it. Tolerant and linear: unclosed elements end with the one around them, stray end tags are
     ignored, raw elements run to their end tag, and a page cut off anywhere gives what it holds. An inline
     element that is never main text is left out of its block's text, at most up to the end of the block.
@@ -123,6 +127,7 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
     open_tags: dict[str, int] = {}
     shown: dict[int, list[int]] = {}
     blocks: list[Block] = []
+    leaves: set[int] = set()
     parts: list[str] = []
     muted: list[str] = []
     at, size = 0, len(page)
@@ -135,7 +140,9 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
             if text:
                 top = stack[-1]
                 top.seen.append(digest(text))
-                blocks.append(Block(text, top.never, top.main, top.low))
+                leaf = digest(text, top.key)
+                leaves.add(leaf)
+                blocks.append(Block(text, top.never, top.main, top.low or leaf in low))
 
     def pop() -> None:
         node = stack.pop()
@@ -190,19 +197,21 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
     flush()
     while len(stack) > 1:
         pop()
-    return blocks, shown
+    return blocks, shown, leaves
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """Text of the blocks that are main text and in no branch of low importance, one a line.
+    """Text of the blocks that are main text and of no low importance, one a line.
 
-    If the page has an article or main element only its blocks count. A page that would lose all its main
-    text to the tree, as when a host shows one article at many addresses, keeps it.
+    If the page has an article or main element only its blocks count. A page that would lose all its main text to
+    the tree, or more than half of its article, as when a host shows one article at many addresses, keeps it.
     """
     wanted = [b for b in parse(page, low)[0] if not b.never]
-    if any(b.main for b in wanted):
+    if article := any(b.main for b in wanted):
         wanted = [b for b in wanted if b.main]
-    return "\n".join(b.text for b in [b for b in wanted if not b.low] or wanted)
+    left = [b for b in wanted if not b.low]
+    size = lambda blocks: sum(len(b.text) for b in blocks)
+    return "\n".join(b.text for b in (wanted if not left or article and 2 * size(left) < size(wanted) else left))
 
 
 _SIGNED = 1 << 63
@@ -220,51 +229,65 @@ def host_of(url_col: str):
 def style_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(host, node, shown, n)``: on how many pages of a host a node shows what the hash ``shown`` stands for.
 
-    ``shown`` covers all that stands under the node's elements: styles (presentation) and texts (content).
-    Counts are summed in each task before they are shuffled by all three, so a host with a third of all pages
-    is spread like any other.
+    ``shown`` covers all that stands under the node's elements: styles (presentation) and texts (content). It is
+    null for a leaf, which is there or not, and for node 0, the page itself. Counts are summed in each task before
+    they are shuffled by all three, so a host with a third of all pages is spread like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, nodes, seen = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for node, parts in parse(page.as_py())[1].items():
-                    hosts.append(host)
-                    nodes.append(_signed(node))
-                    seen.append(_signed(_digest(parts)))
-            if hosts:
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(nodes, pa.int64()), pa.array(seen, pa.int64())], names=["host", "node", "shown"])
+                _, shown, leaves = parse(page.as_py())
+                nodes += [0, *map(_signed, shown), *map(_signed, leaves)]
+                seen += [None, *(_signed(_digest(parts)) for parts in shown.values()), *[None] * len(leaves)]
+                hosts += [host] * (len(nodes) - len(hosts))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(seen, pa.int64())], names=["host", "node", "shown"])
 
-    rows = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(run, "host string, node bigint, shown bigint")
-    return rows.groupBy("host", "node", "shown").agg(F.count(F.lit(1)).alias("n"))
+    rows = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).where("host != ''")
+    return rows.mapInArrow(run, "host string, node bigint, shown bigint").groupBy("host", "node", "shown").agg(F.count(F.lit(1)).alias("n"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """``(host, node, pages, importance)``: the entropy of what a node shows, between 0 (always the same) and 1.
+    """``(host, node, pages, importance)`` of the style nodes, between 0 (always the same) and 1.
 
-    With m pages of which n_i show the i-th thing: -sum(n_i/m log(n_i/m)) / log m; one page has importance 1.
+    The normalised entropy of what a node shows on m pages, n_i of them the i-th thing, and on the prior's a pages,
+    each something else: with M = m + a it is (log M - sum(n_i log n_i) / M) / log M.
     """
-    m, plogp = F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n"))).alias("s")
-    sums = counts.groupBy("host", "node").agg(m, plogp)
-    entropy = F.log("m") - F.col("s") / F.col("m")
-    return sums.select("host", "node", F.col("m").alias("pages"), F.when(F.col("m") > 1, entropy / F.log("m")).otherwise(F.lit(1.0)).alias("importance"))
+    m, plogp = F.sum("n").alias("pages"), F.sum(F.col("n") * F.log(F.col("n"))).alias("s")
+    sums = counts.where("shown is not null").groupBy("host", "node").agg(m, plogp)
+    every = F.col("pages") + F.lit(PRIOR_PAGES)
+    return sums.select("host", "node", "pages", (1 - F.col("s") / (every * F.log(every))).alias("importance"))
 
 
-def low_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", fewest: int = FEWEST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """``(host, low)``: for each host the nodes that go, one row a host, only hosts that have such nodes."""
-    found = importance(style_counts(pages, url_col, html_col)).where((F.col("pages") >= fewest) & (F.col("importance") < least) & (F.col("host") != ""))
+def leaf_importance(counts: DataFrame) -> DataFrame:
+    """``(host, node, pages, importance)`` of the leaves on two pages or more: 1 - log n / log(m + a), as above.
+
+    That is one less the normalised entropy of a text's spread over the pages: 1 on one page, near 0 on all.
+    """
+    leaves = counts.where("shown is null and node != 0 and n > 1").select("host", "node", F.col("n").alias("pages"))
+    hosts = counts.where("shown is null and node = 0").select("host", F.col("n").alias("m"))
+    return leaves.join(hosts, "host").select("host", "node", "pages", (1 - F.log("pages") / F.log(F.col("m") + F.lit(PRIOR_PAGES))).alias("importance"))
+
+
+def low_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE, least_of_block: float = LEAST_OF_BLOCK) -> DataFrame:
+    """``(host, low)``: for each host the nodes and leaves that go, one row a host, only hosts that have such.
+
+    A host's leaves of low importance stand on nearly all its pages, so they are no more than a page's blocks or so.
+    """
+    counts = materialize(style_counts(pages, url_col, html_col), "style-counts")
+    found = importance(counts).where(F.col("importance") < least).unionByName(leaf_importance(counts).where(F.col("importance") < least_of_block))
     return materialize(found.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "low-nodes")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", fewest: int = FEWEST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE, least_of_block: float = LEAST_OF_BLOCK) -> DataFrame:
     """``(page_id, url, text)`` per row of ``pages``, from its whole html; a null or empty html gives an empty text.
 
     The low nodes of all hosts are broadcast if they are at most ``BROADCAST_BYTES`` in all. Beyond that pages
     meet those of their host in a shuffled join, where Spark splits a host that holds many pages. Either way
     every page keeps its row, also repeated ones.
     """
-    low = low_nodes(pages, url_col, html_col, fewest, least)
+    low = low_nodes(pages, url_col, html_col, least, least_of_block)
     size = low.agg(F.sum(F.length("host") + 8 * F.size("low"))).first()[0] or 0
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(url_col).alias("host"))
     rows = rows.join(F.broadcast(low) if size <= BROADCAST_BYTES else low, "host", "left")

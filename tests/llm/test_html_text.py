@@ -1,5 +1,9 @@
 """Main text: parts that never are, malformed pages, the style tree's choice, odd inputs."""
 
+import math
+import random
+from collections import Counter
+
 from sievespark.llm import html_text as h
 
 PAGES = "page_id bigint, url string, html string, host string, text string, low string"
@@ -48,10 +52,71 @@ def test_style_tree_drops_what_all_pages_of_a_host_show(spark):
 
 
 def test_importance_is_normalised_entropy(spark):
-    rows = [("a", 1, 10, 4), ("a", 2, 20, 1), ("a", 2, 21, 1), ("a", 2, 22, 1), ("a", 2, 23, 1), ("b", 1, 5, 1)]
+    rows = [("a", 1, 10, 4), ("a", 2, 20, 1), ("a", 2, 21, 1), ("a", 2, 22, 1), ("a", 2, 23, 1), ("b", 1, 5, 1), ("a", 0, None, 4), ("b", 0, None, 1), ("a", 7, None, 4), ("a", 8, None, 2), ("a", 9, None, 1), ("b", 7, None, 1)]
     counts = spark.createDataFrame(rows, "host string, node bigint, shown bigint, n bigint")
     got = {(x.host, x.node): round(x.importance, 6) for x in h.importance(counts).collect()}
-    assert got == {("a", 1): 0.0, ("a", 2): 1.0, ("b", 1): 1.0}
+    log = math.log
+    assert got == {("a", 1): round((log(5) - 4 * log(4) / 5) / log(5), 6), ("a", 2): 1.0, ("b", 1): 1.0}
+    got = {(x.host, x.node): round(x.importance, 6) for x in h.leaf_importance(counts).collect()}
+    assert got == {("a", 7): round(1 - log(4) / log(5), 6), ("a", 8): round(1 - log(2) / log(5), 6)}
+
+
+def planted_site(pages, seed):
+    """Boilerplate in unnamed parts: constant divs and paragraphs inside the article and around it, some on few pages only."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeinrst") for _ in range(r.randint(2, 7)))
+    for i in range(pages):
+        story = [" ".join(word() for _ in range(r.randint(8, 30))) for _ in range(r.randint(2, 5))]
+        quote = ["a line that some articles quote"] if i % 3 == 0 else []
+        yield (
+            i,
+            f"http://planted{seed}.example/{i}",
+            "<body><div class='x1'>Welcome back, friend</div><article><h1>" + story[0] + "</h1><p>Written by our staff for you</p>"
+            + "".join(f"<p>{x}</p>" for x in story[1:] + quote) + f"<div><div>Read in three minutes</div><div>{word()} and {word()}</div></div><p>Thank you for reading on</p></article><div>All rights are ours</div></body>",
+        ), "\n".join(story + quote)
+
+
+def low_by_hand(pages):
+    """The nodes and leaves of one host that go, by plain counting."""
+    shown, leaves = {}, Counter()
+    for page in pages:
+        _, nodes, found = h.parse(page)
+        leaves.update(found)
+        for node, parts in nodes.items():
+            shown.setdefault(node, []).append(tuple(parts))
+    low = set()
+    for node, things in shown.items():
+        every = [n for n in Counter(things).values()] + [1] * h.PRIOR_PAGES
+        share = [n / sum(every) for n in every]
+        if -sum(p * math.log(p) for p in share) / math.log(sum(every)) < h.LEAST_IMPORTANCE:
+            low.add(node)
+    return low | {x for x, n in leaves.items() if 1 - math.log(n) / math.log(len(pages) + h.PRIOR_PAGES) < h.LEAST_OF_BLOCK}
+
+
+def test_unnamed_boilerplate_inside_the_article_goes(spark):
+    site = list(planted_site(60, 1))
+    small = list(planted_site(4, 2))
+    table = spark.createDataFrame([(*row, "", "", "") for row, _ in site] + [(1000 + row[0], *row[1:], "", "", "") for row, _ in small], PAGES)
+    got = {x.page_id: x.text.split("\n") for x in h.extract(table).collect()}
+    for (i, _, _), want in site:
+        assert [x for x in got[i] if " and " not in x] == want.split("\n")
+    for (i, _, _), want in small:
+        assert set(want.split("\n")) < set(got[1000 + i]) and "Thank you for reading on" in got[1000 + i]
+    for group, shift in ((site, 0), (small, 1000)):
+        low = low_by_hand([row[2] for row, _ in group])
+        assert all(h.main_text(row[2], low).split("\n") == got[shift + row[0]] for row, _ in group)
+
+
+def test_an_article_at_many_addresses_with_few_edits_keeps_its_text(spark):
+    pages = [(i, f"http://one.example/{i}", f"<article><h1>Edition {i}</h1>" + "".join(f"<p>The same long paragraph number {k} of the story</p>" for k in range(9)) + "</article>", "", "", "") for i in range(80)]
+    got = {x.page_id: x.text for x in h.extract(spark.createDataFrame(pages, PAGES)).collect()}
+    assert all(got[i].startswith(f"Edition {i}\nThe same") and got[i].count("\n") == 9 for i in range(80))
+
+
+def test_very_long_page(spark):
+    long = "<article>" + "".join(f"<p>line {i} of a very long page</p>" for i in range(60_000)) + "</article>"
+    got = h.extract(spark.createDataFrame([(1, "http://l.example/", long, "", "", "")], PAGES)).first()
+    assert got.text.count("\n") == 59_999
 
 
 def test_shuffled_way_gives_the_same(spark, monkeypatch):
