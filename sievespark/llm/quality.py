@@ -2,7 +2,9 @@
 
 Words and word pairs fall into a fixed number of hash buckets. Over all documents two multinomials are counted,
 one of the trusted documents and one of everything; a document's score is the mean over its n-grams of the log
-ratio of their buckets' shares. Everything here is a DataFrame expression.
+ratio of their buckets' shares. The cut is learnt from trusted documents that are not counted as such, so it
+follows the level of the scores, whatever the corpus and however few labels. Everything here is a DataFrame
+expression.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sized_broadcast
 
-#: Hash buckets, a bound on what the counts send to the driver; added to each count; least mean log ratio to be kept.
-BUCKETS, SMOOTHING, THRESHOLD = 16384, 0.5, -0.042
+#: Hash buckets, a bound on what the counts send to the driver; n-grams of raw text that every trusted count is mixed with.
+BUCKETS, PRIOR_GRAMS = 16384, 16384
+#: One trusted document in so many is kept apart for the cut; the cut is this many interquartile ranges below their lower quartile.
+APART, FENCE = 5, 3.0
 #: Fewest words; most words in repeated windows, in percent; words a window.
 FEWEST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
 _SPACE, _SYMBOL = r"[\x20\x09-\x0D]+", "[#*$%&|<>]"
@@ -43,6 +47,11 @@ def with_value(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def kept_apart(id_col: Column) -> Column:
+    """One trusted document in five, by a hash of its id, is never counted as trusted."""
+    return F.pmod(F.xxhash64(id_col.cast("string")), F.lit(APART)) == 0
+
+
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(bucket, n_raw, n_trusted)`` over the n-grams of all whole texts, repeats included.
 
@@ -56,24 +65,48 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def log_ratios(counts: DataFrame) -> list[float]:
-    """For each bucket the log of its smoothed share in trusted text over that in all text.
+    """For each bucket the log of its share in trusted text over that in all text.
 
+    The trusted multinomial is mixed with ``PRIOR_GRAMS`` n-grams of raw text: where trusted text is sparse its
+    shares back off to the raw ones and the ratio to one. A bucket that no text fills counts as one raw n-gram.
     Without any trusted text all are zero. ``BUCKETS`` numbers reach the driver, whatever the corpus.
     """
     raw, trusted = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():
         raw[r["bucket"]], trusted[r["bucket"]] = r["n_raw"], r["n_trusted"]
-    if not sum(trusted):
-        return [0.0] * BUCKETS
-    base = math.log((sum(raw) + SMOOTHING * BUCKETS) / (sum(trusted) + SMOOTHING * BUCKETS))
-    return [round(math.log((t + SMOOTHING) / (r + SMOOTHING)) + base, 6) for t, r in zip(trusted, raw)]
+    every, total = sum(max(1, r) for r in raw), sum(trusted)
+    shares = [max(1, r) / every for r in raw]
+    return [round(math.log((t / s + PRIOR_GRAMS) / (total + PRIOR_GRAMS)), 6) for t, s in zip(trusted, shares)]
+
+
+def base_rule(n_words: Column, n_repeat_words: Column) -> Column:
+    """The document fails: it has too few words or too many of them in repeated windows."""
+    return (n_words < FEWEST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
+
+
+def lowest_kept(docs: DataFrame, apart: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text") -> float:
+    """The cut: ``FENCE`` interquartile ranges below the lower quartile of the scores of trusted documents kept apart.
+
+    Documents that fail the base rule don't count. Without any such document there is nothing to reject by and
+    the cut is minus infinity. Three numbers reach the driver.
+    """
+    ids = sized_broadcast(apart.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct())
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left_semi")
+    score = lambda w: F.when(~base_rule(F.size(w), repeated_words(w)), F.round(mean_log_ratio(w, ratios), 9))
+    scores = rows.select(with_value(words_of(F.col("_text")), score).alias("score"))
+    found = scores.agg(F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q")).first()["q"]
+    return found[0] - FENCE * (found[1] - found[0]) if found else -math.inf
 
 
 def mean_log_ratio(words: Column, ratios: list[float]) -> Column:
     """Mean over a document's n-grams; zero for a document without words."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    total = F.aggregate(grams_of(words), F.lit(0.0), lambda acc, b: acc + F.element_at(table, b + 1))
-    return F.when(F.size(words) > 0, total / (2 * F.size(words) - 1)).otherwise(F.lit(0.0))
+
+    def of(w: Column) -> Column:
+        total = F.aggregate(grams_of(w), F.lit(0.0), lambda acc, b: acc + F.element_at(table, b + 1))
+        return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).otherwise(F.lit(0.0))
+
+    return with_value(words, of)
 
 
 def repeated_words(words: Column) -> Column:
@@ -81,10 +114,8 @@ def repeated_words(words: Column) -> Column:
 
     Windows are told apart by 64-bit hashes. If all differ, none repeats; else hashes with their places are
     sorted, so that equal ones stand together, the places of those are sorted again and the words that they
-    cover counted.
+    cover counted. The words are bound once, so that a filter on the result never cuts them again per window.
     """
-    span = F.size(words) - (WINDOW - 1)
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(span - 1, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(places: Column) -> Column:
         gap = lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(places, i + 1) - p, F.lit(WINDOW)))
@@ -99,7 +130,12 @@ def repeated_words(words: Column) -> Column:
         found = with_value(with_value(ordered, places), covered)
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(found)
 
-    return F.when(span < 2, F.lit(0)).otherwise(with_value(windows, count)).cast("bigint")
+    def of(w: Column) -> Column:
+        span = F.size(w) - (WINDOW - 1)
+        windows = F.transform(F.sequence(F.lit(0), F.greatest(span - 1, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(span < 2, F.lit(0)).otherwise(with_value(windows, count)).cast("bigint")
+
+    return with_value(words, of)
 
 
 def symbols(text: Column) -> Column:
@@ -113,15 +149,17 @@ def duplicate_lines(text: Column) -> Column:
     return with_value(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
 
 
-def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ratio, kept)`` per row.
 
-    ``trusted`` has the ids of target documents in ``id_col``. Every document meets the same threshold; there
-    is no chance in it. A null or empty text has no words and fails the base rule; repeated rows each keep a
-    row; an empty table gives none.
+    ``trusted`` has the ids of target documents in ``id_col``: four in five make the target, the others the cut,
+    unless a ``threshold`` is given. Every document meets the same cut; there is no chance in it. A null or empty
+    text has no words and fails the base rule; repeated rows each keep a row; an empty table gives none.
     """
-    counts = materialize(bucket_counts(docs, trusted, id_col, text_col), "bucket-counts")
+    ids = trusted.select(id_col)
+    counts = materialize(bucket_counts(docs, ids.where(~kept_apart(F.col(id_col))), id_col, text_col), "bucket-counts")
     ratios = log_ratios(counts)
+    cut = lowest_kept(docs, ids.where(kept_apart(F.col(id_col))), ratios, id_col, text_col) if threshold is None else threshold
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("id"), text.alias("_text"), words_of(F.col(text_col)).alias("_words"))
     found = found.select(
@@ -131,7 +169,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
         symbols(F.col("_text")).alias("n_symbols"),
         duplicate_lines(F.col("_text")).alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        with_value(F.col("_words"), lambda w: mean_log_ratio(w, ratios)).alias("log_ratio"),
+        mean_log_ratio(F.col("_words"), ratios).alias("log_ratio"),
     )
-    failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("log_ratio") >= threshold))
+    failed = base_rule(F.col("n_words"), F.col("n_repeat_words"))
+    return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("log_ratio") >= F.lit(cut)))

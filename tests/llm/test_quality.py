@@ -1,5 +1,6 @@
 """Quality rules: base counts against brute force, the verdict on planted junk, odd inputs."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -42,21 +43,41 @@ def test_base_columns_and_verdicts(spark):
     assert len(found) == len(docs)
     want = Counter((i, *base(t)) for i, t, *_ in docs)
     assert Counter((x.id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in found) == want
+    apart = {r[0] for r in trusted.where(quality.kept_apart(quality.F.col("doc_id"))).collect()}
+    scores = sorted(round(x.log_ratio, 9) for x in found if x.id in apart and not x.base_failed)
+    low, high = (scores[math.ceil(len(scores) * q) - 1] for q in (0.25, 0.75))
+    cut = low - quality.FENCE * (high - low)
     for x in found:
-        assert x.kept == (not x.base_failed and x.log_ratio >= quality.THRESHOLD)
+        assert x.kept == (not x.base_failed and x.log_ratio >= cut)
         if x.id is not None and x.id < 200:
             assert x.base_failed or x.kept == bool(x.id % 4)
 
 
 def test_ratio_is_the_mean_over_all_grams(spark):
-    table = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id bigint, text string")
-    counts = {x.bucket: (x.n_raw, x.n_trusted) for x in quality.bucket_counts(table, table.where("doc_id = 1")).collect()}
+    one = spark.range(1, 50).where(~quality.kept_apart(quality.F.col("id"))).first().id
+    table = spark.createDataFrame([(one, "a b a"), (100, "b c")], "doc_id bigint, text string")
+    counts = {x.bucket: (x.n_raw, x.n_trusted) for x in quality.bucket_counts(table, table.where(f"doc_id = {one}")).collect()}
     assert sum(n for n, _ in counts.values()) == 5 + 3 and sum(n for _, n in counts.values()) == 5
-    ratios = quality.log_ratios(quality.bucket_counts(table, table.where("doc_id = 1")))
+    ratios = quality.log_ratios(quality.bucket_counts(table, table.where(f"doc_id = {one}")))
     bucket = lambda *w: spark.range(1).select(quality.bucket_of(*map(quality.F.lit, w)).alias("b")).first().b
     want = sum(ratios[bucket(*g)] for g in ("a", "b", "a", "ab", "ba")) / 5
-    got = {x.id: x.log_ratio for x in quality.quality(table, table.where("doc_id = 1")).collect()}
-    assert abs(got[1] - want) < 1e-9
+    got = {x.id: x.log_ratio for x in quality.quality(table, table.where(f"doc_id = {one}")).collect()}
+    assert abs(got[one] - want) < 1e-9
+
+
+def test_few_labels_leave_clean_documents_alone(spark):
+    docs, table, trusted = tables(spark)
+    few = trusted.where("doc_id < 60")
+    kept = {x.id for x in quality.quality(table, few).collect() if x.kept}
+    clean = [i for i in range(200) if i % 4 and not base(docs[i][1])[-1]]
+    assert sum(i in kept for i in clean) >= 0.97 * len(clean)
+
+
+def test_a_filter_on_the_verdict_and_a_very_long_text(spark):
+    r = random.Random(9)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300_000))
+    table = spark.createDataFrame([(1, long), (2, "w " * 300_000)], "doc_id bigint, text string")
+    assert [x.id for x in quality.quality(table, table.limit(0)).where("kept and not base_failed").collect()] == [1]
 
 
 def test_empty_sides(spark):
