@@ -149,3 +149,17 @@ def test_conformance(spark):
     assert conformance.lost(whole.where("resource_id = '1'"), part, whole).isEmpty() and conformance.lost(part, part, whole).count() == 1
     assert conformance.repeated(whole.union(whole)).count() == 3
     assert conformance.leaking(whole, ["resource_id", "space"], "two").isEmpty() and conformance.leaking(whole, ["text"], "two").count() == 1
+
+
+def test_marks_of_the_wiki_format():
+    text = markup.wiki_text("h2. Title\n* item {{mono}} [label|http://a/b?c=1]\n{noformat}\n* kept [x|y]\n{noformat}\n||name||value||\n|İ user|p@ss|\n{color:red}bq. red{color}\n- one\n1. two\nh1.x {unclosed [a\nb] {{c")
+    assert text == "Title\nitem mono label http://a/b?c=1\n* kept [x|y]\nname value\nİ user p@ss\nred\none\ntwo\nx {unclosed [a\nb] {{c"
+    assert markup.wiki_text("{code}never closed\n* x") == "never closed\nx"
+
+
+def test_odd_storage():
+    assert markup.storage_text("İ<P>a &lt;c&gt;<ri:user ri:x='1'/>d<AC:parameter>gone</ac:PARAMETER><![CDATA[<i>&amp; never closed") == "İ\na <c> d <i>&amp; never closed"
+    for hostile in ("<" * 100_000, "<ac:parameter>" * 10_000, "<![CDATA[" * 20_000):
+        markup.storage_text(hostile)
+    for hostile in ("{{" * 50_000, "[" * 100_000, "{code}" * 20_001, "{a" * 50_000, "* " * 50_000):
+        markup.wiki_text(hostile)
