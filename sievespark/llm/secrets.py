@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 _NAMES = r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?[_-]?key|credential|private[_-]?key|client[_-]?key"
 #: Candidate patterns with what a text must hold for each to be tried; group 1, where there is one, is the candidate.
 PATTERNS: dict[str, tuple[str, re.Pattern]] = {
-    "private_key": ("PRIVATE KEY-----", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----")),
+    "private_key": ("PRIVATE KEY-----", re.compile(r"-----(BEGIN|END) (?:[A-Z]+ )*PRIVATE KEY-----")),
     "aws_key": ("A", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
     "github_token": ("gh", re.compile(r"(?<![A-Za-z0-9])(?:gh[opsur]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})")),
     "slack_token": ("xox", re.compile(r"(?<![A-Za-z0-9])xox[abeprs]-[A-Za-z0-9-]{10,}")),
@@ -43,6 +43,7 @@ _PATH_CONFIG = re.compile(r"(?i)\.env|config|settings|secret|credential|deploy|\
 _PLACEHOLDER = re.compile(r"(?i)^[\"'<\[{$(%]|example|change_?me|your[_-]|xxxx|\*\*\*|placeholder|dummy|redacted|todo|insert|password|secret|\.\.\.|^none$|^null$|^true$|^false$|\(\)|getenv|environ")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 _HEX = re.compile(r"(?i)^[0-9a-f]+$")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
 LEFT, RIGHT = 48, 24
 FEATURES = 24
 
@@ -114,6 +115,15 @@ class Measure:
         ]
 
 
+def _private_keys(text: str, marks: re.Pattern) -> Iterator[tuple[int, int]]:
+    """From each end mark back to the last begin mark before it, if only what a key's body holds stands between."""
+    begun = None
+    for m in marks.finditer(text):
+        if m[1] == "END" and begun is not None and _KEY_BODY.fullmatch(text, begun.end(), m.start()):
+            yield begun.start(), m.end()
+        begun = m if m[1] == "BEGIN" else None
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of all candidates of a whole text by place; of overlapping ones the kind listed first stays."""
     digit = re.search(r"[0-9]", text) is not None
@@ -121,6 +131,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for kind, (hint, pattern) in PATTERNS.items():
         if hint not in text or kind == "assignment" and "=" not in text and ":" not in text or kind == "long_run" and not digit:
             continue
+        if kind == "private_key":
+            found += [(a, b, kind) for a, b in _private_keys(text, pattern)]
+            continue
         for m in pattern.finditer(text):
             at = m.span(pattern.groups)
             if kind == "long_run" and not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
@@ -168,8 +181,7 @@ def labelled_findings(each: int = 160, seed: int = 11) -> list[dict]:
     base = ["the", "value", "server", "config", "of", "data", "return", "when", "note", "index", "river", "table", "light", "people", "under", "house", "water", "paper", "market", "summer"]
     word = lambda: r.choice(base)
     words = lambda n: " ".join(word() for _ in range(n))
-    paths_good = ["src/app/config.yaml", ".env", "deploy/prod.tf", "src0", "notes/setup.txt", "", "service/settings.ini", "src9"]
-    paths_bad = ["tests/fixtures/data.json", "docs/readme.md", "package.lock", "src0", "", "vendor/lib.js", "src3", "examples/sample.env"]
+    paths = ["src/app/config.yaml", ".env", "deploy/prod.tf", "src0", "notes/setup.txt", "", "service/settings.ini", "src9", "tests/fixtures/data.json", "docs/readme.md", "package.lock", "vendor/lib.js", "src3", "examples/sample.env"]
     name = lambda: r.choice(["token", "secret", "api_key", "password", "access_key", "client_secret", "auth_token", "DB_PASSWORD", "apiKey", "passwd"])
 
     def secret() -> tuple[str, str, str, str]:
@@ -216,9 +228,11 @@ def labelled_findings(each: int = 160, seed: int = 11) -> list[dict]:
 
     out = []
     for _ in range(each * 5):
-        for make, label, paths in ((secret, 1, paths_good), (other, 0, paths_bad)):
+        for make, label in ((secret, 1), (other, 0)):
             kind, value, left, right = make()
-            out.append({"kind": kind, "value": value, "left": left[-LEFT:], "right": right[:RIGHT], "path": r.choice(paths), "label": label})
+            # Of two paths drawn, secrets stand under the one nearer the list's start: a hint, not the answer.
+            path = paths[(min if label else max)(r.randrange(len(paths)), r.randrange(len(paths)))]
+            out.append({"kind": kind, "value": value, "left": left[-LEFT:], "right": right[:RIGHT], "path": path, "label": label})
     return out
 
 
