@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm import bpe, decontaminate, near_copies, secrets, toxicity
+from sievespark.llm import bpe, decontaminate, near_copies, secrets, simhash, toxicity
 from sievespark.llm.common import materialize, read_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,8 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of texts whose 5-word shingles are 80 % the same or more."""
-    return near_copies.representatives(docs)
+    """The document with the smallest id of each near-duplicate class.
+
+    SimHash with pigeonring chains over 5-word shingles joins copies at two bits or fewer; what it leaves is joined
+    where 80 % of the 5-word shingles or more are the same, which 64 bits tell apart too coarsely.
+    """
+    once = materialize(simhash.representatives(docs, shingle=5), "simhash-representatives")
+    return near_copies.representatives(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
