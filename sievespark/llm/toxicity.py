@@ -66,7 +66,10 @@ class Model:
 
     def margin(self, text: str) -> float:
         """Log-odds of one whole text."""
-        slots = features(text, self.bits, self.skips)
+        return self.margin_of(features(text, self.bits, self.skips))
+
+    def margin_of(self, slots: np.ndarray) -> float:
+        """Log-odds of a text's sorted slots."""
         found = self.dense[slots].astype(np.float64)
         cut = np.searchsorted(slots, 1 << self.bits)
         return float(self.bias + found[:cut].sum() + self.context * found[cut:].sum())
@@ -132,6 +135,30 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> Model:
     return Model(s.bits, s.skips, s.context, float(weight(np.array([last]))[0]), slots.astype(np.int32), weight(slots).astype(np.float32))
 
 
+def _slot_lists(labelled: DataFrame, id_col: str, text_col: str, label_col: str, s: Settings) -> DataFrame:
+    """``(at, label, slots)`` of the labelled rows in one partition, by hashed id; features are made where texts lie."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(x.as_py(), s.bits, s.skips) for x in batch.column(2)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            flat = pa.array(np.concatenate([*found, np.zeros(0, np.int32)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, flat)], names=["at", "label", "slots"])
+
+    rows = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(slots, "at bigint, label int, slots array<int>").repartition(1).sortWithinPartitions("at", "label")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, np.ndarray, int]]:
+    rows = []
+    for batch in batches:
+        at, lists, labels = batch.column(0).to_pylist(), batch.column(2), batch.column(1).to_pylist()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        rows += [(i, flat[a:b].copy(), y) for i, a, b, y in zip(at, ends, ends[1:], labels)]
+    return rows
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
     """Model from labelled rows; rows with a null id or label are left out, an empty table gives a model without
     weights that takes nothing for toxic.
@@ -141,31 +168,41 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     """
     s = settings
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(x.as_py(), s.bits, s.skips) for x in batch.column(2)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = pa.array(np.concatenate([*found, np.zeros(0, np.int32)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, flat)], names=["at", "label", "slots"])
-
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            lists, labels = batch.column(2), batch.column(1).to_pylist()
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            rows += [(flat[a:b].copy(), y) for a, b, y in zip(ends, ends[1:], labels)]
-        m = ftrl(rows, s)
+        m = ftrl([(slots, y) for _, slots, y in _gathered(batches)], s)
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.slots.tolist()], pa.list_(pa.int32())), pa.array([m.weights.tolist()], pa.list_(pa.float32()))], names=["bias", "slots", "weights"])
 
-    rows = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ready = rows.mapInArrow(slots, "at bigint, label int, slots array<int>")
-    first = ready.repartition(1).sortWithinPartitions("at", "label").mapInArrow(train, "bias double, slots array<int>, weights array<float>").first()
+    first = _slot_lists(labelled, id_col, text_col, label_col, s).mapInArrow(train, "bias double, slots array<int>, weights array<float>").first()
     if first is None:
         return Model(s.bits, s.skips, s.context, UNLABELLED, np.zeros(0, np.int32), np.zeros(0, np.float32))
     return Model(s.bits, s.skips, s.context, first.bias, np.array(first.slots, np.int32), np.array(first.weights, np.float32))
 
 
+def choose(labelled: DataFrame, grid: list[Settings], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4) -> list[tuple[Settings, float]]:
+    """The settings of ``grid``, best first, with the F1 of label 1 from ``folds`` parts of the labelled rows, each
+    predicted by a model of the others. Meant for rows of ``labelled_sample``: what is held out is never looked at.
+
+    All settings must make the same features. The rows are bounded by ``max_labelled`` and meet in one task.
+    """
+    if len({(s.bits, s.skips) for s in grid}) != 1:
+        raise ValueError("the settings to choose from must share bits and skips")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _gathered(batches)
+        for n, s in enumerate(grid):
+            right = wrong = missed = 0
+            for fold in range(folds):
+                m = ftrl([(x, y) for i, x, y in rows if i % folds != fold], s)
+                for i, x, y in rows:
+                    if i % folds == fold:
+                        says = m.margin_of(x) >= 0
+                        right, wrong, missed = right + (says and y), wrong + (says and not y), missed + (y and not says)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([2 * right / max(1, 2 * right + wrong + missed)])], names=["n", "f1"])
+
+    found = _slot_lists(labelled, id_col, text_col, label_col, grid[0]).mapInArrow(compare, "n int, f1 double").collect()
+    return [(grid[r["n"]], r["f1"]) for r in sorted(found, key=lambda r: (-r["f1"], r["n"]))]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """One document in five, by the CRC-32 of its id's decimal string, is never learnt from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0

@@ -60,6 +60,25 @@ def test_sample_is_bounded_and_never_held_out(tables):
     assert all(zlib.crc32(str(x.doc_id).encode()) % 5 for x in few)
 
 
+def test_settings_are_chosen_inside_the_training_part(tables):
+    _, table, labels = tables
+    sample = toxicity.labelled_sample(table, labels)
+    assert sample.where(toxicity.held_out()).count() == 0
+    blind = toxicity.Settings(bits=16, l1=1e6)
+    found = toxicity.choose(sample, [blind, SMALL])
+    assert found[0][0] == SMALL and found[0][1] > 0.9 and found[1] == (blind, 0.0)
+    with pytest.raises(ValueError):
+        toxicity.choose(sample, [SMALL, toxicity.Settings()])
+
+
+def test_a_very_long_text(spark, tables):
+    _, table, labels = tables
+    model = toxicity.fit(toxicity.labelled_sample(table, labels), settings=SMALL)
+    text = "sane rest " * 200_000 + " ".join(BAD)
+    rows = toxicity.score(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).collect()
+    assert 0 <= rows[0].score <= 1 and abs(rows[0].score - 1 / (1 + 2.718281828459045 ** -model.margin(text))) < 1e-6
+
+
 def test_no_labels_and_no_documents(spark, tables):
     _, table, labels = tables
     assert {(round(x.score, 3), x.predicted) for x in toxicity.toxicity(table, labels.limit(0), settings=SMALL).collect()} == {(0.269, 0)}
