@@ -50,6 +50,15 @@ def _ts(name: str) -> str:
 # Detection
 
 
+def _pad(key: bytes, x: int) -> str:
+    return bytes(b ^ x for b in key.ljust(64, b"\0")).hex()
+
+
+def _hmac_sql(key: bytes, purpose: str, message: str) -> str:
+    domain = f"{identity.DOMAIN}.{purpose}.v1".encode().hex() + "00"
+    return f"sha256(unhex('{_pad(key, 0x5C)}') || unhex(sha256(unhex('{_pad(key, 0x36)}') || unhex('{domain}') || {message})))"
+
+
 @query(
     f"""with {P_}, hit as (
     select doc_id, 'aws-access-key-id' as rule_id, unnest(regexp_extract_all(text, '\\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\\b')) as secret from planted
@@ -87,6 +96,24 @@ def det_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.tallies(m.planted_units(spark, sf_dir), packs.load())
 
 
+_PASSES = "not (rule_id in ('aws-secret-access-key', 'azure-storage-account-key') and list_aggregate(string_split(secret, ''), 'entropy') < 4.0)"
+
+
+@query(
+    f"""with {m.SEEDED_SQL} select cast(doc_id as varchar) as resource_id, rule_id, cast(length(head) as integer) as "start", cast(length(head) + length(secret) as integer) as "end",
+    round(list_aggregate(string_split(secret, ''), 'entropy'), 6) as bits, {_hmac_sql(PEPPER, 'secret', 'encode(secret)')} as secret_hash from seeded where {_PASSES}"""
+)
+def det_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shipped rules over whole texts that end in a credential of each format: rule, place, entropy, hash."""
+    found = detect.findings(m.seeded_units(spark, sf_dir), packs.load(), detect.Keys(PEPPER))
+    return found.select("resource_id", "rule_id", "start", "end", F.round("entropy", 6).alias("bits"), "secret_hash")
+
+
+@query(f"with {m.SEEDED_SQL} select cast(doc_id as varchar) as resource_id, case when {_PASSES} then 1 else 0 end as reported, false as truncated from seeded")
+def det_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.tallies(m.seeded_units(spark, sf_dir), packs.load()).select("resource_id", "reported", "truncated")
+
+
 @query(
     f"""with {P_}, hit as (select source, 'k' || cast(doc_id % 97 as varchar) as secret, doc_id from planted)
     select secret, count(*) as findings, count(distinct source) as sources, min(doc_id) as first_doc from hit group by secret"""
@@ -106,15 +133,6 @@ def det_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Identity
 
 
-def _pad(key: bytes, x: int) -> str:
-    return bytes(b ^ x for b in key.ljust(64, b"\0")).hex()
-
-
-def _hmac_sql(key: bytes, purpose: str, message: str) -> str:
-    domain = f"{identity.DOMAIN}.{purpose}.v1".encode().hex() + "00"
-    return f"sha256(unhex('{_pad(key, 0x5C)}') || unhex(sha256(unhex('{_pad(key, 0x36)}') || unhex('{domain}') || {message})))"
-
-
 @query(f"select doc_id, case when length(text) > 0 then {_hmac_sql(PEPPER, 'secret', 'encode(text)')} end as secret_hash from documents")
 def idn_secret_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(spark, sf_dir, "documents").select("doc_id", identity.secret_hash(F.col("text"), PEPPER).alias("secret_hash"))
@@ -665,6 +683,23 @@ def txt_wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.table(spark, sf_dir, "documents").select("doc_id", markup.wiki_to_text(F.col("text")).alias("text"))
 
 
+@query("select doc_id, source || chr(10) || 'id & ' || cast(doc_id as varchar) || chr(10) || 'x<' || lang || '>' || chr(10) || 'a' || chr(10) || 'b c' as text from documents where source is not null and lang is not null")
+def txt_storage_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        F.lit("<h1>"), F.col("source"), F.lit("</h1><p>id &amp; "), F.col("doc_id").cast("string"), F.lit('</p><ac:structured-macro ac:name="code"><ac:parameter ac:name="language">sh</ac:parameter><ac:plain-text-body><![CDATA[x<'),
+        F.col("lang"), F.lit('>]]></ac:plain-text-body></ac:structured-macro><ri:page ri:title="t"/><ul><li>a</li><li>b <strong>c</strong></li></ul>'),
+    ]
+    rows = m.table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    return rows.select("doc_id", markup.storage_to_text(F.concat(*parts)).alias("text"))
+
+
+@query("select doc_id, source || chr(10) || 'item ' || lang || ' see http://h/' || cast(doc_id as varchar) || chr(10) || '* ' || lang || chr(10) || 'name value' as text from documents where source is not null and lang is not null")
+def txt_wiki_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.lit("h2. "), F.col("source"), F.lit("\n* item {{"), F.col("lang"), F.lit("}} [see|http://h/"), F.col("doc_id").cast("string"), F.lit("]\n{code:sh}\n* "), F.col("lang"), F.lit("\n{code}\n||name||value||")]
+    rows = m.table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    return rows.select("doc_id", markup.wiki_to_text(F.concat(*parts)).alias("text"))
+
+
 @query("select cast(conv_id as varchar) as resource_id, 'comment:' || cast(turn as varchar) as sub_resource, 'comment' as origin, length(text) as n_chars from conversations")
 def src_comment_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = m.table(spark, sf_dir, "conversations")

@@ -126,6 +126,45 @@ def planted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(planted(spark, sf_dir), "documents", F.col("doc_id"), F.col("text"), display={"space": F.col("source")})
 
 
+_A, _B = "md5('a' || cast(doc_id as string))", "translate(md5('b' || cast(doc_id as string)), '0123456789abcdef', 'GKRJPZMXWVQLTHYN')"
+_MIXED = f"substring({_A}, 1, 24) || substring({_B}, 1, 24)"
+#: A unit for each shipped rule, by doc_id: what stands before the secret, the secret and what stands behind it, as SQL
+#: that both engines read. Key formats are parted, so that no whole credential stands in the source.
+SEEDED = [
+    ("aws-access-key-id", "'aws access key '", f"'AK' || 'IA' || upper(substring({_A}, 1, 16))", "' .'"),
+    ("aws-secret-access-key", "'aws_secret_access_key = '", f"substring({_MIXED}, 1, 40)", "' .'"),
+    ("gcp-api-key", "'google maps api key '", f"'AI' || 'za' || substring({_MIXED}, 1, 35)", "' .'"),
+    ("azure-storage-account-key", "'azure storage connection AccountKey='", f"{_MIXED} || {_A}", "' .'"),
+    ("github-token", "'github token '", f"'gh' || 'p_' || substring({_MIXED}, 1, 36)", "' .'"),
+    ("github-fine-grained-pat", "'github token '", f"'github' || '_pat_' || {_MIXED} || {_A}", "' .'"),
+    ("slack-token", "'slack bot '", f"'xo' || 'xb-' || substring({_A}, 1, 24)", "' .'"),
+    ("slack-webhook-url", "'slack notify '", f"'https://hooks.slack' || '.com/services/T' || upper(substring({_A}, 1, 8)) || '/B' || upper(substring({_A}, 9, 8)) || '/' || substring({_A}, 1, 24)", "' .'"),
+    ("stripe-api-key", "'stripe payment '", f"'sk' || '_live_' || substring({_A}, 1, 24)", "' .'"),
+    ("json-web-token", "'authorization bearer '", f"'ey' || 'J' || substring({_A}, 1, 20) || '.ey' || 'J' || substring({_A}, 1, 24) || '.' || substring({_A}, 3, 20)", "' .'"),
+    ("connection-string-password", "'database uri postgres://app:'", f"substring({_A}, 1, 14)", "'@db.local/x'"),
+    ("password-assignment", "'login credential password = \"'", f"'Tr0ub4dor&' || substring({_A}, 1, 6)", "'\" .'"),
+]
+
+
+def _seeded_sql(text: str) -> str:
+    pick = lambda at: "case " + " ".join(f"when doc_id % {len(SEEDED)} = {i} then {x[at]}" for i, x in enumerate(SEEDED)) + " end"
+    rule = "case " + " ".join(f"when doc_id % {len(SEEDED)} = {i} then '{x[0]}'" for i, x in enumerate(SEEDED)) + " end"
+    return f"select doc_id, {rule} as rule_id, {text} || {pick(1)} as head, {pick(2)} as secret, {pick(3)} as tail from documents"
+
+
+#: The documents' own texts, a line break, then the credential.
+SEEDED_SQL = "seeded as (" + _seeded_sql("coalesce(text, '') || chr(10)").replace("as string)", "as varchar)") + ")"
+
+
+def seeded_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a credential of one of the shipped rules written behind its text."""
+    from ..sources.units import units
+
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_seeded_documents")
+    rows = spark.sql(_seeded_sql("coalesce(text, '') || char(10)").replace("from documents", "from _seeded_documents"))
+    return units(rows.select("doc_id", F.concat("head", "secret", "tail").alias("text")), "documents", F.col("doc_id"), F.col("text"))
+
+
 def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
     return spark.createDataFrame(list(values), schema)
 
