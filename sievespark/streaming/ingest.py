@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,7 +13,7 @@ from ..operators import detect, state
 from ..plans.rules import RulePack
 
 
-def start(units: DataFrame, pack: RulePack, keys: detect.Keys, folder: str, empty: DataFrame, scan_id: str, source_id: str, trigger: dict | None = None):
+def start(units: DataFrame, pack: RulePack, keys: detect.Keys, folder: str, empty: DataFrame, scan_id: str, source_id: str, trigger: dict | None = None, clock: Callable[[int], Column] | None = None):
     """Start a query that detects in a stream of units and keeps the finding table in ``folder`` up to date.
 
     Each batch writes the next version of the state. A batch's number is the version it writes, so one that Spark
@@ -26,7 +26,7 @@ def start(units: DataFrame, pack: RulePack, keys: detect.Keys, folder: str, empt
         if number + 1 <= version:
             return
         found = detect.findings(batch, pack, keys)
-        at = F.current_timestamp()
+        at = clock(number) if clock else F.current_timestamp()
         locator = F.create_map(F.lit("connector_type"), F.col("connector_type"), F.lit("resource_id"), F.col("resource_id"), F.lit("offset"), F.col("start").cast("string"))
         payload = found.select(
             F.lit(source_id).alias("source_id"), "fingerprint", F.lit(None).cast("string").alias("previous_fingerprint"), F.lit(None).cast("string").alias("previous_secret_hash"), "secret_hash",
