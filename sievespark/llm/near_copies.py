@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, sized_broadcast, text_bytes
+from .components import connected_components
 from .simhash import classes_of
 
 #: Words a shingle; least similarity in percent; bands and MinHashes a band: a pair at 80 % shares one with 0.9997.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 80, 20, 5
-#: Texts of a band's bucket that are compared pairwise; in larger buckets each text meets so many leaders.
+#: Texts of a band's bucket that are compared pairwise; in larger buckets each text first meets so many leaders.
 BUCKET, LEADERS = 32, 8
+#: Counters of shingles, by which prefixes are ordered: the bound of what the driver holds and sends.
+COUNTERS = 1 << 18
 _BLOCK, _SLICE = 1 << 12, 256
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _MIX[0] |= np.uint64(1)
@@ -70,40 +73,116 @@ def _prints(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(fp.view(np.int64)), pa.array([len(h) for h in sets], pa.int64()), _lists([bands(h) for h in sets])]
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
+def _band_sizes(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bands ``(c, key, m, leaders)`` that more than one text has, and their texts ``(c, key, fp, n, m)``."""
+    keys = distinct.select("fp", "n", F.posexplode("bands").alias("c", "key"))
+    orders = [F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("o"), "fp", "n")).alias(f"l{i}") for i in range(LEADERS)]
+    found = keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("m"), *orders).where("m > 1")
+    sizes = materialize(found.select("c", "key", "m", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("leaders")), "bands")
+    return sizes, materialize(keys.join(sizes.select("c", "key", "m"), ["c", "key"]), "live-bands")
+
+
+def _sizes_allow(a: str, b: str):
+    return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
+
+
+def candidates(sizes: DataFrame, live: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of ``fp`` that share a band and whose sizes allow the similarity.
 
     Buckets of up to ``BUCKET`` texts give all pairs. In larger ones each text meets the ``LEADERS`` smallest
     by as many fixed orders, the same in all bands, so a hot bucket costs rows in proportion to its size.
     """
-    keys = distinct.select("fp", "n", F.posexplode("bands").alias("c", "key"))
-    orders = [F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("o"), "fp", "n")).alias(f"l{i}") for i in range(LEADERS)]
-    sizes = materialize(keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("m"), *orders).where("m > 1"), "bands")
-    live = materialize(keys.join(sizes.select("c", "key", "m"), ["c", "key"]), "live-bands")
     few = live.where(F.col("m") <= BUCKET)
     x = few.select("c", "key", F.col("fp").alias("a"), F.col("n").alias("na"))
     y = few.select("c", "key", F.col("fp").alias("b"), F.col("n").alias("nb"))
     pairs = x.join(y, ["c", "key"]).where("a < b").select("a", "na", "b", "nb")
-    hot = sizes.where(F.col("m") > BUCKET).select("c", "key", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("leaders"))
+    hot = sizes.where(F.col("m") > BUCKET).select("c", "key", "leaders")
     met = live.join(hot, ["c", "key"]).select("fp", "n", F.explode(F.array_distinct("leaders")).alias("l")).where("fp != l.fp")
-    stars = met.select(F.least("fp", "l.fp").alias("a"), F.when(F.col("fp") < F.col("l.fp"), F.col("n")).otherwise(F.col("l.n")).alias("na"), F.greatest("fp", "l.fp").alias("b"), F.when(F.col("fp") < F.col("l.fp"), F.col("l.n")).otherwise(F.col("n")).alias("nb"))
-    near = 100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
-    return pairs.union(stars).where(near).select("a", "b").distinct()
+    stars = met.select(F.least("fp", "l.fp").alias("a"), F.col("n").alias("na"), F.greatest("fp", "l.fp").alias("b"), F.col("l.n").alias("nb"))
+    return pairs.union(stars).where(_sizes_allow("na", "nb")).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataFrame:
-    """Candidates ``(a, b)`` whose shingles are similar enough, counted exactly; only their texts are cut again."""
-    pairs = materialize(candidates(distinct), "candidates")
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+def _sets(ends: DataFrame, docs: DataFrame, distinct: DataFrame, text_col: str) -> DataFrame:
+    """``(fp, grams)`` of the given ``fp``; only their texts are cut again."""
     ends = sized_broadcast(distinct.join(ends, "fp", "left_semi").select("fp", "text_key"))
     raw = docs.select(F.xxhash64(text_col).alias("text_key"), text_bytes(text_col).alias("raw"))
     texts = raw.join(ends, "text_key").select("fp", "raw").dropDuplicates(["fp"])
-    sets = materialize(_per_text(texts, "fp bigint, grams array<bigint>", lambda sets: [_lists(sets)]), "shingles")
+    return materialize(_per_text(texts, "fp bigint, grams array<bigint>", lambda sets: [_lists(sets)]), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingles are similar enough, counted exactly."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
     return materialize(shared.where(100 * F.col("i") >= SIMILAR * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
 
+def prefixes(sets: DataFrame) -> DataFrame:
+    """``(fp, n, gram)``: of each set the rarest shingles, so many that two similar sets must share one of theirs.
+
+    Similar sets share at least ``SIMILAR`` % of either, so one of the first n - ceil(0.8 n) + 1 in any order that
+    is the same for all. The order is by a counter of ``COUNTERS`` that the shingle falls into, then by the shingle.
+    """
+    slot = F.pmod(F.col("gram"), F.lit(COUNTERS)).alias("slot")
+    counted = sets.select(F.explode("grams").alias("gram")).groupBy(slot).agg(F.count(F.lit(1)).alias("count"))
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in counted.toLocalIterator():
+        counts[row["slot"]] = row["count"]
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                sets = [g.values.to_numpy() for g in part.column("grams")]
+                first = [g[np.lexsort((g, shared.value[g % COUNTERS]))][: len(g) - -(-len(g) * SIMILAR // 100) + 1] for g in sets]
+                many = [len(f) for f in first]
+                columns = [np.repeat(part.column("fp").to_numpy(), many), np.repeat([len(g) for g in sets], many), np.concatenate(first)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["fp", "n", "gram"])
+
+    return sets.mapInArrow(run, "fp bigint, n bigint, gram bigint")
+
+
+def unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(fp, root, apart)`` of the texts in large buckets that the links so far leave in several classes.
+
+    ``apart`` marks those that some such bucket holds outside its most frequent class. Two texts of a bucket in
+    different classes are both here and one of them is apart.
+    """
+    hot = live.where(F.col("m") > BUCKET).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    hot = materialize(hot.select("c", "key", "fp", F.coalesce("root", "fp").alias("root")), "hot-bands")
+    shares = hot.groupBy("c", "key", "root").agg(F.count(F.lit(1)).alias("m"))
+    mains = shares.groupBy("c", "key").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("classes"))
+    open_ = hot.join(mains.where("classes > 1").select("c", "key", "main.root").withColumnRenamed("root", "main"), ["c", "key"])
+    return materialize(open_.groupBy("fp").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("apart")), "unsettled")
+
+
+def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataFrame:
+    """Links ``(a, b)`` of similar texts, every one counted exactly, that join all similar texts which share a band.
+
+    Small buckets compare their pairs, large ones meet leaders. Where this leaves a large bucket in several classes,
+    the texts outside its most frequent one are held against all texts of such buckets by prefixes of rare shingles,
+    which lose no similar pair. So no bucket's size loses a link, and a large group of copies, which its leaders
+    join, never makes its pairs; only texts that share rare shingles without being linked are compared pairwise.
+    """
+    sizes, live = _band_sizes(distinct)
+    pairs = materialize(candidates(sizes, live), "candidates")
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    near = _similar(pairs, _sets(ends, docs, distinct, text_col))
+    if sizes.where(F.col("m") > BUCKET).isEmpty():
+        return near
+    rest = unsettled(live, connected_components(near, "a", "b"))
+    if rest.isEmpty():
+        return near
+    sets = _sets(rest.select("fp"), docs, distinct, text_col)
+    rare = materialize(prefixes(sets).join(rest, "fp"), "prefixes")
+    x = rare.where("apart").select("gram", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    y = rare.select("gram", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = x.join(y, "gram").where((F.col("ra") != F.col("rb")) & _sizes_allow("na", "nb"))
+    late = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "late-candidates")
+    return near.union(_similar(late, sets))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, component)`` per row of ``docs``, fp telling sets of shingles apart; as ``simhash.near_duplicates``."""
     kind = docs.schema[id_col].dataType.simpleString()

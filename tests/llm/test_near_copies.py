@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
+
 from sievespark.llm import near_copies
 
 
@@ -63,3 +65,28 @@ def test_the_stage_drops_edited_copies(spark, sf_dir):
     table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     want = {i for i, c in brute([r[:2] for r in rows]).items() if i == c}
     assert {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, table, sf_dir).collect()} == want
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """All texts in one bucket with one leader, which joins next to none: rare shingles must find the rest, chains too."""
+    prints = near_copies._prints
+
+    def one_bucket(sets):
+        return [*prints(sets)[:2], pa.array([[7] if len(h) else [] for h in sets], pa.list_(pa.int64()))]
+
+    monkeypatch.setattr(near_copies, "BUCKET", 3)
+    monkeypatch.setattr(near_copies, "LEADERS", 1)
+    monkeypatch.setattr(near_copies, "_prints", one_bucket)
+    r = random.Random(8)
+    rows = texts()
+    for chain in range(6):
+        base = [f"c{chain}w{i}" for i in range(120)]
+        for step in range(25):
+            rows.append(" ".join(base))
+            for at in r.sample(range(120), 2):
+                base[at] = f"c{chain}s{step}x{at}"
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.id: x.component for x in near_copies.near_copies(table).collect()} == brute(rows)
+    monkeypatch.setattr(near_copies, "unsettled", lambda live, roots: roots.limit(0))
+    assert {x.id: x.component for x in near_copies.near_copies(table).collect()} != brute(rows)
