@@ -107,17 +107,23 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     Texts are read once for size and CRC and never shuffled.
     """
     raw = text_bytes(text_col)
-    slim = docs.select(F.col(id_col).alias("id"), *strings, text_size(text_col).alias("size"), F.crc32(raw).alias("text_crc32"))
+    named = [f"_s{i}" for i in range(len(strings))]
+    slim = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(n) for c, n in zip(strings, named)], text_size(text_col).alias("size"), F.crc32(raw).alias("text_crc32"))
     slim = materialize(slim, "metadata")
-    placed = with_hilbert(slim, ["size"], list(strings), bits).drop(*strings)
+    placed = with_hilbert(slim, ["size"], named, bits).drop(*named)
     return cut_runs(placed, ["curve", "size", "text_crc32", "id"], shards)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", strings: tuple[str, ...] = ("lang", "source"), bits: int = 6, rows_per_file: int = 1_000_000) -> None:
     """Write ``docs`` as one folder ``shard=N`` per shard, each file a run of the curve, for pruning by its statistics.
 
-    Ids must be unique here, as rows meet their shard by id.
+    Whole rows are sorted and cut, so each is written once, null and repeated ids too. Where ``docs`` has a column
+    called shard, the folders are ``curve_shard=N``.
     """
-    plan = shard_rows(docs, shards, id_col, text_col, strings, bits).select(F.col("id").alias(id_col), "shard", "slot")
-    rows = docs.join(plan, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot")
-    rows.write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+    named = [f"_s{i}" for i in range(len(strings))]
+    marks = [text_size(text_col).alias("size"), F.crc32(text_bytes(text_col)).alias("text_crc32"), F.col(id_col).alias("id")]
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *marks, *[F.col(c).alias(n) for c, n in zip(strings, named)])
+    cut = cut_runs(with_hilbert(whole, ["size"], named, bits), ["curve", "size", "text_crc32", "id"], shards)
+    folder = "curve_shard" if "shard" in [c.lower() for c in docs.columns] else "shard"
+    rows = cut.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias(folder))
+    rows.write.option("maxRecordsPerFile", rows_per_file).partitionBy(folder).parquet(path)

@@ -43,3 +43,17 @@ def test_files_hold_every_row_once(spark, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/shards")
     assert sorted(r.doc_id for r in back.collect()) == list(range(200))
     assert [r["count"] for r in back.groupBy("shard").count().collect()] == [50] * 4
+
+
+def test_files_hold_null_and_repeated_ids_once(spark, tmp_path):
+    rows = [(i if i % 5 else None, "same" if i % 2 else f"text {i}", "en", "a", "mine", i) for i in range(60)] + [(7, "twin", "en", "a", "mine", 0)] * 3 + [(None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", shards=4)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted(map(repr, (tuple(r) for r in back.drop("curve_shard").collect()))) == sorted(map(repr, rows))
+    assert [r["count"] for r in back.groupBy("curve_shard").count().collect()] == [16] * 4
+
+
+def test_metadata_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "x" * i, "en", "a") for i in range(20)], "doc_id bigint, text string, id string, size string")
+    assert len({(x["shard"], x["slot"]) for x in sharding.shard_rows(docs, 4, strings=("id", "size")).collect()}) == 20
