@@ -897,6 +897,24 @@ def agg_fetch_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.fetch_tallies(d)
 
 
+@query(f"with {T_} select scan_id, id, row_number() over (partition by scan_id order by created_at, id) as n from task")
+def ord_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.in_order(m.tasks(spark, sf_dir)).select("scan_id", "id", F.col("n").cast("bigint").alias("n"))
+
+
+@query("select 's' || cast(c_custkey % 400 as varchar) as source_id, cast(max(c_custkey % 12) as bigint) as baseline_days from customer where c_custkey % 31 <> 0 group by 1")
+def agg_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = (F.unix_timestamp(m.as_of()) - F.unix_timestamp("baseline")) / 86_400
+    return cursors.baseline(_cursors(spark, sf_dir)).select("source_id", days.cast("bigint").alias("baseline_days"))
+
+
+@query("select 'c' || cast(o_custkey % 50 as varchar) as channel_id, count(*) as pending from orders where o_orderstatus = 'O' group by 1")
+def agg_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as deliveries, the open ones queued."""
+    rows = m.table(spark, sf_dir, "orders").select(F.expr("'c' || cast(o_custkey % 50 as string)").alias("channel_id"), F.expr("if(o_orderstatus = 'O', 'pending', 'delivered')").alias("status"))
+    return outbox.pending(rows)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_GAPS = 10_000
@@ -34,8 +34,6 @@ def merged_reasons(reports: DataFrame, key: str = "scan_id") -> DataFrame:
 
 def merged_gaps(gaps: DataFrame, key: str = "scan_id", most: int = MOST_GAPS) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` gaps of each scan by reference, and per scan how many more there are."""
-    from pyspark.sql import Window
-
     ranked = gaps.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("reference")))
     omitted = gaps.groupBy(key).agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("gaps_omitted"))
     return ranked.where(F.col("n") <= most).drop("n"), omitted
@@ -72,6 +70,11 @@ def first_error() -> Column:
     return F.min_by(F.when(failed, F.col("error")), F.when(failed, F.struct("created_at", "id")))
 
 
+def in_order(tasks: DataFrame) -> DataFrame:
+    """Tasks numbered within their scan by (created_at, id), the order in which reports and errors are read."""
+    return tasks.withColumn("n", F.row_number().over(Window.partitionBy("scan_id").orderBy("created_at", "id")))
+
+
 def manifest(tasks: DataFrame, reports: DataFrame) -> DataFrame:
     """A row per scan: status, coverage state, counts and what is unreported.
 

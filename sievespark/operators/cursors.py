@@ -32,6 +32,11 @@ def plan_mode(cursors: DataFrame, sources: DataFrame, as_of: Column) -> DataFram
     return found.select("source_id", F.when(F.col("reason").isNull(), "incremental").otherwise("full").alias("mode"), "reason", F.when(F.col("reason").isNull(), F.col("baseline")).alias("baseline"))
 
 
+def baseline(cursors: DataFrame) -> DataFrame:
+    """Per source the oldest time its live cursors were minted: before it nothing of an incremental scan looked."""
+    return cursors.where("invalidated_at is null").groupBy("source_id").agg(F.min("minted_at").alias("baseline"))
+
+
 def commit(cursors: DataFrame, proposals: DataFrame, at: Column) -> DataFrame:
     """Cursors after completed tasks' proposals: one row per (source, scope); a retired row comes to life again.
 

@@ -69,6 +69,11 @@ def due(deliveries: DataFrame, as_of: Column, batch: int = 50) -> DataFrame:
     return deliveries.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= as_of)).orderBy("next_attempt_at", "id").limit(batch)
 
 
+def pending(deliveries: DataFrame) -> DataFrame:
+    """How many deliveries of each channel are queued; channels without any have no row."""
+    return deliveries.where("status = 'pending'").groupBy("channel_id").agg(F.count(F.lit(1)).alias("pending"))
+
+
 def payload(as_of: Column) -> Column:
     """JSON of an overdue announcement: a fixed list of fields, a bounded snippet, whole hours late."""
     hours = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp("due_at")) / 3600)
