@@ -23,8 +23,10 @@ from .simhash import classes_of
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 80, 20, 5
 #: Texts of a band's bucket that are compared pairwise; in larger buckets each text first meets so many leaders.
 BUCKET, LEADERS = 32, 8
-#: Counters of shingles, by which prefixes are ordered: the bound of what the driver holds and sends.
+#: Counters of shingles, by which differences are ordered: the bound of what the driver holds and sends.
 COUNTERS = 1 << 18
+#: Sets are similar if _SUM times their symmetric difference is at most _GAP times the sum of their sizes.
+_SUM, _GAP = 100 + SIMILAR, 100 - SIMILAR
 _BLOCK, _SLICE = 1 << 12, 256
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _MIX[0] |= np.uint64(1)
@@ -74,12 +76,13 @@ def _prints(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _band_sizes(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bands ``(c, key, m, leaders)`` that more than one text has, and their texts ``(c, key, fp, n, m)``."""
+    """Bands ``(c, key, m, leaders)`` that more than one text has, and their texts ``(c, key, fp, n, m, ref)``, ref being the first leader."""
     keys = distinct.select("fp", "n", F.posexplode("bands").alias("c", "key"))
     orders = [F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("o"), "fp", "n")).alias(f"l{i}") for i in range(LEADERS)]
     found = keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("m"), *orders).where("m > 1")
     sizes = materialize(found.select("c", "key", "m", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("leaders")), "bands")
-    return sizes, materialize(keys.join(sizes.select("c", "key", "m"), ["c", "key"]), "live-bands")
+    known = sizes.select("c", "key", "m", F.col("leaders")[0]["fp"].alias("ref"))
+    return sizes, materialize(keys.join(known, ["c", "key"]), "live-bands")
 
 
 def _sizes_allow(a: str, b: str):
@@ -117,53 +120,99 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(shared.where(100 * F.col("i") >= SIMILAR * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """``(fp, n, gram)``: of each set the rarest shingles, so many that two similar sets must share one of theirs.
+def differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``rows`` ``(fp, ref, …)`` with ``n`` and ``base``, the sizes of both sets, and ``diff``, what only one of the two holds."""
+    both = rows.join(sets, "fp").join(sets.select(F.col("fp").alias("ref"), F.col("grams").alias("others")), "ref")
+    diff = F.concat(F.array_except("grams", "others"), F.array_except("others", "grams")).alias("diff")
+    return materialize(both.select(*rows.columns, F.size("grams").cast("bigint").alias("n"), F.size("others").cast("bigint").alias("base"), diff), "differences")
 
-    Similar sets share at least ``SIMILAR`` % of either, so one of the first n - ceil(0.8 n) + 1 in any order that
-    is the same for all. The order is by a counter of ``COUNTERS`` that the shingle falls into, then by the shingle.
+
+def centres(diffs: DataFrame) -> DataFrame:
+    """``(ref, centre)``: of the texts with one ref, that nearest to the shingles which most of them hold."""
+    grams = diffs.select("fp", "ref", F.explode("diff").alias("gram"))
+    many = diffs.groupBy("ref").agg(F.count(F.lit(1)).alias("texts"))
+    usual = grams.groupBy("ref", "gram").agg(F.count(F.lit(1)).alias("k")).join(many, "ref").where("2 * k > texts").select("ref", "gram")
+    hits = grams.join(materialize(usual, "usual"), ["ref", "gram"]).groupBy("fp", "ref").agg(F.count(F.lit(1)).alias("hits"))
+    off = diffs.select("fp", "ref", F.size("diff").alias("d")).join(hits, ["fp", "ref"], "left").withColumn("off", F.expr("d - 2 * coalesce(hits, 0)"))
+    return materialize(off.groupBy("ref").agg(F.min(F.struct("off", "fp"))["fp"].alias("centre")), "centres")
+
+
+def _far():
+    return F.lit(_SUM) * F.size("diff") > F.lit(_GAP) * (F.col("n") + F.col("base"))
+
+
+def ordered(diffs: DataFrame) -> DataFrame:
+    """``(fp, ref, root, apart, n, d, far, near_by, at, gram)``: the differences, those first that few texts of a ref have.
+
+    The order is by a counter of ``COUNTERS`` that ref and shingle fall into, then by shingle; ``at`` counts from one.
+    Two texts that are similar to their ref are linked by it, so one of a pair still to be found is ``far``. Against a
+    far text the ``near_by`` first ones hold a shared one; a far text gives all.
     """
-    slot = F.pmod(F.col("gram"), F.lit(COUNTERS)).alias("slot")
-    counted = sets.select(F.explode("grams").alias("gram")).groupBy(slot).agg(F.count(F.lit(1)).alias("count"))
+    slot = F.pmod(F.col("gram").bitwiseXOR(F.col("ref")), F.lit(COUNTERS)).alias("slot")
+    counted = diffs.select("ref", F.explode("diff").alias("gram")).groupBy(slot).agg(F.count(F.lit(1)).alias("count"))
     counts = np.zeros(COUNTERS, np.int64)
     for row in counted.toLocalIterator():
         counts[row["slot"]] = row["count"]
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    shared = diffs.sparkSession.sparkContext.broadcast(counts)
+    keep = ["fp", "ref", "root", "apart", "n", "d", "far", "near_by"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                sets = [g.values.to_numpy() for g in part.column("grams")]
-                first = [g[np.lexsort((g, shared.value[g % COUNTERS]))][: len(g) - -(-len(g) * SIMILAR // 100) + 1] for g in sets]
-                many = [len(f) for f in first]
-                columns = [np.repeat(part.column("fp").to_numpy(), many), np.repeat([len(g) for g in sets], many), np.concatenate(first)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["fp", "n", "gram"])
+                found = []
+                for ref, far, near_by, diff in zip(*(part.column(c).to_pylist() for c in ("ref", "far", "near_by")), part.column("diff")):
+                    diff = diff.values.to_numpy()
+                    found.append(diff[np.lexsort((diff, shared.value[(diff ^ ref) % COUNTERS]))][: len(diff) if far else near_by])
+                many = [len(f) for f in found]
+                columns = [part.column(c).take(pa.array(np.repeat(np.arange(len(many)), many))) for c in keep]
+                columns += [pa.array(np.concatenate([np.arange(1, m + 1) for m in many])), pa.array(np.concatenate(found))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "at", "gram"])
+
+    d = F.size("diff").cast("bigint").alias("d")
+    near_by = F.expr(f"size(diff) - ({_SUM} * size(diff) + {_GAP} * (base - n)) div {2 * _SUM}").alias("near_by")
+    rows = diffs.where(F.size("diff") > 0).select("fp", "ref", "root", "apart", "n", d, _far().alias("far"), near_by, "diff")
+    return rows.mapInArrow(run, "fp bigint, ref bigint, root bigint, apart boolean, n bigint, d bigint, far boolean, near_by bigint, at bigint, gram bigint")
+
 
-    return sets.mapInArrow(run, "fp bigint, n bigint, gram bigint")
+def late_candidates(diffs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` in different classes whose differences from one ref share enough to be similar.
+
+    The first shared one of a pair bounds how many follow it; what cannot suffice is left out inside the join.
+    """
+    found = []
+    side = lambda rows, to: rows.select("ref", "gram", *[F.col(c).alias(c + to) for c in ("fp", "root", "n", "d", "at", "far", "near_by")])
+    far, first = diffs.where("far"), diffs.where("at <= near_by")
+    for x, y in ((far.where("apart"), first), (far.where("NOT apart"), first.where("apart"))):
+        most = 1 + F.least(F.expr("dx - atx"), F.expr("dy - aty"))
+        enough = 2 * _SUM * most >= F.expr(f"{_SUM} * (dx + dy) - {_GAP} * (nx + ny)")
+        met = side(x, "x").join(side(y, "y"), ["ref", "gram"]).where("fpx != fpy AND rootx != rooty AND (NOT fary OR atx <= near_byx)")
+        found.append(met.where(enough).select(F.least("fpx", "fpy").alias("a"), F.greatest("fpx", "fpy").alias("b")))
+    return found[0].union(found[1]).distinct()
 
 
 def unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(fp, root, apart)`` of the texts in large buckets that the links so far leave in several classes.
+    """``(fp, ref, root, apart)`` of the texts in large buckets that the links so far leave in several classes.
 
-    ``apart`` marks those that some such bucket holds outside its most frequent class. Two texts of a bucket in
-    different classes are both here and one of them is apart.
+    ``ref`` is a text that such a bucket's texts have all met, ``apart`` marks those outside the most frequent class
+    of a bucket with that ref. Two texts of a bucket in different classes are both here with one ref, and one of them
+    is apart.
     """
     hot = live.where(F.col("m") > BUCKET).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    hot = materialize(hot.select("c", "key", "fp", F.coalesce("root", "fp").alias("root")), "hot-bands")
+    hot = materialize(hot.select("c", "key", "ref", "fp", F.coalesce("root", "fp").alias("root")), "hot-bands")
     shares = hot.groupBy("c", "key", "root").agg(F.count(F.lit(1)).alias("m"))
     mains = shares.groupBy("c", "key").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("classes"))
     open_ = hot.join(mains.where("classes > 1").select("c", "key", "main.root").withColumnRenamed("root", "main"), ["c", "key"])
-    return materialize(open_.groupBy("fp").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("apart")), "unsettled")
+    return materialize(open_.groupBy("fp", "ref").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("apart")), "unsettled")
 
 
 def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataFrame:
     """Links ``(a, b)`` of similar texts, every one counted exactly, that join all similar texts which share a band.
 
     Small buckets compare their pairs, large ones meet leaders. Where this leaves a large bucket in several classes,
-    the texts outside its most frequent one are held against all texts of such buckets by prefixes of rare shingles,
-    which lose no similar pair. So no bucket's size loses a link, and a large group of copies, which its leaders
-    join, never makes its pairs; only texts that share rare shingles without being linked are compared pairwise.
+    its texts are held against each other by how they differ from its most central text, which links those similar to
+    it. Texts that are alike only because both resemble it share too little there to make a pair; texts that share
+    changes are paired and counted. No bucket's size loses a link.
     """
     sizes, live = _band_sizes(distinct)
     pairs = materialize(candidates(sizes, live), "candidates")
@@ -174,13 +223,15 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataF
     rest = unsettled(live, connected_components(near, "a", "b"))
     if rest.isEmpty():
         return near
-    sets = _sets(rest.select("fp"), docs, distinct, text_col)
-    rare = materialize(prefixes(sets).join(rest, "fp"), "prefixes")
-    x = rare.where("apart").select("gram", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = rare.select("gram", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = x.join(y, "gram").where((F.col("ra") != F.col("rb")) & _sizes_allow("na", "nb"))
-    late = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "late-candidates")
-    return near.union(_similar(late, sets))
+    sets = _sets(rest.select("fp").distinct(), docs, distinct, text_col)
+    refs = centres(differences(rest, sets))
+    moved = rest.join(refs, "ref").groupBy("fp", F.col("centre").alias("ref")).agg(F.first("root").alias("root"), F.max("apart").alias("apart"))
+    owners = rest.groupBy(F.col("fp").alias("ref")).agg(F.first("root").alias("owner"))
+    diffs = differences(moved.join(owners, "ref"), sets)
+    central = diffs.where(~_far() & (F.col("fp") != F.col("ref"))).select(F.least("fp", "ref").alias("a"), F.greatest("fp", "ref").alias("b"))
+    joined = diffs.withColumn("root", F.when(_far(), F.col("root")).otherwise(F.col("owner")))
+    late = materialize(late_candidates(materialize(ordered(joined), "ordered")), "late-candidates")
+    return near.union(central).union(_similar(late, sets))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
