@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
 
 
 def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,32 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *names)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit, document_masks
+
+    return audit(document_masks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import alignment
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(read_table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = materialize(found.select("row", "id", "n_a", "n_b", "n_groups", digest, "a", "b", "times"), "aligned")
+    counts = materialize(alignment.pair_counts(aligned), "pair-counts")
+    sums = alignment.link_sums(aligned, counts, alignment.bound_of(*paths))
+    zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_links", "n_best", "count_sum")]
+    return aligned.drop("a", "b", "times").join(sums, "row", "left").select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "groups_sha256", *zero)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .filter_audit import AUDIT_SQL
+
+    return {"op11_filter_audit": AUDIT_SQL}
