@@ -113,6 +113,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.drop("a", "b", "times").join(sums, "row", "left").select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "groups_sha256", *zero)
 
 
+def op13_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hash_forest import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
