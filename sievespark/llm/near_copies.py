@@ -113,10 +113,15 @@ def _sets(ends: DataFrame, docs: DataFrame, distinct: DataFrame, text_col: str)
     return materialize(_per_text(texts, "fp bigint, grams array<bigint>", lambda sets: [_lists(sets)]), "shingles")
 
 
+def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, i, s)``: how many shingles both hold and the sum of what each holds."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingles are similar enough, counted exactly."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+    shared = _shared(pairs, sets)
     return materialize(shared.where(100 * F.col("i") >= SIMILAR * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
 
@@ -175,20 +180,85 @@ def ordered(diffs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "fp bigint, ref bigint, root bigint, apart boolean, n bigint, d bigint, far boolean, near_by bigint, at bigint, gram bigint")
 
 
-def late_candidates(diffs: DataFrame) -> DataFrame:
+def _open_lists(rows: DataFrame) -> DataFrame:
+    """The ``rows`` of those lists ``(ref, gram)`` whose texts stand in several classes."""
+    mixed = rows.groupBy("ref", "gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("ref", "gram")
+    return rows.join(mixed, ["ref", "gram"], "left_semi")
+
+
+def _met(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    """The joins whose rows grow with a group, in one place for the test that counts them."""
+    return x.join(y, on)
+
+
+def star_candidates(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of the smallest text of each list, by an order of its own each turn, with those of other classes.
+
+    The order is the same in all lists, so a group of texts that share many differences meets one or two texts of its
+    own, however many lists they share: rows in proportion to the group, and next to no pairs but true ones.
+    """
+    first = rows.groupBy("ref", "gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("o"), "fp", "root", F.col("n").alias("m"))).alias("l"))
+    met = _met(rows, first, ["ref", "gram"]).where(F.col("root") != F.col("l.root")).where(_sizes_allow("n", "l.m"))
+    return met.select(F.least("fp", "l.fp").alias("a"), F.greatest("fp", "l.fp").alias("b")).distinct()
+
+
+def reachable(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(ref, fp, class)``: the classes besides its own in which a text of these lists may still have a similar one.
+
+    One less the Jaccard similarity is a metric. A class reaches from its smallest text as far as its farthest, and a
+    text farther from that one than the reach and the distance allowed has nobody there. Each text meets one text a
+    class, so groups that share a list without being alike cost their texts, not their pairs.
+    """
+    rows = rows.select("ref", "gram", "fp", "root").distinct()
+    reps = rows.groupBy("ref", "root").agg(F.min("fp").alias("rep"))
+    own = materialize(rows.select("ref", "root", "fp").distinct().join(reps, ["ref", "root"]), "members")
+    classes = rows.select("ref", "gram", F.col("root").alias("class")).distinct()
+    other = _met(rows, classes, ["ref", "gram"]).where("root != class").select("ref", "fp", "class").distinct()
+    other = materialize(other.join(reps.withColumnRenamed("root", "class"), ["ref", "class"]), "others")
+    pairs = own.select("fp", "rep").union(other.select("fp", "rep")).where("fp != rep").distinct()
+    apart = materialize(_shared(pairs.select(F.col("fp").alias("a"), F.col("rep").alias("b")), sets).select(F.col("a").alias("fp"), F.col("b").alias("rep"), F.expr("1 - i / (s - i)").alias("apart")), "apart")
+    reach = own.join(apart, ["fp", "rep"], "left").groupBy("ref", F.col("root").alias("class")).agg(F.max(F.coalesce("apart", F.lit(0.0))).alias("reach"))
+    held = other.join(apart, ["fp", "rep"]).join(reach, ["ref", "class"])
+    return held.where(F.col("apart") <= F.col("reach") + F.lit(1 - SIMILAR / 100 + 1e-9)).select("ref", "fp", "class")
+
+
+def late_candidates(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` in different classes whose differences from one ref share enough to be similar.
 
-    The first shared one of a pair bounds how many follow it; what cannot suffice is left out inside the join.
+    The first shared one of a pair bounds how many follow it; what cannot suffice is left out inside the join, and only
+    texts that can reach each other's class come to it.
+    """
+    near = materialize(reachable(rows, sets), "reachable")
+    side = lambda to: rows.select("ref", "gram", *[F.col(c).alias(c + to) for c in ("fp", "root", "apart", "n", "d", "at", "far", "near_by")])
+    x = side("x").where("farx").join(near.select("ref", F.col("fp").alias("fpx"), F.col("class").alias("rooty")), ["ref", "fpx"])
+    y = side("y").where("aty <= near_byy").join(near.select("ref", F.col("fp").alias("fpy"), F.col("class").alias("rootx")), ["ref", "fpy"])
+    most = 1 + F.least(F.expr("dx - atx"), F.expr("dy - aty"))
+    enough = 2 * _SUM * most >= F.expr(f"{_SUM} * (dx + dy) - {_GAP} * (nx + ny)")
+    met = _met(x, y, ["ref", "gram", "rootx", "rooty"]).where("(apartx OR aparty) AND (NOT fary OR atx <= near_byx)").where(enough)
+    return met.select(F.least("fpx", "fpy").alias("a"), F.greatest("fpx", "fpy").alias("b")).distinct()
+
+
+def late_links(rows: DataFrame, sets: DataFrame, turns: int = 2) -> DataFrame:
+    """Links ``(a, b)`` of similar texts in different classes among the ``ordered`` rows, together with ``turns`` of stars.
+
+    Every turn each list's smallest text is compared with the others; what that joins is one class for the next turn.
+    What the stars leave in several classes is compared as ``late_candidates`` says, so no link between classes is lost.
     """
-    found = []
-    side = lambda rows, to: rows.select("ref", "gram", *[F.col(c).alias(c + to) for c in ("fp", "root", "n", "d", "at", "far", "near_by")])
-    far, first = diffs.where("far"), diffs.where("at <= near_by")
-    for x, y in ((far.where("apart"), first), (far.where("NOT apart"), first.where("apart"))):
-        most = 1 + F.least(F.expr("dx - atx"), F.expr("dy - aty"))
-        enough = 2 * _SUM * most >= F.expr(f"{_SUM} * (dx + dy) - {_GAP} * (nx + ny)")
-        met = side(x, "x").join(side(y, "y"), ["ref", "gram"]).where("fpx != fpy AND rootx != rooty AND (NOT fary OR atx <= near_byx)")
-        found.append(met.where(enough).select(F.least("fpx", "fpy").alias("a"), F.greatest("fpx", "fpy").alias("b")))
-    return found[0].union(found[1]).distinct()
+    rows, found = materialize(_open_lists(rows), "open-lists"), None
+    for turn in range(turns):
+        if rows.isEmpty():
+            break
+        new = _similar(materialize(star_candidates(rows, turn), "stars"), sets)
+        found = new if found is None else found.union(new)
+        joined = rows.select("fp", "root").distinct().join(new.select(F.col("a").alias("fp"), "b").union(new.select(F.col("b").alias("fp"), F.col("a").alias("b"))), "fp")
+        ends = joined.join(rows.select(F.col("fp").alias("b"), F.col("root").alias("to")).distinct(), "b")
+        roots = connected_components(ends.select("root", "to"), "root", "to")
+        merged = rows.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+        rows = materialize(_open_lists(merged.select(*rows.columns)), "open-lists")
+    if not rows.isEmpty():
+        late = _similar(materialize(late_candidates(rows, sets), "late-candidates"), sets)
+        found = late if found is None else found.union(late)
+    return rows.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if found is None else found
 
 
 def unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
@@ -212,7 +282,7 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataF
     Small buckets compare their pairs, large ones meet leaders. Where this leaves a large bucket in several classes,
     its texts are held against each other by how they differ from its most central text, which links those similar to
     it. Texts that are alike only because both resemble it share too little there to make a pair; texts that share
-    changes are paired and counted. No bucket's size loses a link.
+    changes are compared by ``late_links``. No bucket's size loses a link.
     """
     sizes, live = _band_sizes(distinct)
     pairs = materialize(candidates(sizes, live), "candidates")
@@ -230,8 +300,7 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataF
     diffs = differences(moved.join(owners, "ref"), sets)
     central = diffs.where(~_far() & (F.col("fp") != F.col("ref"))).select(F.least("fp", "ref").alias("a"), F.greatest("fp", "ref").alias("b"))
     joined = diffs.withColumn("root", F.when(_far(), F.col("root")).otherwise(F.col("owner")))
-    late = materialize(late_candidates(materialize(ordered(joined), "ordered")), "late-candidates")
-    return near.union(central).union(_similar(late, sets))
+    return near.union(central).union(late_links(materialize(ordered(joined), "ordered"), sets))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,5 +315,5 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; null ids have no class and stay, as do repeats of the smallest."""
     ids = near_copies(docs, id_col, text_col)
-    drop = ids.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
+    drop = sized_broadcast(ids.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct())
     return docs.join(drop, id_col, "left_anti").select(*docs.columns)

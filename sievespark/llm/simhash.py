@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, sized_broadcast, text_bytes
 from .components import connected_components
 
 BITS = 64
@@ -148,5 +148,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id have no class and stay. Rows that repeat the smallest id all stay.
     """
     ids = near_duplicates(docs, id_col, text_col, **options)
-    drop = ids.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
+    drop = sized_broadcast(ids.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct())
     return docs.join(drop, id_col, "left_anti").select(*docs.columns)

@@ -67,8 +67,7 @@ def test_the_stage_drops_edited_copies(spark, sf_dir):
     assert {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, table, sf_dir).collect()} == want
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
-    """All texts in one bucket with one leader, which joins next to none: rare shingles must find the rest, chains too."""
+def force_one_bucket(monkeypatch):
     prints = near_copies._prints
 
     def one_bucket(sets):
@@ -77,6 +76,39 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BUCKET", 3)
     monkeypatch.setattr(near_copies, "LEADERS", 1)
     monkeypatch.setattr(near_copies, "_prints", one_bucket)
+
+
+def test_groups_cost_rows_in_proportion(spark, monkeypatch):
+    """Three groups in one bucket, two of them with a long passage in common: twice the texts, twice the joined rows."""
+    force_one_bucket(monkeypatch)
+    joined, met = [], near_copies._met
+
+    def counted(x, y, on):
+        out = met(x, y, on)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "_met", counted)
+    totals = []
+    for size in (150, 300):
+        r, rows = random.Random(3), []
+        base = [[f"g{g}w{i}" for i in range(100)] for g in range(3)]
+        base[1] += [f"shared{i}" for i in range(60)]
+        base[2] += [f"shared{i}" for i in range(60)]
+        for k in range(size):
+            words = list(base[k % 3])
+            words[r.randrange(100)] = f"own{k}"
+            rows.append((k, " ".join(words)))
+        joined.clear()
+        table = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert {x.id: x.component for x in near_copies.near_copies(table).collect()} == {k: k % 3 for k in range(size)}
+        totals.append(sum(joined))
+    assert totals[0] and totals[1] < 2.5 * totals[0], totals
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """All texts in one bucket with one leader, which joins next to none: rare shingles must find the rest, chains too."""
+    force_one_bucket(monkeypatch)
     r = random.Random(8)
     rows = texts()
     for chain in range(6):
