@@ -27,8 +27,6 @@ ERROR_RATE = 0.1
 GRAM = 5
 #: Characters of items in one automaton, and automata that a task holds at once; beyond that texts are read again.
 BLOCK_CHARS, BLOCKS_AT_ONCE = 4_000_000, 4
-#: Normalised items below this many characters must stand there unchanged and as whole words.
-WHOLE_BELOW = 20
 
 
 def normalise(text: str) -> str:
@@ -37,8 +35,8 @@ def normalise(text: str) -> str:
 
 
 def budget_of(item: str, error_rate: float = ERROR_RATE) -> int:
-    """Edits allowed for a normalised item; none for a short one."""
-    return int(len(item) * error_rate) if len(item) >= WHOLE_BELOW else 0
+    """Edits allowed for a normalised item, by the same rate for all lengths."""
+    return int(len(item) * error_rate)
 
 
 def pieces(item: str, error_rate: float = ERROR_RATE) -> tuple[int, list[tuple[int, str]]]:
@@ -87,7 +85,8 @@ def myers(masks: dict[str, int], length: int, text: str, budget: int) -> tuple[i
 class Matcher:
     """The pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, whole_words_below: int = 0):
+        self.whole_words_below = whole_words_below
         self.items = [(key, text, budget, peq(text)) for key, text in items for budget in [budget_of(text, error_rate)]]
         self.grams = [[text[i : i + GRAM] for i in range(len(text) - GRAM + 1)] for _, text in items]
         where: dict[str, list[tuple[int, int]]] = {}
@@ -107,8 +106,7 @@ class Matcher:
         hits: dict[int, list[int]] = {}
         for end, places in self.automaton.iter(text):
             for at, used in places:
-                if len(self.items[at][1]) >= WHOLE_BELOW or _whole_words(text, end + 1 - used, end + 1):
-                    hits.setdefault(at, []).append(end + 1 - used)
+                hits.setdefault(at, []).append(end + 1 - used)
         found = []
         for at, starts in hits.items():
             key, item, budget, masks = self.items[at]
@@ -120,6 +118,8 @@ class Matcher:
                     there = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
                     if sum(map(there.__contains__, grams)) < fewest:
                         continue
+                if len(item) < self.whole_words_below and not self.stands_whole(item, window, text, max(0, low)):
+                    continue
                 near = myers(masks, len(item), window, budget)
                 if near and (best is None or near[0] < best[0]):
                     best = near[0], max(0, low) + near[1]
@@ -130,6 +130,17 @@ class Matcher:
         return found
 
 
+    @staticmethod
+    def stands_whole(item: str, window: str, text: str, at: int) -> bool:
+        """The window holds the item unchanged, with no word going on at its ends."""
+        found = window.find(item)
+        while found >= 0:
+            if _whole_words(text, at + found, at + found + len(item)):
+                return True
+            found = window.find(item, found + 1)
+        return False
+
+
 def _whole_words(text: str, low: int, high: int) -> bool:
     return not (low and text[low - 1].isalnum() and text[low].isalnum() or high < len(text) and text[high].isalnum() and text[high - 1].isalnum())
 
@@ -170,12 +181,13 @@ def _passes(spark, found: Iterator[list[tuple[int, str]]]) -> Iterator[list]:
         yield [spark.sparkContext.broadcast((uuid.uuid4().hex, block)) for block in part]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, shortest_item: int = 0) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, shortest_item: int = 0, whole_words_below: int = 0) -> DataFrame:
     """``(doc_id, item_id, distance, end)``: a row for each document and item that it holds within the budget.
 
-    ``end`` is the place in the normalised text where the best passage ends. Null texts match nothing. Items
-    below ``WHOLE_BELOW`` characters count where they stand unchanged and as whole words; ``shortest_item`` can
-    leave short ones out. Repeated rows and items each give their rows. Documents stay where they are, the items
+    ``end`` is the place in the normalised text where the best passage ends. Null texts match nothing. Items of
+    any length have the same rate of edits, so one below 1 / ``error_rate`` characters must stand there unchanged, be it
+    inside a word. Items below ``whole_words_below`` characters count only where they stand unchanged as whole words,
+    and ``shortest_item`` leaves short ones out; by default neither leaves out anything. Repeated rows and items each give their rows. Documents stay where they are, the items
     go to them in blocks, several a pass, and nothing is shuffled.
     """
     spark = docs.sparkSession
@@ -187,7 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for shared in _passes(spark, blocks(benchmark, item_id_col, item_text_col, block_chars, shortest_item)):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matchers = _matchers(shared, error_rate)
+            matchers = _matchers(shared, error_rate, whole_words_below)
             for batch in batches:
                 rows = [(at, *m) for at, x in enumerate(batch.column(1)) for text in [normalise(x.as_py())] for matcher in matchers for m in matcher.search(text)]
                 if rows:
@@ -199,7 +211,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, shortest_item: int = 0) -> DataFrame:
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, shortest_item: int = 0, whole_words_below: int = 0) -> DataFrame:
     """The rows of ``docs``, unchanged, whose own text holds no benchmark item; null texts stay.
 
     With more blocks than a task holds the rows left are written between the passes, so that no task ever
@@ -207,28 +219,28 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     kept, first = docs, True
     for shared in _passes(docs.sparkSession, blocks(benchmark, item_id_col, item_text_col, block_chars, shortest_item)):
-        kept = (kept if first else materialize(kept, "not-yet-found")).where(_without(shared, error_rate)(F.col(text_col)))
+        kept = (kept if first else materialize(kept, "not-yet-found")).where(_without(shared, error_rate, whole_words_below)(F.col(text_col)))
         first = False
     return kept
 
 
-def _without(shared: list, error_rate: float):
+def _without(shared: list, error_rate: float, whole_words_below: int):
     @F.pandas_udf("boolean")
     def fine(texts: pd.Series) -> pd.Series:
-        matchers = _matchers(shared, error_rate)
+        matchers = _matchers(shared, error_rate, whole_words_below)
         return texts.map(lambda x: x is None or not any(m.search(text) for text in [normalise(x)] for m in matchers)).astype(bool)
 
     return fine
 
 
-_MATCHERS: dict[tuple[str, float], Matcher] = {}
+_MATCHERS: dict[tuple[str, float, int], Matcher] = {}
 
 
-def _matchers(shared: list, error_rate: float) -> list[Matcher]:
+def _matchers(shared: list, error_rate: float, whole_words_below: int = 0) -> list[Matcher]:
     """One automaton per worker process and block of the pass; those of other passes go."""
-    wanted = {(b.value[0], error_rate): b.value[1] for b in shared}
+    wanted = {(b.value[0], error_rate, whole_words_below): b.value[1] for b in shared}
     for key in _MATCHERS.keys() - wanted.keys():
         del _MATCHERS[key]
     for key in wanted.keys() - _MATCHERS.keys():
-        _MATCHERS[key] = Matcher(wanted[key], error_rate)
+        _MATCHERS[key] = Matcher(wanted[key], error_rate, whole_words_below)
     return [_MATCHERS[key] for key in wanted]

@@ -53,9 +53,9 @@ def test_search_equals_brute_force(spark):
     want = sorted((i, k, least) for i, t, _, _ in docs if t and i != 105 for k, item in items[:6] for least in [distance_to_any_part(d.normalise(item), d.normalise(t))] if least <= int(len(item) * d.ERROR_RATE)) + [(102, 6, 0), (105, 6, 0)]
     want.sort()
     for block_chars in (d.BLOCK_CHARS, 80, 20):
-        got = sorted((x.doc_id, x.item_id, x.distance) for x in d.matches(table, bench, block_chars=block_chars).collect())
+        got = sorted((x.doc_id, x.item_id, x.distance) for x in d.matches(table, bench, block_chars=block_chars, whole_words_below=20).collect())
         assert got == want and len(want) > 15
-    kept = d.clean_rows(table, bench)
+    kept = d.clean_rows(table, bench, whole_words_below=20)
     assert kept.columns == table.columns
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, *_ in docs if i not in {w[0] for w in want})
 
@@ -71,9 +71,9 @@ def test_an_automaton_is_built_once_a_process_and_block(spark, monkeypatch):
     built = []
 
     class Counted(d.Matcher):
-        def __init__(self, items, error_rate):
+        def __init__(self, items, *options):
             built.append(items)
-            super().__init__(items, error_rate)
+            super().__init__(items, *options)
 
     class Shared:
         def __init__(self, *value):
@@ -91,3 +91,22 @@ def test_short_items_can_be_left_out(spark):
     docs, bench = spark.createDataFrame([(1, "well, yes", "", 0)], DOCS), spark.createDataFrame([(1, "yes")], "item_id bigint, text string")
     assert d.matches(docs, bench).count() == 1 and d.clean_rows(docs, bench).count() == 0
     assert d.matches(docs, bench, shortest_item=4).count() == 0 and d.clean_rows(docs, bench, shortest_item=4).count() == 1
+
+
+def test_short_items_have_the_same_rate():
+    """Items of 5 to 25 characters, unchanged or with one edit, against the plain distance; no length is a special one."""
+    r = random.Random(6)
+    for _ in range(1500):
+        item = "".join(r.choice("abcd") for _ in range(r.randint(5, 25)))
+        inside = list(item)
+        at = r.randrange(len(inside))
+        inside[at : at + 1] = r.choice([[item[at]], [], ["z"], [item[at], "q"]])
+        text = "".join(r.choice("abcdz") for _ in range(r.randint(0, 9))) + "".join(inside) + "".join(r.choice("abcdz") for _ in range(r.randint(0, 9)))
+        least = distance_to_any_part(item, text)
+        found = d.Matcher([(7, item)], d.ERROR_RATE).search(text)
+        assert [x[:2] for x in found] == ([(7, least)] if least <= len(item) // 10 else [])
+
+
+def test_nineteen_characters_with_one_edit():
+    assert d.Matcher([(1, "what is it called x")], d.ERROR_RATE).search("so what is at called xyz")[0][:2] == (1, 1)
+    assert d.Matcher([(1, "what is it called x")], d.ERROR_RATE, 20).search("so what is at called xyz") == []
