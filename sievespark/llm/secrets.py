@@ -31,7 +31,7 @@ PATTERNS: dict[str, tuple[str, re.Pattern]] = {
     "aws_key": ("A", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
     "github_token": ("gh", re.compile(r"(?<![A-Za-z0-9])(?:gh[opsur]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})")),
     "slack_token": ("xox", re.compile(r"(?<![A-Za-z0-9])xox[abeprs]-[A-Za-z0-9-]{10,}")),
-    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}")),
+    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+")),
     "url_password": ("://", re.compile(r"://[^\s:/@]+:([^\s:/@]{4,})@")),
     "assignment": ("", re.compile(rf"(?i)(?:{_NAMES})[a-z0-9_.-]{{0,40}}[\"']?\s{{0,4}}(?:=>|:=|=|:)\s{{0,4}}[\"']?([^\s\"',;<>]{{6,}})")),
     "long_run": ("", re.compile(r"[A-Za-z0-9+/_=-]{20,}")),

@@ -141,3 +141,18 @@ def test_empty_table(spark, model):
     empty = spark.createDataFrame([], DOCS)
     assert secrets.find(empty, *model).count() == 0
     assert secrets.redact(empty, *model).columns == empty.columns
+
+
+def test_time_is_linear_in_a_hostile_text():
+
+    spent = []
+    for times in (40_000, 160_000):
+        began = time.process_time()
+        assert not [c for c in secrets.candidates("-eyJaaaaaaaa" * times) if c[2] == "jwt"]
+        spent.append(time.process_time() - began)
+    assert spent[1] < 8 * spent[0] + 0.5, spent
+
+
+def test_web_tokens_at_the_start_of_a_run():
+    token = "ey" + "JhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl"
+    assert [c[2] for c in secrets.candidates(f"jwt is {token} here")] == ["jwt"]
