@@ -49,13 +49,15 @@ def upsert(state: DataFrame, plan: DataFrame, scan_id: str, at: Column) -> DataF
     a finding keeps its id when its fingerprint moves.
     """
     seen = plan.where("action <> 'below_threshold'")
-    new = seen.select("source_id", F.coalesce("stored_fingerprint", "fingerprint").alias("_key"), F.struct(*[F.col(c) for c in ("fingerprint", "secret_hash", "correlation_id", "action", *_CONTENT)]).alias("_n"))
+    brought = ("fingerprint", "secret_hash", "correlation_id", "action", *_CONTENT, *[c for c in ("validation",) if c in plan.columns])
+    new = seen.select("source_id", F.coalesce("stored_fingerprint", "fingerprint").alias("_key"), F.struct(*map(F.col, brought)).alias("_n"))
     old = state.select("source_id", F.col("fingerprint").alias("_key"), F.struct(*state.columns).alias("_o"))
     both = old.join(new, ["source_id", "_key"], "full_outer")
     hit, made = F.col("_n").isNotNull(), F.col("_o").isNull()
     opened = F.col("_n.action") == "reopen"
     take = lambda c: F.when(hit, F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}")).alias(c)
     columns = {c: F.col(f"_o.{c}").alias(c) for c in state.columns} | {c: take(c) for c in ("fingerprint", "secret_hash", *_CONTENT)}
+    columns |= _validated(state, plan, hit, at)
     columns |= {
         "source_id": F.col("source_id"),
         "id": F.coalesce("_o.id", F.sha2(F.concat_ws("|", "source_id", "_key"), 256)).alias("id"),
@@ -70,6 +72,37 @@ def upsert(state: DataFrame, plan: DataFrame, scan_id: str, at: Column) -> DataF
     return both.select(*[columns[c] for c in state.columns])
 
 
+#: What tells one validation of a secret from another.
+VALIDATION = ("provider", "validator_id", "contract_version", "status", "reason")
+
+
+def _told_anew(new: Column, old: Column) -> Column:
+    """A validation is there and some part of it is another than before, null being a value of its own."""
+    same = F.lit(True)
+    for part in VALIDATION:
+        same = same & new[part].eqNullSafe(old[part])
+    return new.isNotNull() & ~same
+
+
+def _validated(state: DataFrame, plan: DataFrame, hit: Column, at: Column) -> dict[str, Column]:
+    """The columns ``validation`` and ``validated_at`` after a batch, where state and batch have them: only a validation
+    that differs is taken, and a payload without one leaves what is known."""
+    if "validation" not in state.columns or "validation" not in plan.columns:
+        return {}
+    anew = hit & _told_anew(F.col("_n.validation"), F.col("_o.validation"))
+    put = {"validation": F.col("_n.validation"), "validated_at": at}
+    return {c: F.when(anew, v).otherwise(F.col(f"_o.{c}")).alias(c) for c, v in put.items() if c in state.columns}
+
+
+def validation_events(state: DataFrame, plan: DataFrame, scan_id: str, at: Column) -> DataFrame:
+    """An event per finding whose validation a batch tells anew, from the old status to the new, with what told it as ``comment``."""
+    seen = plan.where("action <> 'below_threshold' AND validation IS NOT NULL").withColumn("_key", F.coalesce("stored_fingerprint", "fingerprint"))
+    old = state.select("source_id", F.col("fingerprint").alias("_key"), F.col("validation").alias("_was"))
+    rows = seen.join(old, ["source_id", "_key"], "left").where(_told_anew(F.col("validation"), F.col("_was")))
+    told = F.concat_ws(":", *[F.coalesce(f"validation.{c}", F.lit("")) for c in ("provider", "validator_id", "contract_version", "reason")])
+    return rows.select("source_id", "fingerprint", F.lit("validation").alias("kind"), F.col("_was.status").alias("from_value"), F.col("validation.status").alias("to_value"), F.lit(scan_id).alias("scan_id"), at.alias("at"), told.alias("comment"))
+
+
 def ingest_events(plan: DataFrame, scan_id: str, at: Column) -> DataFrame:
     """An event per re-opened finding."""
     rows = plan.where("action = 'reopen'")

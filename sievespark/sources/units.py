@@ -55,14 +55,10 @@ def replies(comments: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     A join a level on narrow rows; each level is written out, so deep threads don't grow the plan.
     """
-    import tempfile
-    import uuid
+    from .store import new_folder
 
     spark = comments.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/replies-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "replies")
     slim = comments.select("comment_id", "parent_id")
     level = slim.where("parent_id is null").select("comment_id", F.lit(0).alias("depth")).distinct()
     for depth in range(most_rounds + 1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,30 +12,55 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect, state
 from ..plans.rules import RulePack
+from ..sources.store import Change, Layout, Store
 
 
-def start(units: DataFrame, pack: RulePack, keys: detect.Keys, folder: str, empty: DataFrame, scan_id: str, source_id: str, trigger: dict | None = None, clock: Callable[[int], Column] | None = None):
-    """Start a query that detects in a stream of units and keeps the finding table in ``folder`` up to date.
+def keep(store: Store, payloads: DataFrame, empty: DataFrame, scan_id: str, at: Column, writer: str | None = None, sequence: int | None = None, threshold: float = 0.5) -> int:
+    """Bring a batch of payloads into the store's ``findings``, with its ``events``, as one version; which one that is.
 
-    Each batch writes the next version of the state. A batch's number is the version it writes, so one that Spark
-    runs again after a failure finds its version complete and does nothing: findings count once.
+    Payloads are written first, so that nothing upstream runs twice. Then only the ranges that a payload's fingerprint or
+    its previous one falls into are read, merged and written again; all other files are taken over. With a ``writer``
+    a batch counts once, whatever Spark runs again. ``empty`` gives the columns of a table that is not there yet.
+    """
+    base = store.head()
+    if writer is not None and store.describe(base)["sequences"].get(writer, -1) >= sequence:
+        return base
+    spark, staged = store.spark, f"{store.folder}/staged/{uuid.uuid4().hex}"
+    payloads.write.parquet(staged)
+    batch = spark.read.schema(payloads.schema).parquet(staged)
+    layout = store.layouts["findings"]
+    ranges = lambda key: batch.where(F.col(key).isNotNull()).select(layout.range_of(key=F.col(key)).alias("range"))
+    touched = ranges("fingerprint").union(ranges("previous_fingerprint")).distinct()
+    before = store.read("findings", base, touched) if "findings" in store.tables(base) else empty.limit(0)
+    plan = state.plan_ingest(before, batch, threshold)
+    events = state.ingest_events(plan, scan_id, at).withColumn("comment", F.lit(None).cast("string"))
+    if "validation" in before.columns and "validation" in batch.columns:
+        events = events.unionByName(state.validation_events(before, plan, scan_id, at))
+    version = store.commit({"findings": Change(state.upsert(before, plan, scan_id, at), "ranges", touched), "events": Change(events, "append")}, base, writer, sequence)
+    fs, path = store._fs(staged)
+    fs.delete(path, True)
+    return version
+
+
+def start(units: DataFrame, pack: RulePack, keys: detect.Keys, folder: str, empty: DataFrame, scan_id: str, source_id: str, clock: Callable[[int], Column], trigger: dict | None = None, kept: int = 10):
+    """Start a query that detects in a stream of units and keeps the findings in the store at ``folder``/tables.
+
+    Each batch is one version of the store, published by the writer ``stream`` under the batch's number, so one that
+    Spark runs again after a failure does nothing: findings count once. ``clock`` gives a batch's time by its number, the
+    same whenever it runs. Versions before the newest ``kept`` go.
     """
     spark = units.sparkSession
+    store = Store(spark, f"{folder}/tables", {"findings": Layout()})
 
     def put(batch: DataFrame, number: int) -> None:
-        version = state.latest(spark, f"{folder}/state") or 0
-        if number + 1 <= version:
-            return
         found = detect.findings(batch, pack, keys)
-        at = clock(number) if clock else F.current_timestamp()
         locator = F.create_map(F.lit("connector_type"), F.col("connector_type"), F.lit("resource_id"), F.col("resource_id"), F.lit("offset"), F.col("start").cast("string"))
         payload = found.select(
             F.lit(source_id).alias("source_id"), "fingerprint", F.lit(None).cast("string").alias("previous_fingerprint"), F.lit(None).cast("string").alias("previous_secret_hash"), "secret_hash",
             F.lit(None).cast("string").alias("correlation_id"), "rule_id", "rulepack_version", locator.alias("resource_locator"), F.col("snippet").alias("redacted_snippet"), "entropy", "confidence", "severity", F.col("start").alias("ord"),
         )
-        before = state.load(spark, f"{folder}/state", version) if version else empty
-        plan = state.plan_ingest(before, payload)
-        state.upsert(before, plan, scan_id, at).write.mode("overwrite").parquet(f"{folder}/state/v={number + 1}")
+        keep(store, payload, empty, scan_id, clock(number), "stream", number)
+        store.expire(kept)
 
     return units.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievespark.operators import detect, state
 from sievespark.plans import mapping, rules
+from sievespark.sources.store import Store
 from sievespark.streaming import ingest
 
 def at():
@@ -87,17 +88,18 @@ def test_stream_of_units(spark, sf_dir, tmp_path):
     schema = "connector_type string, resource_id string, sub_resource string, origin string, text string"
     key = "AK" + "IAQ7RSTUVWXYZ23BC"
     put = lambda *rows: spark.createDataFrame([("wiki", i, None, "body", t) for i, t in rows], schema).write.mode("append").parquet(inbox)
-    run = lambda: ingest.start(spark.readStream.schema(schema).parquet(inbox), rules.load(), detect.Keys(b"p" * 16), folder, empty(spark, sf_dir), "n1", "s1", clock=lambda n: F.lit(f"2024-01-0{n + 1} 00:00:00").cast("timestamp")).awaitTermination()
+    run = lambda: ingest.start(spark.readStream.schema(schema).parquet(inbox), rules.load(), detect.Keys(b"p" * 16), folder, empty(spark, sf_dir), "n1", "s1", lambda n: F.lit(f"2024-01-0{n + 1} 00:00:00").cast("timestamp")).awaitTermination()
+    store = Store(spark, f"{folder}/tables")
     put(("p1", f"aws key {key}D"), ("p2", "nothing"))
     run()
-    assert state.load(spark, f"{folder}/state").count() == 1
+    assert store.read("findings").count() == 1
     put(("p1", f"aws key {key}D again"), ("p3", f"aws key {key}E"))
     run()
-    rows = state.load(spark, f"{folder}/state").collect()
+    rows = store.read("findings").collect()
     assert sorted(r.resource_locator["resource_id"] for r in rows) == ["p1", "p3"]
     assert {r.resource_locator["resource_id"]: r.created_at.day for r in rows} == {"p1": 1, "p3": 2}
     run()
-    assert state.latest(spark, f"{folder}/state") == 2
+    assert store.head() == 2 and store.describe(2)["sequences"] == {"stream": 1}
 
 
 def test_windows_on_a_stream_equal_the_batch(spark, sf_dir, tmp_path):
