@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_caches
+
 END = "</w>"
 #: Ranges of letters and digits younger than the files' library, which takes them for neither.
 YOUNGER = """
@@ -248,6 +250,7 @@ _CODERS: dict[str, TrieCoder] = {}
 
 def _coder(spec: str) -> TrieCoder:
     """One coder per worker process and vocabulary, so that later tasks find its trie."""
+    own_caches("bpe", _CODERS.clear)
     if spec not in _CODERS:
         _CODERS.clear()
         _CODERS[spec] = TrieCoder(spec)

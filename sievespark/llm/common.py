@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,18 @@ def sized_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """
     df = materialize(df, "sized")
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+_OWNER: list[tuple[str, Callable[[], object]]] = []
+
+
+def own_caches(owner: str, release: Callable[[], object] = lambda: None) -> None:
+    """Say in a task that this worker process now keeps what ``owner`` remembers between tasks, and how to let it go.
+
+    Workers outlive stages. What the operator before has kept goes, so a process holds one operator's caches at most.
+    """
+    if _OWNER and _OWNER[0][0] != owner:
+        _OWNER.pop()[1]()
+        gc.collect()
+    if not _OWNER:
+        _OWNER.append((owner, release))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_caches
 
 #: Share of an item's characters that may be inserted, deleted or replaced.
 ERROR_RATE = 0.1
@@ -238,6 +238,7 @@ _MATCHERS: dict[tuple[str, float, int], Matcher] = {}
 
 def _matchers(shared: list, error_rate: float, whole_words_below: int = 0) -> list[Matcher]:
     """One automaton per worker process and block of the pass; those of other passes go."""
+    own_caches("decontaminate", _MATCHERS.clear)
     wanted = {(b.value[0], error_rate, whole_words_below): b.value[1] for b in shared}
     for key in _MATCHERS.keys() - wanted.keys():
         del _MATCHERS[key]

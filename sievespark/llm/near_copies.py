@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized_broadcast, text_bytes
+from .common import materialize, own_caches, sized_broadcast, text_bytes
 from .components import connected_components
 from .simhash import classes_of
 
@@ -57,6 +57,7 @@ def _per_text(rows: DataFrame, schema: str, of) -> DataFrame:
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("near_copies")
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)

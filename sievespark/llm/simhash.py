@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized_broadcast, text_bytes
+from .common import materialize, own_caches, sized_broadcast, text_bytes
 from .components import connected_components
 
 BITS = 64
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)`` per row, fp being the signed 64-bit fingerprint; a null or blank text has fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("simhash")
         for batch in batches:
             fp = np.fromiter((fingerprint_bytes(x.as_py(), shingle, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])

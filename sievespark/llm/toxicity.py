@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_caches
+
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN_WORDS = 100_000
@@ -86,6 +88,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _begin() -> None:
+    own_caches("toxicity", _HASHES.clear)
+
+
 def features(text: str, bits: int, skips: tuple[int, ...]) -> np.ndarray:
     """Distinct slots of one whole text, sorted; none for a text without words."""
     words = _WORD.findall(text.lower())
@@ -139,6 +145,7 @@ def _slot_lists(labelled: DataFrame, id_col: str, text_col: str, label_col: str,
     """``(at, label, slots)`` of the labelled rows in one partition, by hashed id; features are made where texts lie."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         for batch in batches:
             found = [features(x.as_py(), s.bits, s.skips) for x in batch.column(2)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
@@ -227,6 +234,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         margin = shared.value.margin
         for batch in batches:
             out = np.fromiter((margin(x.as_py()) for x in batch.column(1)), np.float64, batch.num_rows)
@@ -255,6 +263,7 @@ def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     @F.pandas_udf("boolean")
     def fine(texts: pd.Series) -> pd.Series:
+        _begin()
         margin = shared.value.margin
         return texts.map(lambda x: margin(x) < 0).astype(bool)
 

@@ -74,3 +74,16 @@ def test_every_stage_takes_odd_rows(spark, sf_dir):
             assert docs.count() <= n
         if n:
             assert {r.doc_id for r in docs.collect()} == {1, None, 3, 4}
+
+
+def test_a_worker_keeps_the_caches_of_one_operator():
+    from sievespark.llm import common
+
+    gone = []
+    common._OWNER.clear()
+    common.own_caches("a", lambda: gone.append("a"))
+    common.own_caches("a", lambda: gone.append("a again"))
+    common.own_caches("b", lambda: gone.append("b"))
+    common.own_caches("c")
+    common._OWNER.clear()
+    assert gone == ["a", "b"]
