@@ -928,3 +928,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.findings(m.planted_units(spark, sf_dir), packs.load(), detect.Keys(PEPPER))
     rows = found.select(F.col("secret_hash").alias("correlation_id"), F.col("connector_type").alias("source_id"), F.lit("open").alias("state"), "severity", F.col("start").alias("created_at"), F.col("start").alias("updated_at"))
     return reads.clusters(rows, least=2)
+
+
+from . import catalog_lifecycle  # noqa: E402, F401  its queries join the register above

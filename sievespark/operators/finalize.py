@@ -107,11 +107,17 @@ def added(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(total)
 
 
-def map_sums(rows: DataFrame, key: str, maps: str) -> DataFrame:
-    """``(key, maps)``: the maps of all rows of a key added up, in one shuffle of what tasks have added up already.
+def map_sums(rows: DataFrame, key: str, maps: str, names: list | None = None) -> DataFrame:
+    """``(key, maps)``: the maps of all rows of a key added up.
 
-    Null maps and null counts add nothing; a key with no entry at all has an empty map.
+    Null maps and null counts add nothing; a key with no entry at all has an empty map. Where the maps' ``names`` are
+    known, as reasons are, each is a sum of its own and tasks add up before the one shuffle; entries of other names are
+    left out. Otherwise entries are added up by key and name first, then gathered by key.
     """
-    cells = rows.select(key, F.explode_outer(maps).alias("k", "v")).groupBy(key, "k").agg(F.sum("v").alias("v"))
-    some = F.filter(F.collect_list(F.struct("k", F.coalesce("v", F.lit(0)).alias("v"))), lambda x: x["k"].isNotNull())
+    if names is not None:
+        sums = [F.sum(F.coalesce(F.element_at(maps, F.lit(n)), F.when(F.map_contains_key(maps, F.lit(n)), F.lit(0)))).alias(f"_{i}") for i, n in enumerate(names)]
+        cells = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"_{i}").alias("v")) for i, n in enumerate(names)])
+        return rows.groupBy(key).agg(*sums).select(key, F.map_from_entries(F.array_sort(F.filter(cells, lambda x: x["v"].isNotNull()))).alias(maps))
+    cells = rows.select(key, F.explode_outer(maps).alias("_k", "_v")).groupBy(key, "_k").agg(F.sum("_v").alias("_v"))
+    some = F.filter(F.collect_list(F.struct("_k", F.coalesce("_v", F.lit(0)))), lambda x: x["_k"].isNotNull())
     return cells.groupBy(key).agg(F.map_from_entries(F.array_sort(some)).alias(maps))
