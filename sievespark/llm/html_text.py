@@ -4,7 +4,9 @@ The pages of a host are merged into one tree of styles, whose nodes are the path
 leaves are the texts of blocks. A node that shows the same things on all pages of its host (the styles and texts
 under it) has low entropy and so low importance, as has a text that stands on nearly all pages; what differs from
 page to page is content. Every page then drops its branches and blocks of low importance, inside the article as
-well as outside, besides the parts that say themselves that they are never main text (menus, scripts, forms, ...).
+well as outside, besides the parts that say themselves that they are never main text: menus, headers outside the article,
+footers, asides, forms and their buttons, scripts, styles, frames, dialogues, what is ``hidden`` or ``aria-hidden``, and
+what its role, class or id names as such.
 """
 
 from __future__ import annotations
@@ -44,7 +46,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
     "cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription share sharing social comment comments disqus replies reply related recommended pagination pager "
-    "toolbar topbar sidenav offcanvas dropdown submenu widget skip copyright adsbygoogle adslot adbox outbrain taboola respond signup".split()
+    "toolbar topbar sidenav offcanvas dropdown submenu skip copyright adsbygoogle adslot adbox outbrain taboola respond signup".split()
+)
+#: Words that say where or in what a part stands; a name of several words counts only if all others are such.
+PLACES = frozenset(
+    "area bar block body bottom box button buttons col column container content count counter desktop end footer form group head header icon icons inner item items js label left link links list "
+    "main message messages mobile module network networks outer overlay page panel post posts primary right row secondary section site slot start sticky stories text title tools top unit widget widgets wrap wrapper zone".split()
 )
 #: The same that hold only outside the article, where a header belongs to the page.
 OUTSIDE = frozenset(["header"])
@@ -56,8 +63,13 @@ KEPT = frozenset("p h1 h2 h3 h4 h5 h6".split()) | MAIN
 COMMENTS = frozenset("comment comments reply replies".split())
 LAYOUT = ("has-", "with-", "no-")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+#: A tag's attributes as a browser reads them: a quote opens a value only behind ``=`` and a name, anywhere else it is a
+#: character like others; an open value runs to the end of the page. Every part is taken whole, so time is linear.
+_NAME = r"[^\s/>][^\s/>=]*+"
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+)"
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))"
+_TOKEN = re.compile(rf"{_COMMENT}|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_VALUE})?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _PLAIN_TAG = re.compile(r"\s*/?\s*")
 _ROOT = xxhash.xxh64_intdigest("root")
@@ -91,9 +103,17 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _words(attributes: dict[str, str]) -> set[str]:
-    """Words of class and id, split at anything but letters and digits."""
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
-    return {w for name in names if not name.startswith(LAYOUT) for w in _SPLIT.split(name)}
+    """What class and id say of a part: the word of each name that is one word, and of a name of several (split at
+    anything but letters and digits) those of ``WORDS``, if the rest only tell its place. ``cookie-bar`` is a notice about
+    cookies, ``share-price`` is not about sharing."""
+    found: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = [w for w in _SPLIT.split(name) if w and not w.isdigit()]
+        if len(words) == 1:
+            found.update(words)
+        elif not name.startswith(LAYOUT) and all(w in WORDS or w in PLACES for w in words):
+            found.update(w for w in words if w in WORDS)
+    return found
 
 
 def _never(tag: str, attributes: dict[str, str], main: bool) -> bool:
@@ -114,8 +134,8 @@ def _digest(numbers: list[int]) -> int:
     return xxhash.xxh64_intdigest(b"".join([x.to_bytes(8, "little") for x in numbers]))
 
 
-def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list[Block], dict[int, list[int]], set[int]]:
-    """Blocks of a page in order, for each style node the hashes of what its elements hold, and the leaves.
+def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list[Block], dict[int, list[int]], dict[int, str]]:
+    """Blocks of a page in order, for each style node the hashes of what its elements hold, and the leaves with their texts.
 
     A leaf is a block's text under its node, as one hash. An element's hash covers the styles and texts of all that is in it, so a frame around changing content
     changes with it. Tolerant and linear: unclosed elements end with the one around them, stray end tags are
@@ -127,7 +147,7 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
     open_tags: dict[str, int] = {}
     shown: dict[int, list[int]] = {}
     blocks: list[Block] = []
-    leaves: set[int] = set()
+    leaves: dict[int, str] = {}
     parts: list[str] = []
     muted: list[str] = []
     at, size = 0, len(page)
@@ -141,7 +161,7 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
                 top = stack[-1]
                 top.seen.append(digest(text))
                 leaf = digest(text, top.key)
-                leaves.add(leaf)
+                leaves[leaf] = text
                 blocks.append(Block(text, top.never, top.main, top.low or leaf in low))
 
     def pop() -> None:
@@ -203,15 +223,25 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     """Text of the blocks that are main text and of no low importance, one a line.
 
-    If the page has an article or main element only its blocks count. A page that would lose all its main text to
-    the tree, or more than half of its article, as when a host shows one article at many addresses, keeps it.
+    If the page has an article or main element only its blocks count. Each block is decided by its own importance; only
+    a page of which nothing would be left keeps what it has.
     """
     wanted = [b for b in parse(page, low)[0] if not b.never]
-    if article := any(b.main for b in wanted):
+    if any(b.main for b in wanted):
         wanted = [b for b in wanted if b.main]
     left = [b for b in wanted if not b.low]
-    size = lambda blocks: sum(len(b.text) for b in blocks)
-    return "\n".join(b.text for b in (wanted if not left or article and 2 * size(left) < size(wanted) else left))
+    return "\n".join(b.text for b in left or wanted)
+
+
+def others(leaves: dict[int, str]) -> dict[int, int]:
+    """For each leaf what tells its page from others: the hash of the longest text that the page shows besides it.
+
+    Pages that show one article at many addresses have the same longest text beside any of its blocks, whatever date or
+    count differs, so all of them say once that the block is there. Under 0 stands the longest text of all.
+    """
+    ranked = sorted(((len(t), xxhash.xxh64_intdigest(t)) for t in {*leaves.values()}), reverse=True)[:2]
+    first, second = (ranked + [(0, 0), (0, 0)])[:2]
+    return {0: first[1]} | {leaf: second[1] if xxhash.xxh64_intdigest(t) == first[1] else first[1] for leaf, t in leaves.items()}
 
 
 _SIGNED = 1 << 63
@@ -227,25 +257,27 @@ def host_of(url_col: str):
 
 
 def style_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, node, shown, n)``: on how many pages of a host a node shows what the hash ``shown`` stands for.
+    """``(host, leaf, node, shown, n)``: on how many pages of a host a node shows what the hash ``shown`` stands for.
 
-    ``shown`` covers all that stands under the node's elements: styles (presentation) and texts (content). It is
-    null for a leaf, which is there or not, and for node 0, the page itself. Counts are summed in each task before
-    they are shuffled by all three, so a host with a third of all pages is spread like any other.
+    ``shown`` covers all that stands under the node's elements: styles (presentation) and texts (content). For a leaf,
+    and for node 0, the page itself, it is what tells the page from others (``others``). Counts are summed in each task
+    before they are shuffled by all four, so a host with a third of all pages is spread like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, nodes, seen = [], [], []
+            hosts, kinds, nodes, seen = [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, shown, leaves = parse(page.as_py())
-                nodes += [0, *map(_signed, shown), *map(_signed, leaves)]
-                seen += [None, *(_signed(_digest(parts)) for parts in shown.values()), *[None] * len(leaves)]
+                beside = others(leaves)
+                nodes += [*map(_signed, shown), *map(_signed, beside)]
+                seen += [*(_signed(_digest(parts)) for parts in shown.values()), *map(_signed, beside.values())]
+                kinds += [False] * len(shown) + [True] * len(beside)
                 hosts += [host] * (len(nodes) - len(hosts))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(seen, pa.int64())], names=["host", "node", "shown"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.bool_()), pa.array(nodes, pa.int64()), pa.array(seen, pa.int64())], names=["host", "leaf", "node", "shown"])
 
     rows = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).where("host != ''")
-    return rows.mapInArrow(run, "host string, node bigint, shown bigint").groupBy("host", "node", "shown").agg(F.count(F.lit(1)).alias("n"))
+    return rows.mapInArrow(run, "host string, leaf boolean, node bigint, shown bigint").groupBy("host", "leaf", "node", "shown").agg(F.count(F.lit(1)).alias("n"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
@@ -255,7 +287,7 @@ def importance(counts: DataFrame) -> DataFrame:
     each something else: with M = m + a it is (log M - sum(n_i log n_i) / M) / log M.
     """
     m, plogp = F.sum("n").alias("pages"), F.sum(F.col("n") * F.log(F.col("n"))).alias("s")
-    sums = counts.where("shown is not null").groupBy("host", "node").agg(m, plogp)
+    sums = counts.where("NOT leaf").groupBy("host", "node").agg(m, plogp)
     every = F.col("pages") + F.lit(PRIOR_PAGES)
     return sums.select("host", "node", "pages", (1 - F.col("s") / (every * F.log(every))).alias("importance"))
 
@@ -263,11 +295,13 @@ def importance(counts: DataFrame) -> DataFrame:
 def leaf_importance(counts: DataFrame) -> DataFrame:
     """``(host, node, pages, importance)`` of the leaves on two pages or more: 1 - log n / log(m + a), as above.
 
-    That is one less the normalised entropy of a text's spread over the pages: 1 on one page, near 0 on all.
+    That is one less the normalised entropy of a text's spread over the pages: 1 on one page, near 0 on all. Pages count
+    as often as they differ: n are the different longest texts beside the leaf, m those of the host's pages.
     """
-    leaves = counts.where("shown is null and node != 0 and n > 1").select("host", "node", F.col("n").alias("pages"))
-    hosts = counts.where("shown is null and node = 0").select("host", F.col("n").alias("m"))
-    return leaves.join(hosts, "host").select("host", "node", "pages", (1 - F.log("pages") / F.log(F.col("m") + F.lit(PRIOR_PAGES))).alias("importance"))
+    marks = counts.where("leaf").groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
+    leaves, hosts = marks.where("node != 0 AND pages > 1"), marks.where("node = 0").select("host", F.col("pages").alias("m"))
+    spread = F.greatest(F.lit(0.0), 1 - F.log("pages") / F.log(F.greatest("m", "pages") + F.lit(PRIOR_PAGES)))
+    return leaves.join(hosts, "host").select("host", "node", "pages", spread.alias("importance"))
 
 
 def low_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE, least_of_block: float = LEAST_OF_BLOCK) -> DataFrame:

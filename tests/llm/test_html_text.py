@@ -52,8 +52,9 @@ def test_style_tree_drops_what_all_pages_of_a_host_show(spark):
 
 
 def test_importance_is_normalised_entropy(spark):
-    rows = [("a", 1, 10, 4), ("a", 2, 20, 1), ("a", 2, 21, 1), ("a", 2, 22, 1), ("a", 2, 23, 1), ("b", 1, 5, 1), ("a", 0, None, 4), ("b", 0, None, 1), ("a", 7, None, 4), ("a", 8, None, 2), ("a", 9, None, 1), ("b", 7, None, 1)]
-    counts = spark.createDataFrame(rows, "host string, node bigint, shown bigint, n bigint")
+    nodes = [("a", False, 1, 10, 4), ("a", False, 2, 20, 1), ("a", False, 2, 21, 1), ("a", False, 2, 22, 1), ("a", False, 2, 23, 1), ("b", False, 1, 5, 1)]
+    leaves = [("a", True, leaf, 50 + k, 9) for leaf, many in ((0, 4), (7, 4), (8, 2), (9, 1)) for k in range(many)] + [("b", True, 0, 1, 1), ("b", True, 7, 1, 1)]
+    counts = spark.createDataFrame(nodes + leaves, "host string, leaf boolean, node bigint, shown bigint, n bigint")
     got = {(x.host, x.node): round(x.importance, 6) for x in h.importance(counts).collect()}
     log = math.log
     assert got == {("a", 1): round((log(5) - 4 * log(4) / 5) / log(5), 6), ("a", 2): 1.0, ("b", 1): 1.0}
@@ -78,10 +79,13 @@ def planted_site(pages, seed):
 
 def low_by_hand(pages):
     """The nodes and leaves of one host that go, by plain counting."""
-    shown, leaves = {}, Counter()
+    shown, beside, all_texts = {}, {}, set()
     for page in pages:
         _, nodes, found = h.parse(page)
-        leaves.update(found)
+        longest = sorted({*found.values()}, key=lambda t: (len(t), h.xxhash.xxh64_intdigest(t)))
+        all_texts.add(longest[-1])
+        for leaf, text in found.items():
+            beside.setdefault(leaf, set()).add(next((t for t in reversed(longest) if t != text), None))
         for node, parts in nodes.items():
             shown.setdefault(node, []).append(tuple(parts))
     low = set()
@@ -90,7 +94,7 @@ def low_by_hand(pages):
         share = [n / sum(every) for n in every]
         if -sum(p * math.log(p) for p in share) / math.log(sum(every)) < h.LEAST_IMPORTANCE:
             low.add(node)
-    return low | {x for x, n in leaves.items() if 1 - math.log(n) / math.log(len(pages) + h.PRIOR_PAGES) < h.LEAST_OF_BLOCK}
+    return low | {x for x, n in beside.items() if len(n) > 1 and 1 - math.log(len(n)) / math.log(max(len(all_texts), len(n)) + h.PRIOR_PAGES) < h.LEAST_OF_BLOCK}
 
 
 def test_unnamed_boilerplate_inside_the_article_goes(spark):
@@ -113,6 +117,71 @@ def test_an_article_at_many_addresses_with_few_edits_keeps_its_text(spark):
     assert all(got[i].startswith(f"Edition {i}\nThe same") and got[i].count("\n") == 9 for i in range(80))
 
 
+def test_stray_quotes_lose_no_text():
+    assert h.main_text("<article><p class=it's>Hello one</p><p>World two</p></article>") == "Hello one\nWorld two"
+    assert h.main_text("<article><p><a title=Don't>Hello</a> one</p><p>World two</p></article>") == "Hello one\nWorld two"
+    assert h.main_text('<p title="5" tall">Hello</p><p>World</p>') == "Hello\nWorld"
+    assert h.main_text('<p data-x = "a > b" class=\'y\'>Hello</p><p a="b"c>World</p>') == "Hello\nWorld"
+    assert h.main_text('<a href=x?y="z>one</a> two <img alt="2 > 1"> three') == "one two three"
+    assert h.main_text('<p =">Hello</p><!--><p>a</p><!-- x --!><p>b</p></ x><p>c') == "Hello\na\nb\nc"
+
+
+def test_a_name_of_several_words_is_no_menu_by_one_of_them():
+    for name in ("share-price", "related-work", "ad-hoc", "widget", "skip-first", "comment-free", "social-history", "notice-period"):
+        assert h.main_text(f'<article><p>one</p><h2 id="{name}">two</h2><p class="{name}">three</p></article>') == "one\ntwo\nthree"
+    for name in ("share", "share-buttons", "related-posts", "cookie_banner", "ad-slot-2", "sidebar-widget", "newsletter-form", "skip-link"):
+        assert h.main_text(f'<article><p>one</p><div class="x {name}">two</div></article>') == "one"
+
+
+def tags_by_states(page):
+    """Where tags end, character by character through the states that HTML gives a tag; comments are not looked at."""
+    out, at = [], 0
+    while (at := page.find("<", at)) >= 0:
+        i = at + 1 + (page[at + 1 : at + 2] == "/")
+        if not page[i : i + 1].isalpha():
+            at += 1
+            continue
+        state, quote = "tag", ""
+        while i < len(page):
+            c = page[i]
+            if state == "quoted":
+                state = "between" if c == quote else state
+            elif c == ">":
+                break
+            elif state == "value" and not c.isspace():
+                state, quote = ("quoted", c) if c in "\"'" else ("bare", "")
+            elif state == "bare":
+                state = "between" if c.isspace() else state
+            elif state in ("tag", "name", "between", "after") and (c.isspace() or c == "/"):
+                state = "after" if state in ("name", "after") and c != "/" else "between"
+            elif c == "=" and state in ("name", "after"):
+                state = "value"
+            elif state in ("between", "after"):
+                state = "name"
+            i += 1
+        out.append((at, min(i + 1, len(page))))
+        at = out[-1][1]
+    return out
+
+
+def test_tags_end_where_a_browser_ends_them():
+    r = random.Random(9)
+    for _ in range(20_000):
+        page = "".join(r.choice(["<b", "<p ", "</p", ">", " ", "=", '"', "'", "/", "a", "x=", "\n", "="]) for _ in range(r.randint(1, 14)))
+        got = [m.span() for m in h._TOKEN.finditer(page) if m[2]]
+        assert got == tags_by_states(page), page
+
+
+def test_a_page_whose_article_is_mostly_boilerplate_loses_it(spark):
+    """No share of lost text makes a page keep what all pages of its host show."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aeinrst") for _ in range(5))
+    same = "".join(f"<p>Paragraph {k} of the terms that stand on every page of this place, at some length</p>" for k in range(6))
+    pages = [(i, f"http://terms.example/{i}", f"<article><p>{' '.join(word() for _ in range(30))}</p>{same}</article>", "", "", "") for i in range(60)]
+    got = [x.text for x in h.extract(spark.createDataFrame(pages, PAGES)).collect()]
+    assert all("\n" not in t and len(t.split()) == 30 for t in got)
+
+
 def test_very_long_page(spark):
     long = "<article>" + "".join(f"<p>line {i} of a very long page</p>" for i in range(60_000)) + "</article>"
     got = h.extract(spark.createDataFrame([(1, "http://l.example/", long, "", "", "")], PAGES)).first()
