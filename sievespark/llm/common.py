@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Words everywhere in this package: runs of anything but space, tab, LF, VT, FF, CR.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch, where the session leaves Spark's default.
+TEXT_ROWS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sievespark-{uuid.uuid4().hex}/{name}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that hold texts go to Python by ``TEXT_ROWS``, unless the session has a setting of its own: a batch stands in
+    memory several times, in the JVM and in Python, and Spark's default of 10,000 texts is no bound worth the name."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(TEXT_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -38,12 +48,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     so that adaptive execution may split a skewed side of the next join.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
