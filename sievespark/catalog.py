@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import extract, identity, markup, scoring
+from .functions import documents, extract, identity, markup, scoring
 from .operators import coverage, cursors, detect, outbox, reads, route, schedule, state, suppress
 from .plans import mapping as m
 from .plans import rules as packs
@@ -915,6 +915,35 @@ def agg_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.pending(rows)
 
 
+#: A document tree around every text: marks, a table, nodes that are none, lists of seven depths, and some too deep to be read.
+_TREE = """'{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"' || regexp_replace(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '[[:cntrl:]]', '  ', 'g')
+    || '"},{"type":"text","text":" here","marks":[{"type":"strong"},{"type":"link","attrs":{"href":"http://x/' || cast(doc_id as string) || '"}}]}]},7,null,{"type":"table","content":[{"type":"tableRow","content":[
+    {"type":"tableCell","content":[{"type":"paragraph","content":[{"type":"text","text":"' || coalesce(source, '') || '"}]}]},{"type":"tableHeader","content":[{"type":"paragraph","content":[{"type":"text","text":" ' || coalesce(lang, '') || '  x"}]}]}]}]},
+    {"type":"mention","attrs":{"text":"@' || cast(doc_id as string) || '"}},' || repeat('{"type":"bulletList","content":[{"type":"listItem","content":[', cast(case when doc_id % 50 = 0 then 60 else doc_id % 7 end as int))
+    || '{"type":"text","text":5},{"type":"inlineCard","attrs":{"url":"u' || cast(doc_id as string) || '"}}' || repeat(']}]}', cast(case when doc_id % 50 = 0 then 60 else doc_id % 7 end as int)) || ']}'"""
+_EDGE = documents.EDGE.replace("\\x0b", "\\x{0b}")
+
+
+@query(
+    f"""with recursive doc as (select doc_id, {_TREE.replace('as string)', 'as varchar)')} as j from documents),
+    walk as (select doc_id, '' as p, cast(j as json) as node, 0 as depth, false as cell from doc
+    union all select doc_id, p || printf('%05x', i - 1), c, depth + 1, cell or coalesce(node->>'type' in ('tableCell', 'tableHeader'), false) from (select *, unnest(json_extract(node, '$.content[*]')) as c, generate_subscripts(json_extract(node, '$.content[*]'), 1) as i
+    from walk where json_type(node, '$.content') = 'ARRAY' and depth <= {documents.MOST_DEPTH}) where json_type(c) = 'OBJECT'),
+    said as (select doc_id, p as k, case when json_type(node, '$.text') = 'VARCHAR' then node->>'text' when node->>'type' in ('emoji', 'mention', 'status') then coalesce(node->'attrs'->>'text', '') else '' end
+    || coalesce(' ' || coalesce(node->'attrs'->>'url', [x->'attrs'->>'href' for x in json_extract(node, '$.marks[*]') if x->>'type' = 'link'][1]), '') as piece from walk
+    union all select doc_id, p || '~', case when cell then ' ' else chr(10) end from walk where node->>'type' in ({', '.join(f"'{b}'" for b in documents.BLOCKS)})),
+    whole as (select doc_id, string_agg(piece, '' order by k) as t from said group by doc_id),
+    deep as (select doc_id from walk group by doc_id having max(depth) > {documents.MOST_DEPTH} or count(*) > {documents.MOST_NODES})
+    select doc_id, case when doc_id not in (select doc_id from deep) then array_to_string([x for x in [regexp_replace(l, '^{_EDGE}|{_EDGE}$', '', 'g') for l in string_split_regex(regexp_replace(t, '[ \\t\\f\\x0b]{{2,}}', ' ', 'g'), '{documents.LINE_BREAK}')] if x <> ''], chr(10)) end as text from whole"""
+)
+def txt_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text in a document tree, taken apart again; the twin walks the same JSON by recursion."""
+    m.table(spark, sf_dir, "documents").createOrReplaceTempView("_tree_documents")
+    rows = spark.sql(f"select doc_id, {_TREE.replace(', chr(92), chr(92) || chr(92))', ', char(92), char(92) || char(92))').replace('chr(92)', 'char(92)')} as j from _tree_documents".replace("'[[:cntrl:]]', '  ', 'g')", "'\\\\p{Cntrl}', '  ')"))
+    return rows.select("doc_id", documents.document_text(F.try_parse_json("j")).alias("text"))
+
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

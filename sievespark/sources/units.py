@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import markup
+from ..functions import documents
 
 UNIT = ("connector_type", "resource_id", "sub_resource", "origin", "text", "display")
 
@@ -40,8 +40,8 @@ def wiki_units(pages: DataFrame, comments: DataFrame, since: int | None = None)
     resource``. Pages up to revision ``since`` are left out, undated ones never.
     """
     due = pages if since is None else pages.where(F.col("revision").isNull() | (F.col("revision") > since))
-    body = due.withColumn("text", markup.supported_body_text(F.col("resource")))
-    notes = comments.join(due.select("page_id", "space_key", "title"), "page_id").withColumn("text", markup.supported_body_text(F.col("resource")))
+    body = due.withColumn("text", documents.supported_body_text(F.col("resource")))
+    notes = comments.join(due.select("page_id", "space_key", "title"), "page_id").withColumn("text", documents.supported_body_text(F.col("resource")))
     shown = {"space": F.col("space_key"), "title": F.col("title")}
     read = units(body.where("text is not null"), "wiki", F.col("page_id"), F.col("text"), display=shown)
     read = read.unionByName(units(notes.where("text is not null"), "wiki", F.col("page_id"), F.col("text"), sub_resource=F.concat(F.lit("comment:"), F.col("comment_id")), origin="comment", display=shown))
@@ -78,7 +78,7 @@ def issue_units(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     Summary, description and environment are one text; an issue of which one is unread fails as a whole.
     """
     names = ("summary", "description", "environment")
-    rows = issues.select("*", *[markup.issue_field_text(F.col("fields"), n).alias(f"_{n}") for n in names])
+    rows = issues.select("*", *[documents.issue_field_text(F.col("fields"), n).alias(f"_{n}") for n in names])
     whole = F.lit(True)
     for n in names:
         whole = whole & F.col(f"_{n}").isNotNull()

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sievespark.functions import extract, globs, identity, markup
+from sievespark.functions import documents, extract, globs, identity, markup
 from sievespark.sources import conformance, fake, files, sinks, units
 
 
@@ -23,19 +23,40 @@ def test_wiki_text():
     assert markup.wiki_text("{code}never closed") == "never closed"
 
 
-def test_document_text():
+def test_document_text(spark):
     para = lambda *c: {"type": "paragraph", "content": list(c)}
     text = lambda t, **k: {"type": "text", "text": t, **k}
     cell = lambda t: {"type": "tableCell", "content": [para(text(t))]}
     doc = {"type": "doc", "content": [para(text("see "), text("here", marks=[{"type": "link", "attrs": {"href": "http://x"}}])), {"type": "table", "content": [{"type": "tableRow", "content": [cell("password"), cell("hunter2")]}]}, para({"type": "mention", "attrs": {"text": "@me"}})]}
-    assert markup.document_text(doc) == "see here http://x\npassword hunter2\n@me"
-    deep = para()
-    for _ in range(200):
-        deep = {"type": "panel", "content": [deep]}
-    assert markup.document_text(deep) is None
-    assert markup.field_text(json.dumps({"a": None, "b": 5, "c": "x", "d": doc}), "a") == ""
-    assert markup.field_text(json.dumps({"b": 5}), "b") is None and markup.field_text("{}", "z") is None and markup.field_text("no", "z") is None
-    assert markup.body_text(json.dumps({"body": {"view": {"value": "<p>v</p>"}}})) == "v" and markup.body_text(json.dumps({"body": {"storage": {"value": ""}}})) == "" and markup.body_text("{}") is None
+    nested = lambda levels, inner: inner if not levels else {"type": "panel", "content": [nested(levels - 1, inner)]}
+    whole = lambda *c: {"type": "doc", "content": list(c)}
+    cases = [
+        (doc, "see here http://x\npassword hunter2\n@me"),
+        (whole(nested(98, para(text("deep enough")))), "deep enough"), (whole(nested(99, para(text("too deep")))), None),
+        (whole(para(*[text("x")] * 3000)), "x" * 3000), (whole(para(*[{}] * 200_010)), None),
+        ({"type": "doc"}, ""), (whole(), ""), ({"type": "doc", "content": "no"}, ""), (whole(None, 7, "text", [text("in a list")]), ""), (whole({"type": "paragraph", "content": None}), ""),
+        (whole(para(text("a", marks=[{"type": "strong"}]), text(5), text(" b"), {"type": "inlineCard", "attrs": {"url": "u"}}, {"type": "text", "text": "c", "attrs": {"url": ""}, "marks": ["x", {"type": "link", "attrs": {"href": ""}}, {"type": "link", "attrs": {"href": "v"}}]})), "a b uc v"),
+        (whole({"type": ["paragraph"], "content": [text("one")]}, para(text("  two  \u2028 three\t\t"))), "one two\nthree"),
+        (None, ""), ("h1. wiki", "wiki"), (5, None), ([], None), ({"type": "other"}, None),
+    ]
+    rows = [(i, json.dumps({"f": v})) for i, (v, _) in enumerate(cases)] + [(100, "{}"), (101, "no"), (102, None), (103, "[]"), (104, '{"f": "a", "f": "b"}')]
+    found = spark.createDataFrame(rows, "i int, j string").select("i", documents.issue_field_text(F.col("j"), "f").alias("t"))
+    assert {r.i: r.t for r in found.collect()} == dict(enumerate(w for _, w in cases)) | dict.fromkeys(range(100, 105))
+    bodies = [{"body": {"view": {"value": "<p>v</p>"}}}, {"body": {"storage": {"value": ""}, "view": {"value": "x"}}}, {"body": {"storage": {"value": 5}, "view": {"value": "w"}}}, {}, {"body": "x"}, []]
+    found = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, j string").select("i", documents.supported_body_text(F.col("j")).alias("t"))
+    assert [r.t for r in found.orderBy("i").collect()] == ["v", "", "w", None, None, None]
+
+
+def test_trees_need_no_python(spark):
+    df = spark.createDataFrame([("{}",)], "j string").select(documents.document_text(F.try_parse_json("j")).alias("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and df.first().t == ""
+
+
+def test_office_text_comes_in_chunks():
+    spoken = extract._Spoken()
+    raw = "<a b='1'>é x</a>y<unclosed".encode()
+    assert "".join(spoken.feed(raw[i : i + 1]) for i in range(len(raw))) == " é x y "
+
 
 
 def test_globs(spark):
