@@ -11,15 +11,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, sized_broadcast
 
-#: Hash buckets, a bound on what the counts send to the driver; n-grams of raw text that every trusted count is mixed with.
-BUCKETS, PRIOR_GRAMS = 16384, 16384
-#: One trusted document in so many is kept apart for the cut; the cut is this many interquartile ranges below their lower quartile.
-APART, FENCE = 5, 3.0
+#: Hash buckets, a bound on what the counts send to the driver.
+BUCKETS = 16384
+#: Numbers of raw n-grams that trusted counts may be mixed with; the text kept apart chooses among them.
+PRIORS = tuple(4**k for k in range(13))
+#: One trusted document in so many is kept apart for the cut. The cut lies below this share of theirs, by a part of the
+#: distance from there to their median: a quarter, and more the fewer they are, by so many over their number.
+APART, LOWEST, ROOM, FEW = 5, 0.01, 0.25, 10.0
 #: Fewest words; most words in repeated windows, in percent; words a window.
 FEWEST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
 _SPACE, _SYMBOL = r"[\x20\x09-\x0D]+", "[#*$%&|<>]"
@@ -53,30 +57,41 @@ def kept_apart(id_col: Column) -> Column:
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(bucket, n_raw, n_trusted)`` over the n-grams of all whole texts, repeats included.
+    """``(bucket, n_raw, n_trusted, n_apart)`` over the n-grams of all whole texts, repeats included.
 
-    ``trusted`` has the ids of trusted documents; it is broadcast only below a checked number of rows. Counts
-    are summed within each task first, so at most ``BUCKETS`` rows a task are shuffled.
+    ``trusted`` has the ids of trusted documents, of which those that are ``kept_apart`` are counted as such; it is
+    broadcast only below a checked number of rows. Counts are summed within each task first, so at most ``BUCKETS`` rows a
+    task are shuffled.
     """
-    marked = sized_broadcast(trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_trusted", F.lit(1)))
+    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    marked = sized_broadcast(ids.withColumn("_apart", kept_apart(F.col("_id")).cast("int")))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marked, "_id", "left")
-    grams = rows.select(F.coalesce("_trusted", F.lit(0)).alias("trusted"), F.explode(with_value(words_of(F.col("_text")), grams_of)).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.sum("trusted").alias("n_trusted"))
+    grams = rows.select("_apart", F.explode(with_value(words_of(F.col("_text")), grams_of)).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(F.col("_apart") == 0).alias("n_trusted"), F.count_if(F.col("_apart") == 1).alias("n_apart"))
+
+
+def prior_of(trusted: np.ndarray, apart: np.ndarray, raw: np.ndarray) -> int:
+    """How many raw n-grams the trusted counts are mixed with: of ``PRIORS`` the one under which the text kept apart is
+    likeliest; the largest, which trusts the counts least, where no text is kept apart. That text itself is taken out of
+    the raw counts, which would otherwise know it."""
+    shares = np.maximum(raw - apart, 1) / np.maximum(raw - apart, 1).sum()
+    likely = [float(apart @ np.log((trusted + p * shares) / (trusted.sum() + p))) for p in PRIORS]
+    return PRIORS[int(np.argmax(likely))] if apart.any() else PRIORS[-1]
 
 
 def log_ratios(counts: DataFrame) -> list[float]:
     """For each bucket the log of its share in trusted text over that in all text.
 
-    The trusted multinomial is mixed with ``PRIOR_GRAMS`` n-grams of raw text: where trusted text is sparse its
-    shares back off to the raw ones and the ratio to one. A bucket that no text fills counts as one raw n-gram.
-    Without any trusted text all are zero. ``BUCKETS`` numbers reach the driver, whatever the corpus.
+    The trusted multinomial is mixed with n-grams of raw text, as many as ``prior_of`` finds: where trusted text is sparse
+    its shares back off to the raw ones and the ratio to one. A bucket that no text fills counts as one raw n-gram.
+    Without any trusted text all are zero. ``BUCKETS`` rows reach the driver, whatever the corpus.
     """
-    raw, trusted = [0] * BUCKETS, [0] * BUCKETS
+    raw, trusted, apart = np.zeros((3, BUCKETS))
     for r in counts.collect():
-        raw[r["bucket"]], trusted[r["bucket"]] = r["n_raw"], r["n_trusted"]
-    every, total = sum(max(1, r) for r in raw), sum(trusted)
-    shares = [max(1, r) / every for r in raw]
-    return [round(math.log((t / s + PRIOR_GRAMS) / (total + PRIOR_GRAMS)), 6) for t, s in zip(trusted, shares)]
+        raw[r["bucket"]], trusted[r["bucket"]], apart[r["bucket"]] = r["n_raw"], r["n_trusted"], r["n_apart"]
+    shares = np.maximum(raw, 1) / np.maximum(raw, 1).sum()
+    prior = prior_of(trusted, apart, raw)
+    return [round(x, 6) for x in np.log((trusted / shares + prior) / (trusted.sum() + prior)).tolist()]
 
 
 def base_rule(n_words: Column, n_repeat_words: Column) -> Column:
@@ -85,8 +100,10 @@ def base_rule(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def lowest_kept(docs: DataFrame, apart: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The cut: ``FENCE`` interquartile ranges below the lower quartile of the scores of trusted documents kept apart.
+    """The cut: somewhat below the lowest hundredth of the scores of trusted documents kept apart.
 
+    Scores of several languages or sources lie in several heaps, so the cut is told by the lowest of them and not by how
+    wide they lie. With n scores it is q - (median - q) * (``ROOM`` + ``FEW`` / n), q being their ``LOWEST`` quantile.
     Documents that fail the base rule don't count. Without any such document there is nothing to reject by and
     the cut is minus infinity. Three numbers reach the driver.
     """
@@ -94,8 +111,8 @@ def lowest_kept(docs: DataFrame, apart: DataFrame, ratios: list[float], id_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left_semi")
     score = lambda w: F.when(~base_rule(F.size(w), repeated_words(w)), F.round(mean_log_ratio(w, ratios), 9))
     scores = rows.select(with_value(words_of(F.col("_text")), score).alias("score"))
-    found = scores.agg(F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q")).first()["q"]
-    return found[0] - FENCE * (found[1] - found[0]) if found else -math.inf
+    found = scores.agg(F.percentile_approx("score", F.array(F.lit(LOWEST), F.lit(0.5)), F.lit(10_000)).alias("q"), F.count("score").alias("n")).first()
+    return found["q"][0] - (found["q"][1] - found["q"][0]) * (ROOM + FEW / found["n"]) if found["n"] else -math.inf
 
 
 def mean_log_ratio(words: Column, ratios: list[float]) -> Column:
@@ -157,7 +174,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     text has no words and fails the base rule; repeated rows each keep a row; an empty table gives none.
     """
     ids = trusted.select(id_col)
-    counts = materialize(bucket_counts(docs, ids.where(~kept_apart(F.col(id_col))), id_col, text_col), "bucket-counts")
+    counts = materialize(bucket_counts(docs, ids, id_col, text_col), "bucket-counts")
     ratios = log_ratios(counts)
     cut = lowest_kept(docs, ids.where(kept_apart(F.col(id_col))), ratios, id_col, text_col) if threshold is None else threshold
     text = F.coalesce(F.col(text_col), F.lit(""))

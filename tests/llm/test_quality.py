@@ -45,8 +45,8 @@ def test_base_columns_and_verdicts(spark):
     assert Counter((x.id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in found) == want
     apart = {r[0] for r in trusted.where(quality.kept_apart(quality.F.col("doc_id"))).collect()}
     scores = sorted(round(x.log_ratio, 9) for x in found if x.id in apart and not x.base_failed)
-    low, high = (scores[math.ceil(len(scores) * q) - 1] for q in (0.25, 0.75))
-    cut = low - quality.FENCE * (high - low)
+    low, middle = (scores[math.ceil(len(scores) * q) - 1] for q in (quality.LOWEST, 0.5))
+    cut = low - (middle - low) * (quality.ROOM + quality.FEW / len(scores))
     for x in found:
         assert x.kept == (not x.base_failed and x.log_ratio >= cut)
         if x.id is not None and x.id < 200:
@@ -84,3 +84,22 @@ def test_empty_sides(spark):
     _, table, trusted = tables(spark)
     assert quality.quality(table.limit(0), trusted).count() == 0
     assert {x.log_ratio for x in quality.quality(table, trusted.limit(0)).collect()} == {0.0}
+
+
+def test_the_prior_makes_the_text_kept_apart_likeliest():
+    r = quality.np.random.default_rng(5)
+    raw = r.integers(1, 500, quality.BUCKETS).astype(float)
+    near, far = raw * r.uniform(0.9, 1.1, quality.BUCKETS), raw * r.exponential(1, quality.BUCKETS)
+    few = r.multinomial(3000, near / near.sum()).astype(float)
+    many = r.multinomial(2_000_000, far / far.sum()).astype(float)
+    apart = r.multinomial(100_000, far / far.sum()).astype(float)
+    assert quality.prior_of(many, apart, raw + many + apart) < 1 << 18 < quality.prior_of(few, r.multinomial(500, near / near.sum()), raw * 100)
+    assert quality.prior_of(many, 0 * apart, raw) == quality.PRIORS[-1]
+
+
+def test_small_tables_reject_most_of_what_is_marked_bad(spark):
+    """On the small table whose labels are few: most documents of quality 0 go, of the trusted ones next to none."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.quality(docs, labels.where("quality = 1")).where("NOT base_failed").withColumnRenamed("id", "doc_id").join(labels, "doc_id")
+    kept = {r.quality: (r.k, r.n) for r in found.groupBy("quality").agg(quality.F.count_if("kept").alias("k"), quality.F.count("*").alias("n")).collect()}
+    assert kept[0][0] <= 0.5 * kept[0][1] and kept[1][0] >= 0.97 * kept[1][1], kept
