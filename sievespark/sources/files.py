@@ -1,120 +1,135 @@
 """Files of a share as content units.
 
-Spark's own readers pass over hidden files, which are those that hold credentials, so a share is a data source of
-its own: the driver lists it, tasks read it in batches through Arrow's file systems.
+Spark's own readers pass over hidden files, which are those that hold credentials, so a share is walked here: in rounds,
+one a level of folders, each a job over the folders found by the last one. The driver lists nothing; it only learns
+whether there is another level.
 """
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.extract import Limits, extract, reason_of
 from ..functions.globs import selected
+from .store import new_folder
 from .units import units
 
-LIMITS = {"depth": 64, "entries": 50_000, "files": 100_000}
-BATCH_BYTES, BATCH_FILES = 64 << 20, 500
+#: Bytes and files that one reading task is meant to get, and bytes that it hands on at a time.
+TASK_BYTES, TASK_FILES, BATCH_BYTES = 64 << 20, 500, 8 << 20
+ENTRY = "kind string, relative string, real string, length bigint"
 
 
-class ShareBatch(InputPartition):
-    def __init__(self, paths: list[tuple[str, str, int]]):
-        self.paths = paths
+def _entries(root: str, relative: str) -> Iterator[tuple[str, str, str, int]]:
+    """What one folder holds, sorted by name: ``(kind, path below the root, real path, length)``.
 
-
-class ShareReader(DataSourceReader):
-    """Lists a root folder by folder in order of names; tasks read batches of its files.
-
-    Hidden files count. A link that leads out of the root is not followed and a folder is entered once; more
-    entries, files or levels than allowed end the read with an error rather than with part of the share.
+    A link that leads out of the root is no entry. A folder that can't be listed is one entry, a gap with its reason.
+    """
+    store, top = fs.FileSystem.from_uri(root)
+    top, local = top.rstrip("/"), isinstance(store, fs.LocalFileSystem)
+    home = os.path.realpath(top) if local else top
+    try:
+        found = sorted(store.get_file_info(fs.FileSelector(f"{top}/{relative}" if relative else top)), key=lambda e: e.base_name)
+    except OSError as e:
+        yield ("permission_denied" if isinstance(e, PermissionError) else "missing_resource"), relative, "", 0
+        return
+    for e in found:
+        real = os.path.realpath(e.path) if local else e.path
+        if local and os.path.commonpath([real, home]) != home:
+            continue
+        kind = {fs.FileType.Directory: "folder", fs.FileType.File: "file"}.get(e.type)
+        if kind:
+            yield kind, e.path[len(top) + 1 :], real, e.size or 0
+
+
+def _root(root: str) -> str:
+    if "://" not in root or ".." in root.split("/"):
+        raise ValueError("root is the URI of a folder and may not climb")
+    store, top = fs.FileSystem.from_uri(root)
+    return os.path.realpath(top) if isinstance(store, fs.LocalFileSystem) else top.rstrip("/")
+
+
+def walk(spark: SparkSession, root: str, depth: int = 64, entries: int | None = None, files: int | None = None) -> DataFrame:
+    """``(kind, relative, length)`` of a root's files, hidden ones too, and a row for each folder that can't be listed.
+
+    Breadth first, a Spark job a level. A folder is entered once, by its real path: of several ways to it the one with the
+    fewest levels counts, then the smallest name, and rings of links end. More levels than ``depth``, and more entries of a
+    folder or files in all than allowed, where a bound is asked for, are an error, so no part of a share passes for the whole.
     """
+    at, width = new_folder(spark, "walk"), spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for relative in batch.column(0).to_pylist():
+                rows = list(_entries(root, relative))
+                if entries is not None and len(rows) > entries:
+                    raise ValueError(f"a folder has more than {entries} entries")
+                for i in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 10_000]), (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["kind", "relative", "real", "length"])
+
+    read = lambda *names: spark.read.schema(ENTRY).parquet(*[f"{at}/{n}" for n in names])
+    spark.createDataFrame([("folder", "", _root(root), 0)], ENTRY).write.parquet(f"{at}/new0")
+    for level in range(depth + 1):
+        ahead = read(f"new{level}")
+        ahead.select("relative").repartition(min(4 * width, max(1, ahead.count()))).mapInArrow(run, ENTRY).write.parquet(f"{at}/found{level}")
+        below = read(f"found{level}").where("kind = 'folder'").groupBy("kind", "real").agg(F.min("relative").alias("relative"), F.max("length").alias("length"))
+        entered = read(*[f"new{n}" for n in range(level + 1)]).select("real")
+        below.join(entered, "real", "left_anti").select("kind", "relative", "real", "length").write.parquet(f"{at}/new{level + 1}")
+        if read(f"new{level + 1}").isEmpty():
+            break
+    else:
+        raise ValueError(f"folders nest deeper than {depth}")
+    found = read(*[f"found{n}" for n in range(level + 1)]).where("kind <> 'folder'").drop("real")
+    if files is not None and found.where("kind = 'file'").count() > files:
+        raise ValueError(f"the root has more than {files} files")
+    return found
+
+
+def contents(found: DataFrame, root: str, input_bytes: int = Limits.input_bytes) -> DataFrame:
+    """``relative, length, content`` of files ``(relative, length)``, dealt to tasks by their bytes.
 
-    def __init__(self, root: str, limits: dict[str, int], input_bytes: int):
-        self.root, self.limits, self.input_bytes = root, limits, input_bytes
-
-    def _walk(self) -> Iterator[tuple[str, str, int]]:
-        store, top = fs.FileSystem.from_uri(self.root)
-        local = isinstance(store, fs.LocalFileSystem)
-        home = os.path.realpath(top) if local else top.rstrip("/")
-        entered, files, ahead = set(), 0, [(top.rstrip("/"), 0)]
-        while ahead:
-            folder, depth = ahead.pop()
-            real = os.path.realpath(folder) if local else folder
-            if real in entered:
-                continue
-            entered.add(real)
-            if depth > self.limits["depth"]:
-                raise ValueError(f"folders nest deeper than {self.limits['depth']}")
-            entries = sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda e: e.base_name)
-            if len(entries) > self.limits["entries"]:
-                raise ValueError(f"a folder has more than {self.limits['entries']} entries")
-            below = []
-            for e in entries:
-                if local and os.path.commonpath([os.path.realpath(e.path), home]) != home:
-                    continue
-                if e.type == fs.FileType.Directory:
-                    below.append((e.path, depth + 1))
-                elif e.type == fs.FileType.File:
-                    files += 1
-                    if files > self.limits["files"]:
-                        raise ValueError(f"the root has more than {self.limits['files']} files")
-                    yield e.path, e.path[len(top.rstrip("/")) + 1 :], e.size
-            ahead += reversed(below)
-
-    def partitions(self):
-        out, batch, size = [], [], 0
-        for path, relative, length in self._walk():
-            batch.append((path, relative, length))
-            size += min(length, self.input_bytes)
-            if size >= BATCH_BYTES or len(batch) >= BATCH_FILES:
-                out.append(ShareBatch(batch))
-                batch, size = [], 0
-        return [*out, ShareBatch(batch)] if batch or not out else out
-
-    def read(self, partition):
-        store, _ = fs.FileSystem.from_uri(self.root)
-        for path, relative, length in partition.paths:
-            content = None
-            if length <= self.input_bytes:
-                try:
-                    with store.open_input_stream(path) as f:
-                        content = f.read(self.input_bytes + 1)
-                except OSError:
-                    pass
-            yield relative, length, content
-
-
-class ShareSource(DataSource):
-    """``spark.read.format("sieve_share")`` with the option ``root``, a folder's URI."""
-
-    @classmethod
-    def name(cls):
-        return "sieve_share"
-
-    def schema(self):
-        return "relative string, length bigint, content binary"
-
-    def reader(self, schema):
-        root = self.options.get("root", "")
-        if "://" not in root or ".." in root.split("/"):
-            raise ValueError("root is the URI of a folder and may not climb")
-        limits = {k: int(self.options.get(k, v)) for k, v in LIMITS.items()}
-        return ShareReader(root, limits, int(self.options.get("input_bytes", Limits.input_bytes)))
-
-
-def listed(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, **options: int) -> DataFrame:
+    Content over ``input_bytes``, or that can't be read, is null.
+    """
+    sums = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("length", F.lit(input_bytes))).alias("bytes")).first()
+    tasks = max(1, math.ceil(sums["n"] / TASK_FILES), math.ceil((sums["bytes"] or 0) / TASK_BYTES))
+    names, kinds = ["relative", "length", "content"], (pa.string(), pa.int64(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(root)
+        rows, held = [], 0
+        for batch in batches:
+            for relative, length in zip(*(c.to_pylist() for c in batch.columns)):
+                content = None
+                if length <= input_bytes:
+                    try:
+                        with store.open_input_stream(f"{top.rstrip('/')}/{relative}") as f:
+                            content = f.read(input_bytes + 1)
+                    except OSError:
+                        pass
+                rows.append((relative, length, content))
+                held += len(content or b"")
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
+
+    return found.select("relative", "length").repartition(tasks).mapInArrow(run, "relative string, length bigint, content binary")
+
+
+def listed(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, input_bytes: int = Limits.input_bytes, **bounds: int) -> DataFrame:
     """``relative, length, content`` of a root's files; globs see the path below the root, an excluding one wins.
 
-    Content over ``input_bytes``, or that can't be read, is null.
+    ``bounds`` are those of ``walk``. Content over ``input_bytes``, or that can't be read, is null.
     """
-    spark.dataSource.register(ShareSource)
-    files = spark.read.format("sieve_share").option("root", root).options(**options).load()
-    return files.where(selected(F.col("relative"), include or [], exclude or []))
+    files = walk(spark, root, **bounds).where("kind = 'file'")
+    return contents(files.where(selected(F.col("relative"), include or [], exclude or [])), root, input_bytes)
 
 
 def file_units(files: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

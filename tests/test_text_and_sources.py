@@ -184,3 +184,35 @@ def test_odd_storage():
         markup.storage_text(hostile)
     for hostile in ("{{" * 50_000, "[" * 100_000, "{code}" * 20_001, "{a" * 50_000, "* " * 50_000):
         markup.wiki_text(hostile)
+
+
+def test_a_share_is_walked_by_tasks(spark, tmp_path):
+    """Folders, rings of links, ways to one folder, links that lead out."""
+    import os
+
+    root = tmp_path / "s"
+    for i in range(40):
+        (root / f"d{i % 8}" / f"e{i}").mkdir(parents=True)
+        for k in range(5):
+            (root / f"d{i % 8}" / f"e{i}" / f".f{k}").write_text("x" * k)
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside" / "no.txt").write_text("no")
+    os.symlink(tmp_path / "outside", root / "out")
+    os.symlink(root, root / "d0" / "ring")
+    os.symlink(root / "d1", root / "a1")
+    os.symlink(root / "d0" / "e0" / ".f1", root / "same.txt")
+    (root / "shut").mkdir()
+    found = files.walk(spark, f"file://{root}")
+    got = {r.relative: r.length for r in found.where("kind = 'file'").collect()}
+    want = {f"{'a1' if i % 8 == 1 else f'd{i % 8}'}/e{i}/.f{k}": k for i in range(40) for k in range(5)} | {"same.txt": 1}
+    assert got == want
+    assert files.walk(spark, f"file://{root}/none").collect()[0].kind == "missing_resource"
+    for bound, text in (({"depth": 1}, "deeper"), ({"files": 100}, "files")):
+        with pytest.raises(ValueError, match=text):
+            files.walk(spark, f"file://{root}", **bound)
+    with pytest.raises(Exception, match="more than 3 entries"):
+        files.walk(spark, f"file://{root}", entries=3)
+    with pytest.raises(ValueError):
+        files.walk(spark, "/tmp")
+    whole = files.listed(spark, f"file://{root}", include=["*/.f3"])
+    assert {r.content for r in whole.collect()} == {b"xxx"} and whole.count() == 40
