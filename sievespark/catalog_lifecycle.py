@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _BATCH_SQL, _SQL, AT, F_, S_, T_, _batch, _cursors, query
-from .operators import finalize, rounds, state, suppress
+from .operators import cursors, finalize, rounds, state, suppress
 from .plans import mapping as m
 from .sources.store import Change, Layout, Store, new_folder
 from .streaming import ingest
@@ -161,3 +161,33 @@ def agg_map_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.table(spark, sf_dir, "lineitem").select(F.expr("'n' || cast(l_orderkey as string)").alias("scan_id"), F.when(F.col("l_linenumber") % 5 != 0, counts).alias("counts"))
     told = F.transform(F.map_entries("counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
     return finalize.map_sums(rows, "scan_id", "counts").select("scan_id", F.array_join(told, ",").alias("sums"))
+
+
+@query(
+    """with rec as (select 'p' || cast(o_custkey % 5 as varchar) as project, o_orderkey as issue_id, o_orderkey % 3 as revision, o_orderdate + to_seconds(cast(o_orderkey % 86400 as bigint)) as moment from orders),
+    win as (select 'p' || cast(p as varchar) as project, w as "window", case when w > 0 then timestamp '1995-01-01 00:00:30' + to_days(cast(365 * (w - 1) as int)) end as from_at,
+        timestamp '1995-01-01 00:00:30' + to_days(cast(365 * w as int)) as to_at from range(0, 5) a(p), range(0, 6) b(w)),
+    run as (select *, (p % 2 = 0 and w = 2) as f1, (p = 3 and w in (0, 4)) as f2 from (select project, "window", from_at, to_at, cast(substring(project, 2) as int) as p, "window" as w from win)),
+    held as (select rec.project, issue_id, revision, "window", f1, f2 from rec join run on rec.project = run.project and (from_at is null or moment >= date_trunc('minute', from_at)) and moment < to_at),
+    one as (select project, issue_id, revision, min("window") as "window" from held where not f1 group by all),
+    two as (select project, issue_id, revision, min("window") as "window" from held where not f2 group by all)
+    select 'fresh 1' as kind, project, cast(issue_id as varchar) as name, cast("window" as int) as "window" from one
+    union all select 'fresh 2', project, cast(issue_id as varchar), cast("window" as int) from two t where not exists (select 1 from one where one.project = t.project and one.issue_id = t.issue_id and one.revision = t.revision)
+    union all select 'gap 1', project, 'rate_limited', cast("window" as int) from run where f1 union all select 'gap 2', project, 'timeout', cast("window" as int) from run where f2"""
+)
+def cur_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over overlapping windows of which some fail: every record once, what a gap held with the second run."""
+    orders = m.table(spark, sf_dir, "orders")
+    at = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + F.col("o_orderkey") % 86_400)
+    records = orders.select(F.expr("'p' || cast(o_custkey % 5 as string)").alias("project"), F.col("o_orderkey").alias("issue_id"), (F.col("o_orderkey") % 3).alias("revision"), at.alias("updated_at"))
+    edge = lambda n: F.expr(f"timestamp '1995-01-01 00:00:30' + make_interval(0, 0, 0, cast(365 * ({n}) as int))")
+    cells = records.select("project").distinct().select("project", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("window"))
+    spans = cells.select("project", "window", F.when(F.col("window") > 0, edge("window - 1")).alias("from_at"), edge("window").alias("to_at"))
+    p = F.substring("project", 2, 9).cast("int")
+    first = cells.where((p % 2 == 0) & (F.col("window") == 2)).withColumn("reason", F.lit("rate_limited"))
+    second = cells.where((p == 3) & F.col("window").isin(0, 4)).withColumn("reason", F.lit("timeout"))
+    none = records.select("project", "issue_id", "revision").limit(0)
+    fresh1, gaps1 = cursors.read_windows(records, spans, first, none)
+    fresh2, gaps2 = cursors.read_windows(records, spans, second.unionByName(second.withColumn("reason", F.lit("z"))), fresh1)
+    told = lambda kind, rows, name: rows.select(F.lit(kind).alias("kind"), "project", F.col(name).cast("string").alias("name"), "window")
+    return told("fresh 1", fresh1, "issue_id").union(told("fresh 2", fresh2, "issue_id")).union(told("gap 1", gaps1, "reason")).union(told("gap 2", gaps2, "reason"))

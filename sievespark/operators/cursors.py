@@ -79,3 +79,24 @@ def windows(bounds: DataFrame, most: int = 64, ladder: tuple[int, ...] = (7, 30,
     edge = lambda i: F.timestamp_seconds(F.unix_timestamp("oldest") + i * F.col("width") * 86_400)
     end = F.timestamp_seconds(F.unix_timestamp(F.date_trunc("minute", "newest")) + 60)
     return rows.select("project", F.col("w").alias("window"), F.when(F.col("w") > 0, edge(F.col("w"))).alias("from_at"), F.when(F.col("w") < F.col("windows") - 1, edge(F.col("w") + 1)).otherwise(end).alias("to_at"))
+
+
+def read_windows(records: DataFrame, windows: DataFrame, failures: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(fresh, gaps)``: what a run over windows delivers, and the windows that it could not read.
+
+    A source answers by the minute, so a window's answer begins at the start of its first minute and overlaps the one
+    before. ``records`` has ``project, issue_id, revision, updated_at``; ``windows`` as ``windows`` makes them, at most
+    ``most`` a project; ``failures`` has ``project, window, reason``; ``seen`` has ``project, issue_id, revision`` of
+    earlier runs. A record comes once, from the first of its windows that was read (``window``), unless an earlier run
+    has delivered that revision; one that stands only in failed windows is covered by their gaps and comes with a later
+    run. Nothing is told twice: a window fails with the first of its reasons.
+    """
+    failed = failures.groupBy("project", "window").agg(F.min("reason").alias("reason"))
+    marked = windows.join(failed, ["project", "window"], "left")
+    gaps = marked.where("reason IS NOT NULL").select("project", "window", "from_at", "to_at", "reason")
+    answers = F.array_sort(F.collect_list(F.struct("window", F.date_trunc("minute", "from_at").alias("from_at"), "to_at")))
+    answered = marked.where("reason IS NULL").groupBy("project").agg(answers.alias("_windows"))  # bounded by the windows of a project
+    holds = lambda w: (w["from_at"].isNull() | (F.col("updated_at") >= w["from_at"])) & (F.col("updated_at") < w["to_at"])
+    rows = records.join(answered, "project").withColumn("window", F.get(F.filter("_windows", holds), F.lit(0))["window"]).where("window IS NOT NULL")
+    first = rows.groupBy("project", "issue_id", "revision").agg(F.min("window").alias("window"))
+    return first.join(seen.select("project", "issue_id", "revision").distinct(), ["project", "issue_id", "revision"], "left_anti"), gaps
