@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words everywhere in this package: runs of anything but space, tab, LF, VT, FF, CR.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Rows of a file of narrow rows, where their number is known.
+ROWS_A_FILE = 250_000
 #: Rows of an Arrow batch, where the session leaves Spark's default.
 TEXT_ROWS = 1000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -40,6 +42,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_ROWS, str(TEXT_ROWS))
 
 
+def materialize_narrow(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``materialize`` for rows of a few numbers: in no more files than four tasks for each core of the cluster write, or
+    one for every ``ROWS_A_FILE`` where the number of ``rows`` is known. A table of some thousand rows in a file for each
+    shuffle partition costs more for its files than for its rows."""
+    most = 4 * df.sparkSession.sparkContext.defaultParallelism if rows is None else rows // ROWS_A_FILE + 1
+    return materialize(df.coalesce(most), name)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

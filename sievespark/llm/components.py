@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize_narrow
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -20,16 +20,17 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     ignored; an empty edge table gives an empty result.
     """
     e = edges.where((F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = materialize(e, "edges")
+    e = materialize_narrow(e, "edges")
     before = _signature(e)
+    write = lambda df, name: materialize_narrow(df, name, 2 * before[0])  # noqa: E731  no step makes more edges than twice those before it
     for _ in range(max_rounds if before[0] else 0):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star-min")
+        low = write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star-min")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = materialize(large, "large-star")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "small-star-min")
+        large = write(large, "large-star")
+        low = write(large.groupBy("u").agg(F.min("v").alias("m")), "small-star-min")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        e = write(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         after = _signature(e)
         if after == before:
             break

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, own_caches, sized_broadcast, text_bytes
+from .common import materialize, materialize_narrow, own_caches, sized_broadcast, text_bytes
 from .components import connected_components
 from .simhash import classes_of
 
@@ -81,9 +81,9 @@ def _band_sizes(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = distinct.select("fp", "n", F.posexplode("bands").alias("c", "key"))
     orders = [F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("o"), "fp", "n")).alias(f"l{i}") for i in range(LEADERS)]
     found = keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("m"), *orders).where("m > 1")
-    sizes = materialize(found.select("c", "key", "m", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("leaders")), "bands")
+    sizes = materialize_narrow(found.select("c", "key", "m", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("leaders")), "bands")
     known = sizes.select("c", "key", "m", F.col("leaders")[0]["fp"].alias("ref"))
-    return sizes, materialize(keys.join(known, ["c", "key"]), "live-bands")
+    return sizes, materialize_narrow(keys.join(known, ["c", "key"]), "live-bands")
 
 
 def _sizes_allow(a: str, b: str):
@@ -123,7 +123,7 @@ def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingles are similar enough, counted exactly."""
     shared = _shared(pairs, sets)
-    return materialize(shared.where(100 * F.col("i") >= SIMILAR * (F.col("s") - F.col("i"))).select("a", "b"), "links")
+    return materialize_narrow(shared.where(100 * F.col("i") >= SIMILAR * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
 
 def differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -137,10 +137,10 @@ def centres(diffs: DataFrame) -> DataFrame:
     """``(ref, centre)``: of the texts with one ref, that nearest to the shingles which most of them hold."""
     grams = diffs.select("fp", "ref", F.explode("diff").alias("gram"))
     many = diffs.groupBy("ref").agg(F.count(F.lit(1)).alias("texts"))
-    usual = grams.groupBy("ref", "gram").agg(F.count(F.lit(1)).alias("k")).join(many, "ref").where("2 * k > texts").select("ref", "gram")
-    hits = grams.join(materialize(usual, "usual"), ["ref", "gram"]).groupBy("fp", "ref").agg(F.count(F.lit(1)).alias("hits"))
-    off = diffs.select("fp", "ref", F.size("diff").alias("d")).join(hits, ["fp", "ref"], "left").withColumn("off", F.expr("d - 2 * coalesce(hits, 0)"))
-    return materialize(off.groupBy("ref").agg(F.min(F.struct("off", "fp"))["fp"].alias("centre")), "centres")
+    usual = grams.groupBy("ref", "gram").agg(F.count(F.lit(1)).alias("k")).join(many, "ref").where("2 * k > texts")
+    usual = materialize_narrow(usual.groupBy("ref").agg(F.collect_list("gram").alias("usual")), "usual")  # of a ref at most twice what a text differs by on average
+    off = diffs.select("fp", "ref", "diff").join(usual, "ref", "left").withColumn("off", F.size("diff") - 2 * F.coalesce(F.size(F.array_intersect("diff", "usual")), F.lit(0)))
+    return materialize_narrow(off.groupBy("ref").agg(F.min(F.struct("off", "fp"))["fp"].alias("centre")), "centres")
 
 
 def _far():
@@ -208,16 +208,21 @@ def reachable(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     One less the Jaccard similarity is a metric. A class reaches from its smallest text as far as its farthest, and a
     text farther from that one than the reach and the distance allowed has nobody there. Each text meets one text a
-    class, so groups that share a list without being alike cost their texts, not their pairs.
+    class, so groups that share a list without being alike cost their texts, not their pairs. Of a pair one is far and
+    the other has the shared difference among its first, so only such meet.
     """
-    rows = rows.select("ref", "gram", "fp", "root").distinct()
-    reps = rows.groupBy("ref", "root").agg(F.min("fp").alias("rep"))
-    own = materialize(rows.select("ref", "root", "fp").distinct().join(reps, ["ref", "root"]), "members")
-    classes = rows.select("ref", "gram", F.col("root").alias("class")).distinct()
-    other = _met(rows, classes, ["ref", "gram"]).where("root != class").select("ref", "fp", "class").distinct()
-    other = materialize(other.join(reps.withColumnRenamed("root", "class"), ["ref", "class"]), "others")
+    slim = rows.select("ref", "gram", "fp", "root", "apart", "far", (F.col("at") <= F.col("near_by")).alias("early"))
+    reps = slim.groupBy("ref", "root").agg(F.min("fp").alias("rep"))
+    own = materialize_narrow(slim.select("ref", "root", "fp").distinct().join(reps, ["ref", "root"]), "members")
+    sides = []
+    for mine, theirs in (("far", "early"), ("early", "far")):
+        classes = slim.where(theirs).groupBy("ref", "gram", F.col("root").alias("class")).agg(F.max("apart").alias("some_apart"))
+        sides.append(_met(slim.where(mine), classes, ["ref", "gram"]).where("root != class AND (apart OR some_apart)").select("ref", "fp", "class"))
+    other = sides[0].union(sides[1]).distinct()
+    other = materialize_narrow(other.join(reps.withColumnRenamed("root", "class"), ["ref", "class"]), "others")
     pairs = own.select("fp", "rep").union(other.select("fp", "rep")).where("fp != rep").distinct()
-    apart = materialize(_shared(pairs.select(F.col("fp").alias("a"), F.col("rep").alias("b")), sets).select(F.col("a").alias("fp"), F.col("b").alias("rep"), F.expr("1 - i / (s - i)").alias("apart")), "apart")
+    apart = _shared(pairs.select(F.col("fp").alias("a"), F.col("rep").alias("b")), sets).select(F.col("a").alias("fp"), F.col("b").alias("rep"), F.expr("1 - i / (s - i)").alias("apart"))
+    apart = materialize_narrow(apart, "apart")
     reach = own.join(apart, ["fp", "rep"], "left").groupBy("ref", F.col("root").alias("class")).agg(F.max(F.coalesce("apart", F.lit(0.0))).alias("reach"))
     held = other.join(apart, ["fp", "rep"]).join(reach, ["ref", "class"])
     return held.where(F.col("apart") <= F.col("reach") + F.lit(1 - SIMILAR / 100 + 1e-9)).select("ref", "fp", "class")
@@ -229,7 +234,7 @@ def late_candidates(rows: DataFrame, sets: DataFrame) -> DataFrame:
     The first shared one of a pair bounds how many follow it; what cannot suffice is left out inside the join, and only
     texts that can reach each other's class come to it.
     """
-    near = materialize(reachable(rows, sets), "reachable")
+    near = materialize_narrow(reachable(rows, sets), "reachable")
     side = lambda to: rows.select("ref", "gram", *[F.col(c).alias(c + to) for c in ("fp", "root", "apart", "n", "d", "at", "far", "near_by")])
     x = side("x").where("farx").join(near.select("ref", F.col("fp").alias("fpx"), F.col("class").alias("rooty")), ["ref", "fpx"])
     y = side("y").where("aty <= near_byy").join(near.select("ref", F.col("fp").alias("fpy"), F.col("class").alias("rootx")), ["ref", "fpy"])
@@ -245,19 +250,19 @@ def late_links(rows: DataFrame, sets: DataFrame, turns: int = 2) -> DataFrame:
     Every turn each list's smallest text is compared with the others; what that joins is one class for the next turn.
     What the stars leave in several classes is compared as ``late_candidates`` says, so no link between classes is lost.
     """
-    rows, found = materialize(_open_lists(rows), "open-lists"), None
+    rows, found = materialize_narrow(_open_lists(rows), "open-lists"), None
     for turn in range(turns):
         if rows.isEmpty():
             break
-        new = _similar(materialize(star_candidates(rows, turn), "stars"), sets)
+        new = _similar(materialize_narrow(star_candidates(rows, turn), "stars"), sets)
         found = new if found is None else found.union(new)
         joined = rows.select("fp", "root").distinct().join(new.select(F.col("a").alias("fp"), "b").union(new.select(F.col("b").alias("fp"), F.col("a").alias("b"))), "fp")
         ends = joined.join(rows.select(F.col("fp").alias("b"), F.col("root").alias("to")).distinct(), "b")
         roots = connected_components(ends.select("root", "to"), "root", "to")
         merged = rows.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-        rows = materialize(_open_lists(merged.select(*rows.columns)), "open-lists")
+        rows = materialize_narrow(_open_lists(merged.select(*rows.columns)), "open-lists")
     if not rows.isEmpty():
-        late = _similar(materialize(late_candidates(rows, sets), "late-candidates"), sets)
+        late = _similar(materialize_narrow(late_candidates(rows, sets), "late-candidates"), sets)
         found = late if found is None else found.union(late)
     return rows.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if found is None else found
 
@@ -270,11 +275,11 @@ def unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
     is apart.
     """
     hot = live.where(F.col("m") > BUCKET).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    hot = materialize(hot.select("c", "key", "ref", "fp", F.coalesce("root", "fp").alias("root")), "hot-bands")
+    hot = materialize_narrow(hot.select("c", "key", "ref", "fp", F.coalesce("root", "fp").alias("root")), "hot-bands")
     shares = hot.groupBy("c", "key", "root").agg(F.count(F.lit(1)).alias("m"))
     mains = shares.groupBy("c", "key").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("classes"))
     open_ = hot.join(mains.where("classes > 1").select("c", "key", "main.root").withColumnRenamed("root", "main"), ["c", "key"])
-    return materialize(open_.groupBy("fp", "ref").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("apart")), "unsettled")
+    return materialize_narrow(open_.groupBy("fp", "ref").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("apart")), "unsettled")
 
 
 def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataFrame:
@@ -286,7 +291,7 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataF
     changes are compared by ``late_links``. No bucket's size loses a link.
     """
     sizes, live = _band_sizes(distinct)
-    pairs = materialize(candidates(sizes, live), "candidates")
+    pairs = materialize_narrow(candidates(sizes, live), "candidates")
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     near = _similar(pairs, _sets(ends, docs, distinct, text_col))
     if sizes.where(F.col("m") > BUCKET).isEmpty():

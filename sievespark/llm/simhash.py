@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, own_caches, sized_broadcast, text_bytes
+from .common import materialize, materialize_narrow, own_caches, sized_broadcast, text_bytes
 from .components import connected_components
 
 BITS = 64
@@ -102,8 +102,8 @@ def fingerprint_links(distinct: DataFrame, k: int = 2, segments: int = 5, bucket
     chains = ring(segments, k)
     masks = _key_masks(chains)
     keys = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("c", "key"))
-    sizes = materialize(keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key-sizes")
-    live = materialize(keys.join(sizes, ["c", "key"]), "live-keys")
+    sizes = materialize_narrow(keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key-sizes")
+    live = materialize_narrow(keys.join(sizes, ["c", "key"]), "live-keys")
 
     few = live.where(F.col("n") <= bucket)
     x, y = few.select("c", "key", F.col("fp").alias("a")), few.select("c", "key", F.col("fp").alias("b"))
@@ -123,12 +123,12 @@ def fingerprint_links(distinct: DataFrame, k: int = 2, segments: int = 5, bucket
 
 def classes_of(prints: DataFrame, links: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """``(id, fp, component)`` per row of ``prints``, component being the smallest id that ``links`` between fp reach."""
-    distinct = distinct or materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    distinct = distinct or materialize_narrow(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     roots = connected_components(links, "a", "b")
-    linked = materialize(distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first"), "linked")
-    lowest = materialize(linked.groupBy("root").agg(F.min("first").alias("lowest")), "lowest")
-    classes = materialize(linked.join(lowest, "root").select("fp", "lowest"), "classes")
-    every = materialize(distinct.join(classes, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component")), "components")
+    linked = materialize_narrow(distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first"), "linked")
+    lowest = materialize_narrow(linked.groupBy("root").agg(F.min("first").alias("lowest")), "lowest")
+    classes = materialize_narrow(linked.join(lowest, "root").select("fp", "lowest"), "classes")
+    every = materialize_narrow(distinct.join(classes, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component")), "components")
     return prints.join(every, "fp", "left").select("id", "fp", "component")
 
 
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row; a component of null ids only is null. Equal rows each keep a row. An empty table gives none.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    distinct = materialize_narrow(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     return classes_of(prints, fingerprint_links(distinct, k, segments, bucket), distinct)
 
 
