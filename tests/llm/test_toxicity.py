@@ -83,3 +83,44 @@ def test_no_labels_and_no_documents(spark, tables):
     _, table, labels = tables
     assert {(round(x.score, 3), x.predicted) for x in toxicity.toxicity(table, labels.limit(0), settings=SMALL).collect()} == {(0.269, 0)}
     assert toxicity.toxicity(table.limit(0), labels, settings=SMALL).count() == 0
+
+
+def plain_ftrl(rows, s):
+    """The algorithm as it is written down: a dictionary of (z, n) a coordinate, nothing left out from the start."""
+    import math
+
+    z, n, bias = {}, {}, "bias"
+    scale = lambda i: 1.0 if i == bias or i < 1 << s.bits else s.context
+
+    def weight(i):
+        least = 0.0 if i == bias else s.l1
+        if abs(z.get(i, 0.0)) <= least:
+            return 0.0
+        return (math.copysign(least, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for slots, label in rows:
+            active = [*map(int, slots), bias]
+            p = 1 / (1 + math.exp(-sum(weight(i) * scale(i) for i in active)))
+            w = {i: weight(i) for i in active}
+            for i in active:
+                g = (p - label) * (s.positive_weight if label else 1.0) * scale(i)
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if i != bias and weight(i)}, weight(bias)
+
+
+@pytest.mark.parametrize("l1", [0.0, 0.5, 3.0])
+def test_weights_are_those_of_the_plain_algorithm(l1):
+    """Per-coordinate rates and sparsity against a dictionary of coordinates; a slot left out beforehand never had a weight."""
+    r = random.Random(11)
+    s = toxicity.Settings(bits=5, epochs=3, l1=l1)
+    rows = []
+    for _ in range(120):
+        slots = sorted({r.randrange(64) for _ in range(r.randint(0, 12))})
+        rows.append((toxicity.np.array(slots, toxicity.np.int32), int(r.random() < (0.8 if 3 in slots or 40 in slots else 0.2))))
+    model = toxicity.ftrl(rows, s)
+    weights, bias = plain_ftrl(rows, s)
+    assert {int(i): round(float(w), 4) for i, w in zip(model.slots, model.weights)} == {i: round(w, 4) for i, w in weights.items()}
+    assert abs(model.bias - bias) < 1e-6 and (l1 == 0.0 or len(weights) < 64)
