@@ -143,6 +143,11 @@ SEEDED = [
     ("json-web-token", "'authorization bearer '", f"'ey' || 'J' || substring({_A}, 1, 20) || '.ey' || 'J' || substring({_A}, 1, 24) || '.' || substring({_A}, 3, 20)", "' .'"),
     ("connection-string-password", "'database uri postgres://app:'", f"substring({_A}, 1, 14)", "'@db.local/x'"),
     ("password-assignment", "'login credential password = \"'", f"'Tr0ub4dor&' || substring({_A}, 1, 6)", "'\" .'"),
+    ("gcp-service-account-key", "'google {\"type\": \"service_' || 'account\", \"private_key_id\": \"'", f"substring({_A} || {_A}, 5, 40)", "'\" }'"),
+    ("azure-client-secret", "'azure tenant client_secret = '", f"substring({_MIXED}, 1, 40)", "' .'"),
+    ("private-key-block", "'ssh '", f"'-----BEGIN RSA PRIV' || 'ATE KEY----- ' || {_A} || ' -----END'", "' RSA .'"),
+    ("basic-auth-header", "'curl header authorization: ba' || 'sic '", f"{_MIXED}", "' .'"),
+    ("generic-high-entropy", "'the token '", f"{_MIXED}", "' .'"),
 ]
 
 
