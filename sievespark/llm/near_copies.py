@@ -182,9 +182,19 @@ def ordered(diffs: DataFrame) -> DataFrame:
 
 
 def _open_lists(rows: DataFrame) -> DataFrame:
-    """The ``rows`` of those lists ``(ref, gram)`` whose texts stand in several classes."""
-    mixed = rows.groupBy("ref", "gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("ref", "gram")
-    return rows.join(mixed, ["ref", "gram"], "left_semi")
+    """The ``rows`` that may meet a similar text of another class in their list ``(ref, gram)``.
+
+    Of a pair with one far text the other has the first shared difference among its ``near_by`` first, so has the far one
+    if both are. Such rows meet each other, and those behind them in a far text only the first of texts that are not far.
+    What many far texts merely lack of their ref stands in few of them so early, and keeps no rows.
+    """
+    early, far, root = F.col("at") <= F.col("near_by"), F.col("far"), F.col("root")
+    roles = {"early": early, "late": ~early, "near": early & ~far}
+    lists = rows.groupBy("ref", "gram").agg(*[f(F.when(test, c)).alias(f"{role}_{name}") for role, test in roles.items() for name, f, c in (("a", F.min, root), ("b", F.max, root), ("apart", F.max, F.col("apart")))])
+    lists = lists.where("early_a != early_b OR late_a != near_b OR near_a != late_b")
+    other = lambda role: ((F.col(f"{role}_a") != root) | (F.col(f"{role}_b") != root)) & (F.col("apart") | F.col(f"{role}_apart"))
+    meets = F.when(early & other("early"), True).when(early & ~far & other("late"), True).when(~early & other("near"), True).otherwise(False)
+    return rows.join(lists, ["ref", "gram"]).where(meets).select(*rows.columns)
 
 
 def _met(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
@@ -208,17 +218,18 @@ def reachable(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     One less the Jaccard similarity is a metric. A class reaches from its smallest text as far as its farthest, and a
     text farther from that one than the reach and the distance allowed has nobody there. Each text meets one text a
-    class, so groups that share a list without being alike cost their texts, not their pairs. Of a pair one is far and
-    the other has the shared difference among its first, so only such meet.
+    class, so groups that share a list without being alike cost their texts, not their pairs. Rows meet
+    as ``_open_lists`` says.
     """
-    slim = rows.select("ref", "gram", "fp", "root", "apart", "far", (F.col("at") <= F.col("near_by")).alias("early"))
+    early = F.col("at") <= F.col("near_by")
+    slim = rows.select("ref", "gram", "fp", "root", "apart", early.alias("early"), (~early).alias("late"), (early & ~F.col("far")).alias("near"))
     reps = slim.groupBy("ref", "root").agg(F.min("fp").alias("rep"))
     own = materialize_narrow(slim.select("ref", "root", "fp").distinct().join(reps, ["ref", "root"]), "members")
     sides = []
-    for mine, theirs in (("far", "early"), ("early", "far")):
+    for mine, theirs in (("early", "early"), ("late", "near"), ("near", "late")):
         classes = slim.where(theirs).groupBy("ref", "gram", F.col("root").alias("class")).agg(F.max("apart").alias("some_apart"))
         sides.append(_met(slim.where(mine), classes, ["ref", "gram"]).where("root != class AND (apart OR some_apart)").select("ref", "fp", "class"))
-    other = sides[0].union(sides[1]).distinct()
+    other = sides[0].union(sides[1]).union(sides[2]).distinct()
     other = materialize_narrow(other.join(reps.withColumnRenamed("root", "class"), ["ref", "class"]), "others")
     pairs = own.select("fp", "rep").union(other.select("fp", "rep")).where("fp != rep").distinct()
     apart = _shared(pairs.select(F.col("fp").alias("a"), F.col("rep").alias("b")), sets).select(F.col("a").alias("fp"), F.col("b").alias("rep"), F.expr("1 - i / (s - i)").alias("apart"))

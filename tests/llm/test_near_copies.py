@@ -122,3 +122,22 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert {x.id: x.component for x in near_copies.near_copies(table).collect()} == brute(rows)
     monkeypatch.setattr(near_copies, "unsettled", lambda live, roots: roots.limit(0))
     assert {x.id: x.component for x in near_copies.near_copies(table).collect()} != brute(rows)
+
+
+def test_what_unlike_texts_lack_keeps_no_rows(spark, monkeypatch):
+    """Texts of one bucket that share a passage and no more: each lacks what the central one has, which makes no pair."""
+    force_one_bucket(monkeypatch)
+    kept, whole = [], near_copies._open_lists
+
+    def counted(rows):
+        out = whole(rows)
+        kept.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "_open_lists", counted)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(k, passage + " " + " ".join(f"t{k}w{i}" for i in range(60))) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + f" more{k}") for k in range(0, 60, 7)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.id: x.component for x in near_copies.near_copies(table).collect()} == {i: i % 100 for i, _ in rows}
+    assert kept and 4 * kept[0][1] < kept[0][0], kept  # with what they lack it is more than half
