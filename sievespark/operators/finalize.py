@@ -46,9 +46,10 @@ def events(after: DataFrame, at: Column) -> DataFrame:
 def announcements(after: DataFrame, ended: DataFrame, reopened: DataFrame, at: Column) -> DataFrame:
     """``(source_id, fingerprint, scan_id, status, queued_at)``: findings that trusted scans have opened and that are still open."""
     trusted = ended.where("trusted").select("scan_id")
-    opened = after.select("source_id", "fingerprint", F.col("first_seen_scan_id").alias("scan_id")).unionByName(reopened.where("kind = 'reopened'").select("source_id", "fingerprint", "scan_id"))
-    still = after.where((F.col("state") == "open") & F.col("suppressed_at").isNull()).select("source_id", "fingerprint")
-    rows = opened.join(trusted, "scan_id", "left_semi").distinct().join(still, ["source_id", "fingerprint"], "left_semi")
+    still = after.where((F.col("state") == "open") & F.col("suppressed_at").isNull() & F.col("source_id").isNotNull() & F.col("fingerprint").isNotNull())
+    again = reopened.where("kind = 'reopened'").select("source_id", "fingerprint", "scan_id").join(still.select("source_id", "fingerprint"), ["source_id", "fingerprint"], "left_semi")
+    opened = still.select("source_id", "fingerprint", F.col("first_seen_scan_id").alias("scan_id")).unionByName(again)
+    rows = opened.join(trusted, "scan_id", "left_semi").distinct()
     return rows.select("source_id", "fingerprint", "scan_id", F.lit("pending").alias("status"), at.alias("queued_at"))
 
 
@@ -62,23 +63,30 @@ def finalize(store: Store, scans: DataFrame, tasks: DataFrame, reports: DataFram
     """Freeze the manifests, resolve what is gone, log it, advance cursors and queue announcements, in one version.
 
     Only the ranges of findings with a change are written again. Tables: ``findings``, ``events``, ``manifests``,
-    ``cursors``, ``outbox``. If anything fails on the way the last version stands whole; a repeat with the same
+    ``cursors``, ``outbox``. The outcomes and the touched ranges, which several of them are made from, are written first,
+    so tasks and reports are read and added up once. If anything fails on the way the last version stands whole; a repeat with the same
     ``sequence`` changes nothing.
     """
     base = store.head()
     layout: Layout = store.layouts["findings"]
-    ended = outcomes(scans, tasks, reports)
-    found = resolved(store.read("findings", base), ended, at)
-    touched = found.where("gone").select(layout.range_of().alias("range")).distinct()
-    after = resolved(store.read("findings", base, touched), ended, at)
-    changes = {
-        "findings": Change(after.drop("gone", "_scan"), "ranges", touched),
-        "events": Change(events(found, at), "append"),
-        "manifests": Change(ended, "append"),
-        "cursors": Change(advanced(store.read("cursors", base), proposals, ended, at)),
-        "outbox": Change(announcements(found, ended, store.read("events", base), at), "append"),
-    }
-    return store.commit(changes, base, writer, sequence)
+    if writer is not None and store.describe(base)["sequences"].get(writer, -1) >= sequence:
+        return base
+    held: list[str] = []
+    try:
+        ended = store.staged(outcomes(scans, tasks, reports), held)
+        found = resolved(store.read("findings", base), ended, at)
+        touched = store.staged(found.where("gone").select(layout.range_of().alias("range")).distinct(), held)
+        after = resolved(store.read("findings", base, touched), ended, at)
+        changes = {
+            "findings": Change(after.drop("gone", "_scan"), "ranges", touched),
+            "events": Change(events(found, at), "append"),
+            "manifests": Change(ended, "append"),
+            "cursors": Change(advanced(store.read("cursors", base), proposals, ended, at)),
+            "outbox": Change(announcements(found, ended, store.read("events", base), at), "append"),
+        }
+        return store.commit(changes, base, writer, sequence)
+    finally:
+        store.unstage(held)
 
 
 def cancel(tasks: DataFrame, scans: DataFrame, at: Column) -> DataFrame:

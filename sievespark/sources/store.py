@@ -132,6 +132,18 @@ class Store:
 
     # writing
 
+    def staged(self, rows: DataFrame, held: list[str]) -> DataFrame:
+        """``rows`` written once beside the tables, for changes that several of them are made from; the folder joins
+        ``held``, for ``unstage`` to let go."""
+        held.append(f"{self.folder}/staged/{uuid.uuid4().hex}")
+        rows.write.parquet(held[-1])
+        return self.spark.read.schema(rows.schema).parquet(held[-1])
+
+    def unstage(self, held: list[str]) -> None:
+        for at in held:
+            fs, path = self._fs(at)
+            fs.delete(path, True)
+
     def _stage(self, table: str, change: Change, base: dict) -> dict:
         """Write a change's rows and the new list of files; nothing points to them yet."""
         layout, at = self.layouts.get(table), uuid.uuid4().hex

@@ -134,6 +134,33 @@ def test_scans_end_in_one_version(spark, store, sf_dir):
     assert len(kept) == store.files("findings", base).count() - 1
 
 
+def counted(spark, monkeypatch, module, name, column, kind):
+    """How many rows of what the module's function gives are worked out, by a column that several tables need."""
+    seen, whole = spark.sparkContext.accumulator(0), getattr(module, name)
+
+    @F.udf(kind)
+    def same(value):
+        seen.add(1)
+        return value
+
+    monkeypatch.setattr(module, name, lambda *a: whole(*a).withColumn(column, same(column)))
+    return seen
+
+
+def test_the_outcomes_of_scans_are_worked_out_once(spark, store, sf_dir, monkeypatch):
+    scans, tasks, reports = scan_tables(spark)
+    ended = finalize.outcomes(scans, tasks, reports).count()
+    ingest.keep(store, spark.createDataFrame([payload("seen"), payload("gone")], PAYLOAD), mapping.findings(spark, sf_dir).limit(0), "old", at(), "w", 0)
+    cursor = "source_id string, scope string, position bigint, rulepack_version string, source_configuration_version string, minted_at timestamp, invalidated_at timestamp, invalidation_reason string"
+    store.commit({"cursors": Change(spark.createDataFrame([], cursor))})
+    proposals = spark.createDataFrame([], "scan_id string, source_id string, scope string, position bigint, rulepack_version string, source_configuration_version string, status string")
+    seen = counted(spark, monkeypatch, finalize, "outcomes", "silent", "boolean")
+    finalize.finalize(store, scans, tasks, reports, proposals, at())
+    assert seen.value == ended
+    fs, staged = store._fs(f"{store.folder}/staged")
+    assert len(fs.listStatus(staged)) == 0
+
+
 def test_cancelling_twice_is_cancelling_once(spark):
     schema = "scan_id string, id int, status string, reasons map<struct<disposition:string,reason:string>,bigint>, gaps_omitted bigint, finished_at timestamp"
     kind = lambda *x: {"disposition": x[0], "reason": x[1]}
