@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,28 +17,28 @@ from ..sources.store import Change, Layout, Store
 def keep(store: Store, payloads: DataFrame, empty: DataFrame, scan_id: str, at: Column, writer: str | None = None, sequence: int | None = None, threshold: float = 0.5) -> int:
     """Bring a batch of payloads into the store's ``findings``, with its ``events``, as one version; which one that is.
 
-    Payloads are written first, so that nothing upstream runs twice. Then only the ranges that a payload's fingerprint or
+    Payloads are written first, so that nothing upstream runs twice, and so is their plan, which two tables are made from.
+    Only the ranges that a payload's fingerprint or
     its previous one falls into are read, merged and written again; all other files are taken over. With a ``writer``
     a batch counts once, whatever Spark runs again. ``empty`` gives the columns of a table that is not there yet.
     """
     base = store.head()
     if writer is not None and store.describe(base)["sequences"].get(writer, -1) >= sequence:
         return base
-    spark, staged = store.spark, f"{store.folder}/staged/{uuid.uuid4().hex}"
-    payloads.write.parquet(staged)
-    batch = spark.read.schema(payloads.schema).parquet(staged)
     layout = store.layouts["findings"]
-    ranges = lambda key: batch.where(F.col(key).isNotNull()).select(layout.range_of(key=F.col(key)).alias("range"))
-    touched = ranges("fingerprint").union(ranges("previous_fingerprint")).distinct()
-    before = store.read("findings", base, touched) if "findings" in store.tables(base) else empty.limit(0)
-    plan = state.plan_ingest(before, batch, threshold)
-    events = state.ingest_events(plan, scan_id, at).withColumn("comment", F.lit(None).cast("string"))
-    if "validation" in before.columns and "validation" in batch.columns:
-        events = events.unionByName(state.validation_events(before, plan, scan_id, at))
-    version = store.commit({"findings": Change(state.upsert(before, plan, scan_id, at), "ranges", touched), "events": Change(events, "append")}, base, writer, sequence)
-    fs, path = store._fs(staged)
-    fs.delete(path, True)
-    return version
+    held: list[str] = []
+    try:
+        batch = store.staged(payloads, held)
+        ranges = lambda key: batch.where(F.col(key).isNotNull()).select(layout.range_of(key=F.col(key)).alias("range"))
+        touched = store.staged(ranges("fingerprint").union(ranges("previous_fingerprint")).distinct(), held)
+        before = store.read("findings", base, touched) if "findings" in store.tables(base) else empty.limit(0)
+        plan = store.staged(state.plan_ingest(before, batch, threshold), held)
+        events = state.ingest_events(plan, scan_id, at).withColumn("comment", F.lit(None).cast("string"))
+        if "validation" in before.columns and "validation" in batch.columns:
+            events = events.unionByName(state.validation_events(before, plan, scan_id, at))
+        return store.commit({"findings": Change(state.upsert(before, plan, scan_id, at), "ranges", touched), "events": Change(events, "append")}, base, writer, sequence)
+    finally:
+        store.unstage(held)
 
 
 def start(units: DataFrame, pack: RulePack, keys: detect.Keys, folder: str, empty: DataFrame, scan_id: str, source_id: str, clock: Callable[[int], Column], trigger: dict | None = None, kept: int = 10):

@@ -161,6 +161,12 @@ def test_the_outcomes_of_scans_are_worked_out_once(spark, store, sf_dir, monkeyp
     assert len(fs.listStatus(staged)) == 0
 
 
+def test_a_batch_is_planned_once(spark, store, sf_dir, monkeypatch):
+    seen = counted(spark, monkeypatch, state, "plan_ingest", "action", "string")
+    ingest.keep(store, spark.createDataFrame([payload("a"), payload("b"), payload("a")], PAYLOAD), mapping.findings(spark, sf_dir).limit(0), "s", at(), "w", 0)
+    assert seen.value == 2 and store.read("findings").count() == 2
+
+
 def test_cancelling_twice_is_cancelling_once(spark):
     schema = "scan_id string, id int, status string, reasons map<struct<disposition:string,reason:string>,bigint>, gaps_omitted bigint, finished_at timestamp"
     kind = lambda *x: {"disposition": x[0], "reason": x[1]}
