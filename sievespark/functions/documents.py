@@ -88,8 +88,10 @@ def document_text(root: Column) -> Column:
         return F.struct(F.flatten(F.transform(level, _below)).alias("level"), said.alias("said"), nodes.alias("nodes"))
 
     end = F.reduce(F.sequence(F.lit(0), F.lit(MOST_DEPTH)), start, step)
-    whole = (F.size(end["level"]) == 0) & (end["nodes"] <= MOST_NODES)
-    return F.when(whole, tidy(F.array_join(F.transform(F.array_sort(F.flatten(end["said"])), lambda x: x["piece"]), "")))
+    whole = lambda e: (F.size(e["level"]) == 0) & (e["nodes"] <= MOST_NODES)
+    text = lambda e: tidy(F.array_join(F.transform(F.array_sort(F.flatten(e["said"])), lambda x: x["piece"]), ""))
+    # Spark knows no two folds as one: each mention of the end would parse and walk the tree again, a lambda's variable does not
+    return F.get(F.transform(F.array(end), lambda e: F.when(whole(e), text(e))), F.lit(0))
 
 
 def issue_field_text(fields: Column, key: str) -> Column:
