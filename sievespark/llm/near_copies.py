@@ -77,13 +77,12 @@ def _prints(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _band_sizes(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bands ``(c, key, m, leaders)`` that more than one text has, and their texts ``(c, key, fp, n, m, ref)``, ref being the first leader."""
+    """Bands ``(c, key, m, leaders)`` that more than one text has, and their texts ``(c, key, fp, n, m)``."""
     keys = distinct.select("fp", "n", F.posexplode("bands").alias("c", "key"))
     orders = [F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("o"), "fp", "n")).alias(f"l{i}") for i in range(LEADERS)]
     found = keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("m"), *orders).where("m > 1")
     sizes = materialize_narrow(found.select("c", "key", "m", F.array(*[f"l{i}" for i in range(LEADERS)]).alias("leaders")), "bands")
-    known = sizes.select("c", "key", "m", F.col("leaders")[0]["fp"].alias("ref"))
-    return sizes, materialize_narrow(keys.join(known, ["c", "key"]), "live-bands")
+    return sizes, materialize_narrow(keys.join(sizes.select("c", "key", "m"), ["c", "key"]), "live-bands")
 
 
 def _sizes_allow(a: str, b: str):
@@ -133,16 +132,6 @@ def differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.select(*rows.columns, F.size("grams").cast("bigint").alias("n"), F.size("others").cast("bigint").alias("base"), diff), "differences")
 
 
-def centres(diffs: DataFrame) -> DataFrame:
-    """``(ref, centre)``: of the texts with one ref, that nearest to the shingles which most of them hold."""
-    grams = diffs.select("fp", "ref", F.explode("diff").alias("gram"))
-    many = diffs.groupBy("ref").agg(F.count(F.lit(1)).alias("texts"))
-    usual = grams.groupBy("ref", "gram").agg(F.count(F.lit(1)).alias("k")).join(many, "ref").where("2 * k > texts")
-    usual = materialize_narrow(usual.groupBy("ref").agg(F.collect_list("gram").alias("usual")), "usual")  # of a ref at most twice what a text differs by on average
-    off = diffs.select("fp", "ref", "diff").join(usual, "ref", "left").withColumn("off", F.size("diff") - 2 * F.coalesce(F.size(F.array_intersect("diff", "usual")), F.lit(0)))
-    return materialize_narrow(off.groupBy("ref").agg(F.min(F.struct("off", "fp"))["fp"].alias("centre")), "centres")
-
-
 def _far():
     return F.lit(_SUM) * F.size("diff") > F.lit(_GAP) * (F.col("n") + F.col("base"))
 
@@ -281,16 +270,23 @@ def late_links(rows: DataFrame, sets: DataFrame, turns: int = 2) -> DataFrame:
 def unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
     """``(fp, ref, root, apart)`` of the texts in large buckets that the links so far leave in several classes.
 
-    ``ref`` is a text that such a bucket's texts have all met, ``apart`` marks those outside the most frequent class
-    of a bucket with that ref. Two texts of a bucket in different classes are both here with one ref, and one of them
-    is apart.
+    ``ref`` is a text of such a bucket that shares most bands with others, or one that shares still more and stands in
+    another bucket with it. The order is the same in all buckets, so those of one group have few refs and a text stands
+    with few of them. ``apart`` marks those outside the most frequent class of a bucket with that ref. Two texts of a
+    bucket in different classes are both here with one ref, and one of them is apart.
     """
     hot = live.where(F.col("m") > BUCKET).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    hot = materialize_narrow(hot.select("c", "key", "ref", "fp", F.coalesce("root", "fp").alias("root")), "hot-bands")
+    hot = materialize_narrow(hot.select("c", "key", "m", "fp", F.coalesce("root", "fp").alias("root")), "hot-bands")
     shares = hot.groupBy("c", "key", "root").agg(F.count(F.lit(1)).alias("m"))
     mains = shares.groupBy("c", "key").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("classes"))
-    open_ = hot.join(mains.where("classes > 1").select("c", "key", "main.root").withColumnRenamed("root", "main"), ["c", "key"])
-    return materialize_narrow(open_.groupBy("fp", "ref").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("apart")), "unsettled")
+    mains = mains.where("classes > 1").select("c", "key", F.col("main.root").alias("main"))
+    open_ = materialize_narrow(hot.join(mains, ["c", "key"]), "open-bands")
+    met = open_.join(open_.groupBy("fp").agg(F.sum("m").alias("met")), "fp")
+    best = met.groupBy("c", "key").agg(F.max(F.struct("met", "fp")).alias("best"))
+    leads = met.join(best, ["c", "key"]).groupBy("fp").agg(F.max("best")["fp"].alias("ref"))
+    refs = best.select("c", "key", "best.fp").join(leads, "fp").select("c", "key", "ref")
+    rows = open_.join(refs, ["c", "key"]).groupBy("fp", "ref")
+    return materialize_narrow(rows.agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("apart")), "unsettled")
 
 
 def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataFrame:
@@ -311,10 +307,8 @@ def links(docs: DataFrame, distinct: DataFrame, text_col: str = "text") -> DataF
     if rest.isEmpty():
         return near
     sets = _sets(rest.select("fp").distinct(), docs, distinct, text_col)
-    refs = centres(differences(rest, sets))
-    moved = rest.join(refs, "ref").groupBy("fp", F.col("centre").alias("ref")).agg(F.first("root").alias("root"), F.max("apart").alias("apart"))
     owners = rest.groupBy(F.col("fp").alias("ref")).agg(F.first("root").alias("owner"))
-    diffs = differences(moved.join(owners, "ref"), sets)
+    diffs = differences(rest.join(owners, "ref"), sets)
     central = diffs.where(~_far() & (F.col("fp") != F.col("ref"))).select(F.least("fp", "ref").alias("a"), F.greatest("fp", "ref").alias("b"))
     joined = diffs.withColumn("root", F.when(_far(), F.col("root")).otherwise(F.col("owner")))
     return near.union(central).union(late_links(materialize(ordered(joined), "ordered"), sets))

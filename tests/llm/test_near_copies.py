@@ -141,3 +141,31 @@ def test_what_unlike_texts_lack_keeps_no_rows(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {x.id: x.component for x in near_copies.near_copies(table).collect()} == {i: i % 100 for i, _ in rows}
     assert kept and 4 * kept[0][1] < kept[0][0], kept  # with what they lack it is more than half
+
+
+def test_buckets_of_a_group_have_one_ref(spark, monkeypatch):
+    """A group in many bands and several classes: each text is held against a central one about once, and no link is lost."""
+    monkeypatch.setattr(near_copies, "BUCKET", 3)
+    monkeypatch.setattr(near_copies, "LEADERS", 1)
+    held, whole = [], near_copies.differences
+
+    def counted(rows, sets):
+        out = whole(rows, sets)
+        held.append(sum(len(r["diff"]) for r in out.select("diff").collect()))
+        return out
+
+    monkeypatch.setattr(near_copies, "differences", counted)
+    totals = []
+    for size in (80, 160):
+        r, rows = random.Random(4), []
+        for k in range(size):
+            words = [f"b{i}" for i in range(150)]
+            for at in r.sample(range(150), r.randint(2, 12)):
+                words[at] = f"own{k}x{at}"
+            rows.append((k, " ".join(words)))
+        held.clear()
+        table = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert {x.id: x.component for x in near_copies.near_copies(table).collect()} == brute(rows)
+        base = grams(" ".join(f"b{i}" for i in range(150)))
+        totals.append((sum(held), sum(len(grams(t) ^ base) for _, t in rows)))
+    assert all(0 < got < 2 * once for got, once in totals) and totals[1][0] < 2.5 * totals[0][0], totals
