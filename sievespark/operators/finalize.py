@@ -95,8 +95,9 @@ def cancel(tasks: DataFrame, scans: DataFrame, at: Column) -> DataFrame:
     Finished tasks stay. Another one becomes cancelled, and its report keeps what it has counted so far and gains one
     gap of that reason: ``reasons`` is a map from (disposition, reason) to counts, to which ``{scope_gap, cancelled: 1}``
     is added key by key, null being the empty map. As a cancelled task is finished, cancelling twice is cancelling once.
+    A task of Spark holds the ids of its scans only, the fetch tasks stream past them and are not sorted.
     """
-    asked = scans.select("scan_id").distinct().withColumn("_asked", F.lit(True))
+    asked = scans.select("scan_id").distinct().withColumn("_asked", F.lit(True)).hint("shuffle_hash")
     rows = tasks.join(asked, "scan_id", "left")
     hit = F.col("_asked").isNotNull() & F.col("status").isin(*ACTIVE_TASKS)
     gap = F.create_map(F.struct(F.lit("scope_gap").alias("disposition"), F.lit("cancelled").alias("reason")), F.lit(1).cast("bigint"))

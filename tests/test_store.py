@@ -192,3 +192,19 @@ def test_validation_is_told_only_when_it_changes(spark, sf_dir):
         before = spark.createDataFrame(after.collect(), after.schema)
     assert log == [[("a", None, "active", "aws:v:1:")], [("b", None, None, "aws:v:1:")], [("b", None, None, "aws:v:2:")], [("a", "active", "revoked", "aws:v:1:gone")]]
     assert {r.fingerprint: tuple(r.validation) for r in before.collect()} == {"a": ("aws", "v", "1", "revoked", "gone"), "b": ("aws", "v", "2", None, None)}
+
+
+def test_cancelling_sorts_no_tasks(spark):
+    """Only the scans' ids are held in memory, however many fetch tasks there are."""
+    gap = F.expr("cast(null as map<struct<disposition: string, reason: string>, bigint>)")
+    tasks = spark.range(1000).select(F.concat(F.lit("n"), F.col("id") % 50).alias("scan_id"), "id", F.lit("running").alias("status"), gap.alias("reasons"), F.lit(0).cast("bigint").alias("gaps_omitted"), F.lit(None).cast("timestamp").alias("finished_at"))
+    asked = spark.range(200).select(F.concat(F.lit("n"), F.col("id") % 20).alias("scan_id"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = finalize.cancel(tasks, asked, at())
+        assert after.where("status = 'cancelled'").count() == 400 and after.count() == 1000
+        plan = after._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan, plan
